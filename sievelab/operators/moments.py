@@ -96,7 +96,8 @@ class Moments:
         full = np.zeros((d, d))
         full[np.triu_indices(d)] = upper
         full = full + np.triu(full, 1).T
-        return Moments(full[0, 0], full[0, 1], full[1, 1], full[0, 2:], full[1, 2:], full[2:, 2:])
+        n, sy, syy = float(full[0, 0]), float(full[0, 1]), float(full[1, 1])
+        return Moments(n, sy, syy, full[0, 2:], full[1, 2:], full[2:, 2:])
 
     def __add__(self, other: "Moments") -> "Moments":
         return Moments(

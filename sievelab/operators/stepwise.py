@@ -21,6 +21,22 @@ def adjusted(r2: float, n: float, p: int) -> float:
     return 1.0 - (1.0 - r2) * (n - 1) / (n - p - 1)
 
 
+def model_score(m: Moments, columns: list[int], penalty: str = "single") -> float:
+    """Adjusted R2 of the least-squares model on the given columns, fitted and scored on the same rows."""
+    _, r2 = ols(m, columns)
+    p = 1 if penalty == "single" else len(set(columns))
+    return r2 if m.n - p - 1 <= 0 else adjusted(r2, m.n, p)
+
+
+def candidate_scores(
+    m: Moments, names: list[str], included: list[str], penalty: str = "single"
+) -> list[tuple[str, float]]:
+    """Score of ``included`` plus each remaining feature, in name order."""
+    place = {name: i for i, name in enumerate(names)}
+    base = [place[c] for c in included]
+    return [(c, model_score(m, [*base, place[c]], penalty)) for c in sorted(set(names) - set(included))]
+
+
 def forward_trace(
     folds: list[Moments], names: list[str], tol: float = 0.0, patience: int = PATIENCE, penalty: str = "single"
 ) -> list[tuple]:
@@ -35,31 +51,23 @@ def forward_trace(
     everything = total(folds)
     place = {name: i for i, name in enumerate(names)}
 
-    def score(m: Moments, chosen: list[str]) -> float:
-        _, r2 = ols(m, [place[c] for c in chosen])
-        p = 1 if penalty == "single" else len(set(chosen))
-        return r2 if m.n - p - 1 <= 0 else adjusted(r2, m.n, p)
-
     included: list[str] = []
     best_adjusted = best_kfold = -np.inf
     strikes = 0
     trace: list[tuple] = []
     while True:
         included.sort()
-        excluded = sorted(set(names) - set(included))
-        if not excluded:
+        scores = candidate_scores(everything, names, included, penalty)
+        if not scores:
             break
-        scores = [score(everything, included + [name]) for name in excluded]
-        top = int(np.argmax(scores))
-        candidate, candidate_score = excluded[top], scores[top]
+        candidate, candidate_score = max(scores, key=lambda item: item[1])
         improved = candidate_score - best_adjusted > tol
         model = included + [candidate]
         if improved:
             included, best_adjusted = model, candidate_score
-        if everything.n >= MIN_ROWS_FOR_FOLDS:
-            kfold = float(np.mean([score(fold, model) for fold in folds]))
-        else:
-            kfold = score(everything, model)
+        columns = [place[c] for c in model]
+        parts = folds if everything.n >= MIN_ROWS_FOR_FOLDS else [everything]
+        kfold = float(np.mean([model_score(part, columns, penalty) for part in parts]))
         if kfold > best_kfold:
             best_kfold = kfold
         else:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelab.operators.cleaning import mean_impute, pack, to_long
+from sievelab.operators.cleaning import mean_impute, to_long
+from sievelab.sources.files import column
 
 ORDER_FEATURES = [
     "line.cnt",
@@ -101,10 +102,9 @@ def orders_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, y, x) of the seven varying order features, missing values imputed in one aggregate."""
     wide = orders_wide(spark, sf_dir)
     features = ORDER_FEATURES[:7]
-    means = wide.agg(F.array(*[F.avg(F.col(f"`{f}`")) for f in features]).alias("means"))
-    packed = pack(wide, features, [F.col("row_id"), F.col("y")])
-    filled = F.zip_with("x", means.scalar(), lambda v, m: F.coalesce(v, m))
-    return packed.select("row_id", "y", filled.alias("x"))
+    means = wide.agg(F.array(*[F.avg(column(f)) for f in features]).alias("means")).scalar()
+    filled = [F.coalesce(column(f), F.get(means, F.lit(i))) for i, f in enumerate(features)]
+    return wide.select("row_id", "y", F.array(*filled).alias("x"))
 
 
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
