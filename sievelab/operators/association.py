@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelab.functions.columns import blend_scores, correlation
 from sievelab.operators.joins import attach_small
 from sievelab.operators.moments import collect_moments, moment_cells
-from sievelab.operators.ordering import average_rank
+from sievelab.operators.ordering import average_rank, rows_per_slot_for
 from sievelab.operators.ranking import above_median, argmax
 
 
@@ -21,10 +21,16 @@ def name_table(df: DataFrame, names: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(names)), "pos int, variable string")
 
 
+def rank_target(packed: DataFrame, rows: int, width: int, **options) -> DataFrame:
+    """Adds ``y_rank``; the features move along with their row."""
+    options = {"rows_per_slot": rows_per_slot_for(width), **options}
+    return average_rank(packed, "y", alias="y_rank", sizes=(rows, 1), **options)
+
+
 def spearman_target(packed: DataFrame, names: list[str], rows: int | None = None, **options) -> DataFrame:
     """(variable, n, rho): Spearman correlation of every feature with the response; null if either is constant."""
     rows = packed.count() if rows is None else rows
-    ranked_y = average_rank(packed.select("y", "x"), "y", alias="y_rank", sizes=(rows, 1), **options)
+    ranked_y = rank_target(packed.select("y", "x"), rows, len(names), **options)
     cells = ranked_y.select("y_rank", F.posexplode("x").alias("pos", "value"))
     ranked = average_rank(cells, "value", ["pos"], alias="x_rank", sizes=(rows, len(names)), **options)
     rho = ranked.groupBy("pos").agg(
@@ -37,7 +43,7 @@ def rank_rows(packed: DataFrame, width: int, rows: int | None = None, **options)
     """(row_id, y, x): response and features of each row replaced by their ranks, centred at zero."""
     rows = packed.count() if rows is None else rows
     centre = (rows + 1) / 2.0
-    ranked_y = average_rank(packed.select("row_id", "y", "x"), "y", alias="y_rank", sizes=(rows, 1), **options)
+    ranked_y = rank_target(packed.select("row_id", "y", "x"), rows, width, **options)
     cells = ranked_y.select("row_id", "y_rank", F.posexplode("x").alias("pos", "value"))
     ranked = average_rank(cells, "value", ["pos"], alias="x_rank", sizes=(rows, width), **options)
     return ranked.groupBy("row_id").agg(  # exactly ``width`` cells per row

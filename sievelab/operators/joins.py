@@ -9,6 +9,17 @@ MAX_BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
+def fix_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
+    """The same rows as a local table and their number, or ``df`` itself and None beyond ``max_rows``.
+
+    Fetching stops one row past the limit, which proves the bound and evaluates ``df`` only once.
+    """
+    head = df.limit(max_rows + 1).collect()
+    if len(head) > max_rows:
+        return df, None
+    return df.sparkSession.createDataFrame(head, df.schema), len(head)
+
+
 def attach_small(
     big: DataFrame,
     small: DataFrame,
@@ -19,18 +30,14 @@ def attach_small(
 ) -> DataFrame:
     """Join ``small`` (unique on ``on``) to ``big`` without moving ``big`` while ``small`` is proven small.
 
-    ``known_rows`` is a bound the caller can prove, such as the number of feature columns. Without it the
-    table is fetched up to one row past the limit, which both proves the bound and evaluates it only once.
-    Past the limit both sides are shuffled, and every key is spread over salts, so that a key holding a large
+    ``known_rows`` is a bound the caller can prove, such as the number of feature columns; without it the size is
+    tested. Past the limit both sides are shuffled, and every key is spread over salts, so that a key holding a large
     share of ``big`` is not one task.
     """
+    if known_rows is None:
+        small, known_rows = fix_small(small, max_rows)
     if known_rows is not None and known_rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
-    if known_rows is None:
-        head = small.limit(max_rows + 1).collect()
-        if len(head) <= max_rows:
-            fixed = big.sparkSession.createDataFrame(head, small.schema)
-            return big.join(F.broadcast(fixed), on, how)
     salt = "__salt"
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelab.operators.association import name_table
-from sievelab.operators.ordering import with_ranks
+from sievelab.operators.ordering import rows_per_slot_for, with_ranks
 
 CELLS = 1024
 
@@ -30,7 +30,8 @@ def cell_counts(packed: DataFrame, rows: int, width: int, cells: int = CELLS, **
     def cell(rank: str):
         return F.floor((F.col(rank) - 1) * F.lit(cells) / F.lit(rows)).cast("int")
 
-    ranked_y = with_ranks(packed.select("y", "x"), "y", sizes=(rows, 1), **options)
+    for_rows = {"rows_per_slot": rows_per_slot_for(width), **options}
+    ranked_y = with_ranks(packed.select("y", "x"), "y", sizes=(rows, 1), **for_rows)
     long = ranked_y.select(cell("min_rank").alias("cy"), F.posexplode("x").alias("pos", "value"))
     ranked = with_ranks(long, "value", ["pos"], sizes=(rows, width), **options)
     return ranked.groupBy("pos", cell("min_rank").alias("cx"), "cy").agg(F.count(F.lit(1)).alias("c"))
@@ -62,7 +63,9 @@ def mic(
             best = max(optimized_score(x, y, c, bound, clumps), optimized_score(y, x, c, bound, clumps))
         return pd.DataFrame({"pos": [int(frame["pos"].iloc[0])], "mic": [min(max(best, 0.0), 1.0)]})
 
-    scored = counts.groupBy("pos").applyInPandas(score, "pos int, mic double")
+    # The search is heavy and its input small, so the number of tasks is set here and not by data size.
+    tasks = min(len(names), packed.sparkSession.sparkContext.defaultParallelism)
+    scored = counts.repartition(tasks, "pos").groupBy("pos").applyInPandas(score, "pos int, mic double")
     return scored.join(F.broadcast(name_table(packed, names)), "pos").select("variable", "mic")
 
 

@@ -17,13 +17,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLOT = 1_000_000
+ROWS_PER_SLOT = 2_000_000
 MAX_CUT_POINTS = 1 << 18
 HOT_SPREAD = 1024
 
 _SLOT, _HOT, _BEFORE, _SIZE, _SPREAD = "__slot", "__hot", "__before", "__size", "__spread"
 
 
+def rows_per_slot_for(width: int) -> int:
+    """Slot size for rows that carry an array of ``width`` numbers along."""
+    return max(10_000, ROWS_PER_SLOT // (width + 1))
+
+
 def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
     """(rows of the largest group, number of groups)."""
     if by:
@@ -148,7 +153,7 @@ def values_at(
     sizes: tuple[int, int] | None = None,
     rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
-    """Exact order statistics: (by..., position, value), position counted from 1.
+    """Exact order statistics: (by..., position, value, group_rows), position counted from 1.
 
     ``positions`` maps the group's row count to an array of positions. Only the slots that hold a wanted position
     are shuffled and sorted; every other row stops at a filter on its slot.
@@ -176,7 +181,7 @@ def values_at(
         positions(F.col("group_rows")),
         lambda p: (p >= F.col("min_rank")) & (p < F.col("min_rank") + F.col("ties")),
     )
-    return hits.select(*by, F.explode(F.array_distinct(inside)).alias("position"), value)
+    return hits.select(*by, F.explode(F.array_distinct(inside)).alias("position"), value, "group_rows")
 
 
 def quantiles(
@@ -199,18 +204,12 @@ def quantiles(
             ends += [F.floor(at).cast("long") + 1, F.ceil(at).cast("long") + 1]
         return F.array_distinct(F.array(*ends))
 
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     found = values_at(df, value, positions, by, **options)
-    if by:
-        joined = found.join(counted, by)
-    else:
-        joined = found.withColumn("__n", counted.scalar())
     columns = []
     for name, share in shares.items():
-        at = target(F.max("__n"), share)
-        # Aggregates of the two neighbours, then the weighted mean.
-        low = F.max(F.when(F.col("position") == F.floor(target(F.col("__n"), share)) + 1, F.col(value)))
-        high = F.max(F.when(F.col("position") == F.ceil(target(F.col("__n"), share)) + 1, F.col(value)))
-        weight = at - F.floor(at)
+        at = target(F.col("group_rows"), share)
+        low = F.max(F.when(F.col("position") == F.floor(at) + 1, F.col(value)))
+        high = F.max(F.when(F.col("position") == F.ceil(at) + 1, F.col(value)))
+        weight = F.max(at - F.floor(at))
         columns.append((low + (high - low) * weight).alias(name))
-    return joined.groupBy(*by).agg(*columns)
+    return found.groupBy(*by).agg(*columns)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.operators.joins import attach_small
+from sievelab.operators.joins import fix_small
 from sievelab.operators.ordering import quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
 
-def describe_features(long: DataFrame, n_features: int | None = None, approximate: bool = False, **options) -> DataFrame:
+def describe_features(long: DataFrame, approximate: bool = False, **options) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation) and max of the present values per variable.
 
     Quartiles are exact at any group size; ``approximate`` replaces them by a sketch in the same single pass.
@@ -32,7 +32,8 @@ def describe_features(long: DataFrame, n_features: int | None = None, approximat
             *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(QUARTILES)],
             "max",
         )
-    moments = present.groupBy("variable").agg(*aggregates)
+    moments, variables = fix_small(present.groupBy("variable").agg(*aggregates))
+    if variables is not None and "sizes" not in options:
+        options["sizes"] = (moments.agg(F.max("count")).first()[0] or 0, variables)
     cuts = quantiles(present, "value", QUARTILES, ["variable"], **options)
-    joined = attach_small(moments, cuts, ["variable"], known_rows=n_features)
-    return joined.select("variable", "count", "mean", "std", "min", *QUARTILES, "max")
+    return moments.join(cuts, "variable").select("variable", "count", "mean", "std", "min", *QUARTILES, "max")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelab.operators.ordering import quantiles
+
 
 def top_n(df: DataFrame, score: str, n: int, tie: str = "variable") -> DataFrame:
     """The ``n`` highest scores, best first; equal scores by ``tie`` ascending."""
@@ -30,9 +32,11 @@ def argmax(df: DataFrame, score: str, tie: list[str], by: list[str] | None = Non
     return best.where(F.col("best").isNotNull()).select(*by, "best.*").select(*df.columns)
 
 
-def above_median(pairs: DataFrame, score: str) -> DataFrame:
-    """Rows strictly above the median of the whole table."""
-    return pairs.where(F.col(score) > pairs.agg(F.median(score)).scalar())
+def above_median(rows: DataFrame, score: str, **options) -> DataFrame:
+    """Rows strictly above the exact median of the whole table."""
+    present = rows.where(F.col(score).isNotNull()).select(score)
+    median = quantiles(present, score, {"median": 0.5}, **options)
+    return rows.where(F.col(score) > median.scalar())
 
 
 def result_code(pairs: DataFrame, alias: str = "code") -> DataFrame:

@@ -28,7 +28,7 @@ from sievelab.operators import (
 from sievelab.plans import fixtures as fx
 from sievelab.plans.feature_selection import Settings, feature_selection
 from sievelab.sources import files
-from sievelab.sources.scratch import scratch_path
+from sievelab.sources.scratch import save_table, scratch_path
 
 AS_OF = dt.datetime(2024, 3, 1, 12, 0)
 SMALL_FOREST = forest.ForestSpec(replicates=3, trees=10, depth=5)
@@ -89,9 +89,7 @@ def _timestamps(df: DataFrame, *names: str) -> DataFrame:
 
 def status_upsert(spark: SparkSession, sf: str) -> DataFrame:
     events = fx.status_log(spark, sf)
-    early = F.col("event_id") % 3 != 0
-    cut = events.where(early).agg(F.expr("median(unix_micros(ts))").cast("long").alias("cut")).scalar()
-    before = F.unix_micros("ts") <= cut
+    before = F.unix_micros("ts") <= events.agg(F.avg(F.unix_micros("ts"))).scalar()
     table = status.upsert_status(status.status_of(events.where(before)), events.where(~before))
     return _timestamps(table, "start_time", "update_time")
 
@@ -203,7 +201,7 @@ def semi_selected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def describe_features(spark: SparkSession, sf: str) -> DataFrame:
-    stats = profile.describe_features(fx.orders_long(spark, sf), len(fx.ORDER_FEATURES))
+    stats = profile.describe_features(fx.orders_long(spark, sf))
     return _r(stats, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -401,7 +399,8 @@ def rf_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spearman_target(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(association.spearman_target(fx.orders_packed(spark, sf), fx.ORDER_FEATURES[:7]), "rho")
+    packed = save_table(fx.orders_packed(spark, sf), "orders-packed")
+    return _r(association.spearman_target(packed, fx.ORDER_FEATURES[:7]), "rho")
 
 
 def feature_pairs(spark: SparkSession, sf: str) -> DataFrame:
