@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelab.functions.columns import blend_scores, correlation
 from sievelab.operators.joins import attach_small
 from sievelab.operators.moments import collect_moments, moment_cells
-from sievelab.operators.ordering import average_rank, rows_per_slot_for
+from sievelab.operators.ordering import average_rank, slot_rows
 from sievelab.operators.ranking import above_median, argmax
 
 
@@ -23,7 +23,7 @@ def name_table(df: DataFrame, names: list[str]) -> DataFrame:
 
 def rank_target(packed: DataFrame, rows: int, width: int, **options) -> DataFrame:
     """Adds ``y_rank``; the features move along with their row."""
-    options = {"rows_per_slot": rows_per_slot_for(width), **options}
+    options = {"rows_per_slot": slot_rows(rows, width), **options}
     return average_rank(packed, "y", alias="y_rank", sizes=(rows, 1), **options)
 
 

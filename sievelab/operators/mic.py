@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelab.operators.association import name_table
-from sievelab.operators.ordering import rows_per_slot_for, with_ranks
+from sievelab.operators.ordering import slot_rows, with_ranks
 
 CELLS = 1024
 
@@ -30,7 +30,7 @@ def cell_counts(packed: DataFrame, rows: int, width: int, cells: int = CELLS, **
     def cell(rank: str):
         return F.floor((F.col(rank) - 1) * F.lit(cells) / F.lit(rows)).cast("int")
 
-    for_rows = {"rows_per_slot": rows_per_slot_for(width), **options}
+    for_rows = {"rows_per_slot": slot_rows(rows, width), **options}
     ranked_y = with_ranks(packed.select("y", "x"), "y", sizes=(rows, 1), **for_rows)
     long = ranked_y.select(cell("min_rank").alias("cy"), F.posexplode("x").alias("pos", "value"))
     ranked = with_ranks(long, "value", ["pos"], sizes=(rows, width), **options)

@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SLOT = 2_000_000
 MAX_CUT_POINTS = 1 << 18
+MAX_SLOTS = 1 << 14
 HOT_SPREAD = 1024
 
 _SLOT, _HOT, _BEFORE, _SIZE, _SPREAD = "__slot", "__hot", "__before", "__size", "__spread"
 
 
-def rows_per_slot_for(width: int) -> int:
-    """Slot size for rows that carry an array of ``width`` numbers along."""
-    return max(10_000, ROWS_PER_SLOT // (width + 1))
+def slot_rows(rows: int, width: int) -> int:
+    """Slot size for one ranking of all ``rows`` when each carries an array of ``width`` numbers.
+
+    A single slot would put everything downstream into one task, so there are up to 64 even for few rows.
+    """
+    return max(1, min(ROWS_PER_SLOT // (width + 1), max(20_000, rows // 64)))
 
 
 def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
@@ -40,13 +44,13 @@ def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
 
 def _slot_count(largest: int, groups: int, rows_per_slot: int) -> int:
     wanted = max(1, math.ceil(largest / rows_per_slot))
-    return max(1, min(wanted, MAX_CUT_POINTS // max(groups, 1)))
+    return max(1, min(wanted, MAX_SLOTS, MAX_CUT_POINTS // max(groups, 1)))
 
 
 def _cut_points(df: DataFrame, by: list[str], value: str, slots: int) -> DataFrame:
     """(by..., cuts): approximate quantiles per group, fixed once so every later pass sees the same cuts."""
     shares = [i / slots for i in range(1, slots)]
-    accuracy = max(10_000, 20 * slots)
+    accuracy = max(10_000, 4 * slots)  # no slot without a hot value exceeds 1.5 average slots
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, accuracy).alias("__cuts"))
     rows = cuts.collect()  # groups x slots numbers, at most MAX_CUT_POINTS
     return df.sparkSession.createDataFrame(rows, cuts.schema)

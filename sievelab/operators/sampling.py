@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelab.operators.ordering import ROWS_PER_SLOT, values_at
+from sievelab.operators.ordering import values_at
+
+MAX_BUCKETS = 1 << 16
 
 
 def sample_key(seed: int, replicate: Column | int, row_id: Column) -> Column:
@@ -28,7 +30,8 @@ class SampleCut:
 
     def contains(self, row_id: str = "row_id") -> Column:
         key = sample_key(self.seed, self.replicate, F.col(row_id))
-        return (key < self.key) | ((key == self.key) & (F.col(row_id) <= self.row_id))
+        place = F.struct(key.alias("key"), F.col(row_id).cast("long").alias("row_id"))
+        return place <= F.struct(F.lit(self.key).alias("key"), F.lit(self.row_id).cast("long").alias("row_id"))
 
 
 def exact_cuts(
@@ -38,7 +41,7 @@ def exact_cuts(
     replicates: int = 1,
     row_id: str = "row_id",
     rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_SLOT,
+    rows_per_bucket: int | None = None,
 ) -> list[SampleCut]:
     """Cuts that put exactly ceil(share x n) rows of each replicate into its sample.
 
@@ -49,7 +52,8 @@ def exact_cuts(
     wanted = math.ceil(share * rows - 1e-9)
     if wanted <= 0:
         return []
-    digits = 0 if rows <= rows_per_bucket else min(6, math.ceil(math.log(rows / rows_per_bucket, 16)))
+    rows_per_bucket = rows_per_bucket or max(20_000, rows // MAX_BUCKETS)
+    digits = 0 if rows <= rows_per_bucket else math.ceil(math.log(rows / rows_per_bucket, 16))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     keyed = ids.select(F.col(row_id).alias("row_id"), numbers).withColumn(
         "key", sample_key(seed, F.col("replicate"), F.col("row_id"))

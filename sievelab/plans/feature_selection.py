@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelab.operators import association, cleaning, forest, lasso, results, sampling, status, stepwise
+from sievelab.operators.joins import fix_small
 from sievelab.operators.mic import CELLS, mic
 from sievelab.operators.moments import Moments, collect_moments, moment_cells, total
 from sievelab.operators.ranking import above_median, argmax, top_n, top_n_abs
@@ -112,11 +113,12 @@ def feature_selection(
 
     names = [name for name, _, _ in usable]
     rows = summary["n_target"]
-    matrix = save_table(_scaled_matrix(df, y, row_id, usable, summary["mean"], summary["std_pop"] or 1.0), "matrix")
+    scaled_rows = _scaled_matrix(df, y, row_id, usable, summary["mean"], summary["std_pop"] or 1.0)
+    matrix = save_table(_gathered(scaled_rows, rows * len(names)), "matrix")
 
     importances = forest.rf_bootstrap(matrix, names, settings.forest, rows=rows)
     per_replicate = (len(names), settings.forest.replicates)
-    stats = forest.importance_stats(importances, sizes=(settings.forest.replicates, len(names)))
+    stats, _ = fix_small(forest.importance_stats(importances, sizes=(settings.forest.replicates, len(names))))
     positive = forest.positive_importance(stats)
     chosen = [r["variable"] for r in top_n(positive, "mean", settings.forest_top).collect()]
     stages.append(("RF_COMPLETED", clock()))
@@ -210,6 +212,11 @@ def _scaled_matrix(
     )
 
 
+def _gathered(matrix: DataFrame, cells: int) -> DataFrame:
+    """A small matrix in one sorted file, as its forests then run side by side; a large one unchanged."""
+    return matrix.coalesce(1).sortWithinPartitions("row_id") if cells <= forest.SMALL_CELLS else matrix
+
+
 def _take(positions: list[int]):
     return F.array(*[F.get("x", F.lit(p)) for p in positions])
 
