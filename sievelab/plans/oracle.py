@@ -108,6 +108,118 @@ best AS (
   SELECT * FROM scored
   QUALIFY row_number() OVER (PARTITION BY suggestion ORDER BY mean_of_corr_mic DESC, final) = 1)"""
 
+
+
+def _forward(parameters: str) -> str:
+    """Forward selection by sweeping each fold's product matrix (fold -1 holds all rows) on the best feature so far.
+
+    ``parameters`` is the number of parameters charged to a model of ``step`` features.
+    """
+
+    def adjusted() -> str:
+        return f"1 - (1 - r2) * (n - 1) / (n - {parameters} - 1)"
+
+    return f"""RECURSIVE {EMB},
+pool AS (SELECT row_id, variable, value FROM emb UNION ALL SELECT row_id, '~y', y FROM base),
+place AS (SELECT row_id, CAST(ntile(5) OVER (ORDER BY row_id) - 1 AS INTEGER) AS fold FROM base),
+owner AS (SELECT row_id, fold FROM place UNION ALL SELECT row_id, -1 FROM place),
+product AS (
+  SELECT f.fold, a.variable AS i, b.variable AS j, sum(a.value * b.value) AS g
+  FROM pool a JOIN pool b USING (row_id) JOIN owner f USING (row_id) GROUP BY ALL),
+sweep AS (
+  SELECT 0 AS step, fold, i, j, g, CAST(NULL AS VARCHAR) AS added FROM product
+  UNION ALL
+  (WITH s AS (SELECT * FROM sweep),
+   pick AS (SELECT a.i AS k FROM s a JOIN s d ON d.fold = -1 AND d.i = a.i AND d.j = a.i
+            WHERE a.fold = -1 AND a.j = '~y' AND a.i <> '~y' AND d.g > 0
+            ORDER BY a.g * a.g / d.g DESC, a.i LIMIT 1)
+   SELECT s.step + 1, s.fold, s.i, s.j,
+          CASE WHEN s.i = k AND s.j = k THEN -1 / p.g WHEN s.i = k OR s.j = k THEN s.g / p.g
+               ELSE s.g - r.g * c.g / p.g END, k
+   FROM s, pick
+   JOIN s r ON r.fold = s.fold AND r.i = s.i AND r.j = k
+   JOIN s c ON c.fold = s.fold AND c.i = k AND c.j = s.j
+   JOIN s p ON p.fold = s.fold AND p.i = k AND p.j = k)),
+spread AS (SELECT fold, count(*) AS n, var_pop(y) * count(*) AS sst FROM base JOIN owner USING (row_id) GROUP BY fold),
+fit AS (
+  SELECT step, added, fold, n, 1 - g / sst AS r2 FROM sweep JOIN spread USING (fold)
+  WHERE i = '~y' AND j = '~y' AND step > 0),
+scored AS (
+  SELECT step, any_value(added) AS added, max(CASE WHEN fold = -1 THEN {adjusted()} END) AS adj_r2,
+         avg(CASE WHEN fold >= 0 THEN {adjusted()} END) AS kfold_adj_r2
+  FROM fit GROUP BY step),
+marked AS (
+  SELECT *, lag(adj_r2) OVER (ORDER BY step) AS before,
+         CASE WHEN kfold_adj_r2 <= max(kfold_adj_r2) OVER (
+           ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS miss
+  FROM scored),
+struck AS (SELECT *, sum(miss) OVER (ORDER BY step) AS strikes FROM marked),
+trace AS (
+  SELECT * FROM struck
+  WHERE step < coalesce((SELECT min(step) FROM struck WHERE adj_r2 - before <= 0 OR strikes >= 10), 1000000))"""
+
+
+TRACE = """
+SELECT CAST(step - 1 AS INTEGER) AS step, CAST(step AS INTEGER) AS n_var, added,
+       round(adj_r2, 6) + 0.0 AS adj_r2, round(kfold_adj_r2, 6) + 0.0 AS kfold_adj_r2 FROM trace"""
+
+
+def _descent(name: str, gram: str, rows: str, penalties: str, rounds: int = 400) -> str:
+    """Lasso weights for each (step, alpha) of ``penalties`` by proximal gradient rounds on ``gram`` (i, j, g).
+
+    ``rows`` is the number of rows; the product with the response is the entry (i, '~y').
+    """
+    return f"""
+{name}_bound AS (SELECT max(s) AS b FROM (SELECT sum(abs(g)) AS s FROM {gram} WHERE i <> '~y' AND j <> '~y' GROUP BY i)),
+{name} AS (
+  SELECT 0 AS round, step, alpha, i AS j, CAST(0 AS DOUBLE) AS w FROM {penalties}, (SELECT DISTINCT i FROM {gram} WHERE i <> '~y')
+  UNION ALL
+  SELECT round + 1, step, alpha, i, sign(u) * greatest(abs(u) - ({rows}) * alpha / b, 0)
+  FROM (SELECT v.round, v.step, v.alpha, m.i, any_value(b) AS b,
+               max(CASE WHEN m.i = m.j THEN v.w END) - (sum(m.g * v.w) - any_value(q.g)) / any_value(b) AS u
+        FROM {name} v JOIN {gram} m ON m.j = v.j JOIN {gram} q ON q.i = m.i AND q.j = '~y', {name}_bound
+        WHERE v.round < {rounds} AND m.i <> '~y' GROUP BY v.round, v.step, v.alpha, m.i))"""
+
+
+LASSO = f"""RECURSIVE {EMB},
+split AS (
+  SELECT row_id, row_number() OVER (ORDER BY md5('42:0:' || row_id), row_id) <= ceil(0.3 * count(*) OVER ()) AS is_test
+  FROM base),
+unit AS (
+  SELECT row_id, variable, value / sqrt(sum(value * value) OVER (PARTITION BY variable)) AS value FROM emb
+  UNION ALL SELECT row_id, '~y', y FROM base),
+train AS (SELECT u.* FROM unit u JOIN split USING (row_id) WHERE NOT is_test),
+means AS (SELECT variable, avg(value) AS m FROM train GROUP BY variable),
+centred AS (SELECT row_id, variable, value - m AS value FROM train JOIN means USING (variable)),
+gram AS (
+  SELECT a.variable AS i, b.variable AS j, sum(a.value * b.value) AS g
+  FROM centred a JOIN centred b USING (row_id) GROUP BY ALL),
+grid AS (SELECT CAST(k AS INTEGER) AS step, power(10, -10 + 7 * CAST(k AS DOUBLE) / 99) AS alpha FROM range(100) t(k)),
+{_descent("path", "gram", "SELECT count(*) FROM split WHERE NOT is_test", "grid")},
+fitted AS (SELECT * FROM path WHERE round = 400),
+offsets AS (
+  SELECT step, (SELECT m FROM means WHERE variable = '~y') - sum(w * m) AS b
+  FROM fitted JOIN means ON means.variable = fitted.j GROUP BY step),
+predicted AS (
+  SELECT f.step, u.row_id, sum(f.w * u.value) AS p
+  FROM fitted f JOIN unit u ON u.variable = f.j GROUP BY f.step, u.row_id),
+errors AS (
+  SELECT p.step, s.is_test, 1 - sum(power(y - b - p, 2)) / (var_pop(y) * count(*)) AS r2
+  FROM predicted p JOIN offsets USING (step) JOIN base USING (row_id) JOIN split s USING (row_id) GROUP BY ALL),
+scores AS (
+  SELECT step, max(CASE WHEN NOT is_test THEN r2 END) AS train_score, max(CASE WHEN is_test THEN r2 END) AS test_score
+  FROM errors GROUP BY step)"""
+
+
+def _tail(rho: str) -> str:
+    """Two-sided p-value of correlation ``rho`` by Simpson's rule: the null density of asin(rho) is cos^(n-3)."""
+    start = f"asin(least({rho}, 1))"
+    width = f"least(pi() / 2 - {start}, 12 / sqrt(n - 3))"
+    return f"""(SELECT sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+              * power(cos({start} + {width} * k / 2000), n - 3)) * {width} / 6000
+       / (0.5 * exp(lgamma(0.5) + lgamma((n - 2) / 2) - lgamma((n - 1) / 2))) FROM range(2001) t(k))"""
+
+
 STATUS = """
 SELECT CAST(user_id AS VARCHAR) AS jobid, arg_min(event_type, (ts, event_id)) AS area,
        arg_max(event_type, (ts, event_id)) AS status,
@@ -269,6 +381,31 @@ FROM sums, range(100) t(k)""",
 fits AS (SELECT variable, 1 - (1 - ({R2})) * (count(*) - 1) / (count(*) - 2) AS adj_r2 FROM emb GROUP BY variable)
 SELECT variable, round(adj_r2, 6) + 0.0 AS adj_r2,
        row_number() OVER (ORDER BY fits.adj_r2 DESC, variable) = 1 AS is_best FROM fits""",
+    "step_forward": f"WITH {_forward('1')} {TRACE}",
+    "step_forward_penalised": f"WITH {_forward('step')} {TRACE}",
+    "best_model": f"""WITH {_forward("step")},
+top AS (SELECT step FROM trace ORDER BY kfold_adj_r2 DESC, step LIMIT 1),
+norms AS (SELECT variable, sqrt(sum(value * value)) AS norm FROM emb GROUP BY variable),
+terms AS (
+  SELECT c.i AS variable, c.g * norm AS score
+  FROM sweep c JOIN top USING (step) JOIN norms ON norms.variable = c.i
+  JOIN sweep d ON d.step = c.step AND d.fold = -1 AND d.i = c.i AND d.j = c.i
+  WHERE c.fold = -1 AND c.j = '~y' AND d.g < 0)
+SELECT variable, round(score, 6) + 0.0 AS score, round(abs(score), 6) + 0.0 AS abs_score FROM terms""",
+    "lasso_path_exact": f"""WITH {LASSO}
+SELECT round(log10(alpha), 6) + 0.0 AS log_alpha, round(train_score, 6) + 0.0 AS train_score,
+       round(test_score, 6) + 0.0 AS test_score, n_nonzero
+FROM scores JOIN grid USING (step)
+JOIN (SELECT step, CAST(sum(CASE WHEN w <> 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_nonzero FROM fitted GROUP BY step)
+USING (step)""",
+    "lasso_select_exact": f"""WITH {LASSO},
+chosen AS (SELECT step, alpha FROM grid JOIN scores USING (step) ORDER BY test_score DESC, step LIMIT 1),
+whole AS (
+  SELECT a.variable AS i, b.variable AS j, sum(a.value * b.value) AS g
+  FROM unit a JOIN unit b USING (row_id) GROUP BY ALL),
+{_descent("final", "whole", "SELECT count(*) FROM base", "chosen")}
+SELECT j AS variable, round(w, 6) + 0.0 AS score, round(abs(w), 6) + 0.0 AS abs_score
+FROM final WHERE round = 400 AND w <> 0""",
     "model_quality": f"""WITH {EMB},
 fit AS (
   SELECT count(*) AS n,
@@ -290,6 +427,10 @@ SELECT f.final, e.suggestion FROM (SELECT DISTINCT variable AS suggestion FROM e
        (VALUES ('emb.08'), ('emb.35'), ('emb.46')) f(final)""",
     "spearman_pairs": f"""WITH {RANKED}
 SELECT final, suggestion, {_six("abs_spearman_fs", "abs_spearman_ts")}, (SELECT count(*) FROM base) AS n FROM pairs""",
+    "spearman_pvalue": f"""WITH {RANKED},
+sized AS (SELECT *, (SELECT count(*) FROM base) AS n FROM pairs)
+SELECT final, suggestion, round({_tail("abs_spearman_fs")}, 6) + 0.0 AS p_fs,
+       round({_tail("abs_spearman_ts")}, 6) + 0.0 AS p_ts FROM sized""",
     "mic_grid": f"""WITH lines AS (
   SELECT 'line.quantity' AS variable, l_quantity AS value, l_extendedprice AS y FROM lineitem
   UNION ALL SELECT 'line.discount', l_discount, l_extendedprice FROM lineitem

@@ -345,16 +345,26 @@ def forward_step1(spark: SparkSession, sf: str) -> DataFrame:
     return _r(candidates.withColumn("is_best", F.col("variable") == best), "adj_r2")
 
 
+def _trace(spark: SparkSession, sf: str, penalty: str) -> DataFrame:
+    return stepwise.step_forward(_embedding_moments(spark, sf, True), fx.EMBEDDING_FEATURES, penalty=penalty)
+
+
+def _trace_rows(trace: DataFrame) -> DataFrame:
+    """The trace with the feature each step added."""
+    added = F.element_at("var_included", -1).alias("added")
+    return _r(trace.select("step", "n_var", added, "adj_r2", "kfold_adj_r2"), "adj_r2", "kfold_adj_r2")
+
+
 def step_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return stepwise.step_forward(_embedding_moments(spark, sf, True), fx.EMBEDDING_FEATURES)
+    return _trace_rows(_trace(spark, sf, "single"))
 
 
 def step_forward_penalised(spark: SparkSession, sf: str) -> DataFrame:
-    return stepwise.step_forward(_embedding_moments(spark, sf, True), fx.EMBEDDING_FEATURES, penalty="n_vars")
+    return _trace_rows(_trace(spark, sf, "n_vars"))
 
 
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
-    return stepwise.best_model(step_forward_penalised(spark, sf))
+    return _r(stepwise.best_model(_trace(spark, sf, "n_vars")), "score", "abs_score")
 
 
 def model_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,16 +382,34 @@ def _lasso_moments(spark: SparkSession, sf: str):
     return parts[0].rescaled(norms), parts[1].rescaled(norms)
 
 
-def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
+def _best_lasso(spark: SparkSession, sf: str, tol: float) -> DataFrame:
     train, test = _lasso_moments(spark, sf)
-    return lasso.lasso_path(spark, train, test, sampling.alpha_values())
+    path = lasso.lasso_path(spark, train, test, sampling.alpha_values(), tol)
+    alpha = ranking.argmax(path, "test_score", ["alpha"]).first()["alpha"]
+    return lasso.lasso_select(spark, train + test, fx.EMBEDDING_FEATURES, alpha, tol)
+
+
+def _lasso_scores(spark: SparkSession, sf: str, tol: float) -> DataFrame:
+    path = lasso.lasso_path(spark, *_lasso_moments(spark, sf), sampling.alpha_values(), tol)
+    path = path.withColumn("log_alpha", F.log10("alpha"))
+    return _r(path.select("log_alpha", "train_score", "test_score", "n_nonzero"),
+              "log_alpha", "train_score", "test_score")
+
+
+def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
+    return _lasso_scores(spark, sf, lasso.TOLERANCE)
+
+
+def lasso_path_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _lasso_scores(spark, sf, 1e-12)
 
 
 def lasso_select(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _lasso_moments(spark, sf)
-    path = lasso.lasso_path(spark, train, test, sampling.alpha_values())
-    alpha = ranking.argmax(path, "test_score", ["alpha"]).first()["alpha"]
-    return lasso.lasso_select(spark, train + test, fx.EMBEDDING_FEATURES, alpha)
+    return _best_lasso(spark, sf, lasso.TOLERANCE)
+
+
+def lasso_select_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(_best_lasso(spark, sf, 1e-12), "score", "abs_score")
 
 
 def rf_importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -428,9 +456,8 @@ def spearman_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def spearman_p_values(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _pairs(spark, sf)
-    return pairs.withColumn("p_fs", spearman_pvalue(F.col("abs_spearman_fs"), F.col("n"))).withColumn(
-        "p_ts", spearman_pvalue(F.col("abs_spearman_ts"), F.col("n"))
-    )
+    tails = {f"p_{k}": spearman_pvalue(F.col(f"abs_spearman_{k}"), F.col("n")) for k in ("fs", "ts")}
+    return _r(pairs.withColumns(tails).select("final", "suggestion", "p_fs", "p_ts"), "p_fs", "p_ts")
 
 
 def mic_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -488,7 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_n, top_n_abs, argmax_global, argmax_per_group, distinct_values, adjusted_r2, above_median, result_code,
         train_test_split, bootstrap_samples, union_replicates, kfold_assign, kfold_r2,
         gram_matrix, ols_univariate_r2, lasso_univariate, forward_step1, step_forward, step_forward_penalised,
-        best_model, model_quality, lasso_path, lasso_select, rf_importance, rf_bootstrap,
+        best_model, model_quality, lasso_path, lasso_path_exact, lasso_select, lasso_select_exact, rf_importance, rf_bootstrap,
         spearman_target, feature_pairs, spearman_pairs, mic_grid, mic_optimized, mic_lookup, pair_table, blend_scores,
         suggestions,
     )
