@@ -185,15 +185,21 @@ def pack(df: DataFrame, features: list[str], keep: list[Column]) -> DataFrame:
     return df.select(*keep, F.array(*[number(column(f)) for f in features]).alias("x"))
 
 
-def packed_profile(packed: DataFrame) -> DataFrame:
-    """Per array position: rows, present values, mean, sample deviation, filled population deviation."""
-    cells = packed.select(F.posexplode("x").alias("pos", "value"))
+def job_profile(df: DataFrame, y: str, features: list[str]) -> DataFrame:
+    """One pass over the source: per position (0 = response, then the features) counts, mean and deviations.
+
+    The response's ``n`` counts all rows, a feature's only the rows with a response. ``std_pop_filled`` is the
+    population deviation once missing values are replaced by the mean.
+    """
+    values = F.array(*[number(column(c)) for c in [y, *features]])
+    cells = df.select(number(column(y)).isNotNull().alias("known"), F.posexplode(values).alias("pos", "value"))
     present, rows = F.count("value"), F.count(F.lit(1))
-    return cells.groupBy("pos").agg(
+    return cells.where("known OR pos = 0").groupBy("pos").agg(
         rows.alias("n"),
         present.alias("n_present"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
+        F.stddev_pop("value").alias("std_pop"),
         (F.stddev_pop("value") * F.sqrt(present / rows)).alias("std_pop_filled"),
     )
 

@@ -104,10 +104,12 @@ def equal_parts(sizes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def optimized_score(x: np.ndarray, y: np.ndarray, c: np.ndarray, bound: int, clumps: int) -> float:
-    """Best normalised information with equal parts on y and the best columns on x."""
+    """Best normalised information with equal parts on y and the best columns on x; points are distinct."""
     xs, column = np.unique(x, return_inverse=True)
     ys, row = np.unique(y, return_inverse=True)
-    row_sizes = np.bincount(row, weights=c)
+    dense = np.zeros((len(xs), len(ys)))
+    dense[column, row] = c
+    row_sizes = dense.sum(0)
     best = 0.0
     for parts in range(2, bound // 2 + 1):
         row_part = equal_parts(row_sizes, parts)
@@ -115,9 +117,7 @@ def optimized_score(x: np.ndarray, y: np.ndarray, c: np.ndarray, bound: int, clu
         if used < 2:
             continue
         most = bound // parts
-        table = np.zeros((len(xs), used))
-        np.add.at(table, (column, row_part[row]), c)
-        table = _merge_clumps(table)
+        table = _merge_clumps(np.add.reduceat(dense, np.flatnonzero(np.diff(row_part, prepend=-1)), axis=1))
         if len(table) > clumps * most:
             merged = np.zeros((clumps * most, used))
             np.add.at(merged, equal_parts(table.sum(1), clumps * most), table)

@@ -94,33 +94,26 @@ def feature_selection(
             status.stage_events(spark, job_id, area, stages),
         )
 
-    target = cleaning.number(column(y))
-    summary = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(target).alias("n_target"),
-        F.avg(target).alias("mean"),
-        F.stddev_samp(target).alias("std"),
-        F.stddev_pop(target).alias("std_pop"),
-    ).first()
-    usable: list[tuple[str, float, float]] = []
-    if summary["n"] >= cleaning.MIN_ROWS and summary["std"] != 0:
-        packed = cleaning.pack(cleaning.drop_null_target(df, y), features, [])
-        profile = cleaning.packed_profile(packed).where("std > 0").orderBy("pos").collect()  # one row per feature
-        usable = [(features[r["pos"]], r["mean"], r["std_pop_filled"]) for r in profile]
-    code = _guard(summary["n"], summary["std"], len(usable))
+    profile = {r["pos"]: r for r in cleaning.job_profile(df, y, features).collect()}  # one row per column
+    response = profile.pop(0, None)
+    usable = [
+        (features[pos - 1], r["mean"], r["std_pop_filled"]) for pos, r in sorted(profile.items()) if (r["std"] or 0) > 0
+    ]
+    code = _guard(response["n"] if response else 0, response["std"] if response else None, len(usable))
     if code is not None:
         return stop(code)
 
     names = [name for name, _, _ in usable]
-    rows = summary["n_target"]
-    scaled_rows = _scaled_matrix(df, y, row_id, usable, summary["mean"], summary["std_pop"] or 1.0)
+    rows = response["n_present"]
+    scaled_rows = _scaled_matrix(df, y, row_id, usable, response["mean"], response["std_pop"] or 1.0)
     matrix = save_table(_gathered(scaled_rows, rows * len(names)), "matrix")
 
     importances = forest.rf_bootstrap(matrix, names, settings.forest, rows=rows)
     per_replicate = (len(names), settings.forest.replicates)
     stats, _ = fix_small(forest.importance_stats(importances, sizes=(settings.forest.replicates, len(names))))
     positive = forest.positive_importance(stats)
-    chosen = [r["variable"] for r in top_n(positive, "mean", settings.forest_top).collect()]
+    # By name, as the descent's early stop depends on the order it visits the features in.
+    chosen = sorted(r["variable"] for r in top_n(positive, "mean", settings.forest_top).collect())
     stages.append(("RF_COMPLETED", clock()))
     details = {"importances": forest.rank_importance(importances, per_replicate), "importance_stats": stats}
 

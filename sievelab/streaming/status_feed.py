@@ -3,34 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievelab.operators.status import STATUS_SCHEMA, upsert_status
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of the status table below ``path``; empty before the first batch."""
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], STATUS_SCHEMA)
-    return spark.read.schema(STATUS_SCHEMA).parquet(f"{path}/version={max(versions)}")
+    """Newest version of the status table below ``path``."""
+    versions = spark.read.schema(f"{STATUS_SCHEMA}, version long").parquet(path)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def follow_status(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Apply every available event to the table below ``path``, then stop.
 
-    Each micro-batch writes the next version from the one before it, so a batch that is run again after a failure
-    gives the same version and no event counts twice.
+    Micro-batches are numbered without gaps, and batch n writes version n from version n - 1. A batch that is run
+    again after a failure therefore gives the same version, and no event counts twice.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, path) if v < batch_id]
-        old = (
-            spark.read.schema(STATUS_SCHEMA).parquet(f"{path}/version={max(before)}")
-            if before
-            else spark.createDataFrame([], STATUS_SCHEMA)
-        )
+        if batch_id == 0:
+            old = spark.createDataFrame([], STATUS_SCHEMA)
+        else:
+            old = spark.read.schema(STATUS_SCHEMA).parquet(f"{path}/version={batch_id - 1}")
         upsert_status(old, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return (
@@ -39,18 +36,3 @@ def follow_status(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions below ``path``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    done = []
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-            done.append(int(name.removeprefix("version=")))
-    return done

@@ -79,13 +79,19 @@ def test_nan_counts_as_missing(spark):
     assert cleaning.drop_null_target(df, "a.b").count() == 1
 
 
-def test_packed_profile_gives_filled_deviation(spark):
-    df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (6.0, 7.0), (None, None)], "a double, b double")
-    rows = cleaning.packed_profile(cleaning.pack(df, ["a", "b"], [])).orderBy("pos").toPandas()
+def test_job_profile_counts_rows_with_a_response(spark):
+    data = [(1.0, 1.0, None), (2.0, 2.0, 5.0), (None, 99.0, 99.0), (4.0, 6.0, 7.0), (5.0, None, None)]
+    df = spark.createDataFrame(data, "y double, a double, b double")
+    rows = {r["pos"]: r for r in cleaning.job_profile(df, "y", ["a", "b"]).collect()}
     frame = df.toPandas()
-    filled = frame.fillna(frame.mean())
-    assert np.allclose(rows["mean"], frame.mean())
-    assert np.allclose(rows["std_pop_filled"], filled.std(ddof=0))
+    assert (rows[0]["n"], rows[0]["n_present"]) == (5, 4)
+    assert rows[0]["std_pop"] == pytest.approx(frame["y"].std(ddof=0))
+    kept = frame.dropna(subset=["y"])
+    filled = kept.fillna(kept.mean())
+    for pos, name in ((1, "a"), (2, "b")):
+        assert (rows[pos]["n"], rows[pos]["n_present"]) == (4, kept[name].count())
+        assert rows[pos]["mean"] == pytest.approx(kept[name].mean())
+        assert rows[pos]["std_pop_filled"] == pytest.approx(filled[name].std(ddof=0))
 
 
 def test_names_are_split_null_safe(spark):
