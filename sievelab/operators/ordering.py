@@ -14,15 +14,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROWS_PER_SLOT = 2_000_000
+ROWS_PER_SLOT = 500_000
 MAX_CUT_POINTS = 1 << 18
 MAX_SLOTS = 1 << 14
 HOT_SPREAD = 1024
 
-_SLOT, _HOT, _BEFORE, _SIZE, _SPREAD = "__slot", "__hot", "__before", "__size", "__spread"
+_SLOT, _HOT, _BEFORE, _SIZE, _NUMBER, _TASK = "__slot", "__hot", "__before", "__size", "__number", "__task"
 
 
 def slot_rows(rows: int, width: int) -> int:
@@ -62,7 +62,7 @@ def _place(df: DataFrame, by: list[str], value: str, slots: int) -> DataFrame:
     if by:
         placed = df.join(F.broadcast(cuts), by)
     else:
-        placed = df.withColumn("__cuts", F.lit(cuts.first()["__cuts"]))
+        placed = df.withColumn("__cuts", cuts.scalar())
     # Binary search for the number of cuts below the value, one projection per halving.
     placed = placed.withColumn("__lo", F.lit(0))
     step = 1 << max(0, (slots - 1).bit_length() - 1)
@@ -82,7 +82,7 @@ def _place(df: DataFrame, by: list[str], value: str, slots: int) -> DataFrame:
 
 
 def _slot_offsets(placed: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., slot, rows before the slot, rows in the slot, rows in the group); at most 2 x MAX_CUT_POINTS rows."""
+    """(by..., slot, its number, rows before it, rows in it, rows in the group); at most 2 x MAX_CUT_POINTS rows."""
     sizes = placed.groupBy(*by, _SLOT).agg(F.count(F.lit(1)).alias(_SIZE))
     whole = Window.partitionBy(*by)
     running = whole.orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -90,11 +90,19 @@ def _slot_offsets(placed: DataFrame, by: list[str]) -> DataFrame:
         *by,
         _SLOT,
         _SIZE,
+        F.row_number().over(Window.orderBy(*by, _SLOT)).cast("long").alias(_NUMBER),
         (F.sum(_SIZE).over(running) - F.col(_SIZE)).alias(_BEFORE),
         F.sum(_SIZE).over(whole).alias("group_rows"),
     )
 
 
+def _ties(group: WindowSpec, value: str) -> Column:
+    """Rows equal to this one: last minus first rank, so that one sort and one window give both."""
+    ordered = group.orderBy(value)
+    upto = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return upto - F.rank().over(ordered) + 1
+
+
 def with_ranks(
     df: DataFrame,
     value: str,
@@ -115,20 +123,20 @@ def with_ranks(
         return df.select(
             *[F.col(f"`{c}`") for c in columns],
             F.rank().over(group.orderBy(value)).cast("long").alias("min_rank"),
-            F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("ties"),
+            _ties(group, value).alias("ties"),
             F.count(F.lit(1)).over(group).alias("group_rows"),
         )
     placed = _place(df, by, value, slots)
     offsets = _slot_offsets(placed, by)
     rows = placed.join(F.broadcast(offsets), [*by, _SLOT])
     spread = F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(HOT_SPREAD)))
-    rows = rows.withColumn(_SPREAD, F.coalesce(spread, F.lit(0)))
-    slot = Window.partitionBy(*by, _SLOT, _SPREAD)
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*by, _SLOT, _SPREAD, value))
+    # One number for slot and spread keeps the sort's comparisons short.
+    rows = rows.withColumn(_TASK, F.col(_NUMBER) * HOT_SPREAD + F.coalesce(spread, F.lit(0)))
+    slot = Window.partitionBy(_TASK)
     return rows.select(
         *[F.col(f"`{c}`") for c in columns],
         (F.col(_BEFORE) + F.rank().over(slot.orderBy(value))).cast("long").alias("min_rank"),
-        F.when(F.col(_HOT), F.col(_SIZE)).otherwise(tied).alias("ties"),
+        F.when(F.col(_HOT), F.col(_SIZE)).otherwise(_ties(slot, value)).alias("ties"),
         F.col("group_rows"),
     )
 

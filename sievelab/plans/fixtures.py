@@ -71,7 +71,7 @@ def orders_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, y, x) with 64 features and a response planted on three of them plus label noise."""
-    x = F.transform("embedding", lambda e: e.cast("double"))
+    x = F.col("embedding").cast("array<double>")
     signal = F.lit(0.05) * F.col("label")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", x.alias("x"))
     for name, weight in PLANTED.items():

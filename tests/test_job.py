@@ -65,7 +65,7 @@ def test_row_order_and_partitions_do_not_matter(spark, sf, job):
     for name, column in (("importances", "importance"), ("lasso", "score")):
         a, b = (j.details[name].where(F.col("variable").isin(*fx.PLANTED)) for j in (job, again))
         left, right = (x.orderBy("variable", column).toPandas()[column] for x in (a, b))
-        assert np.allclose(left, right, rtol=2e-2)
+        assert np.allclose(left, right, rtol=2e-2, atol=1e-2)
     assert {r["suggestion"] for r in again.result.collect()} >= set(fx.PLANTED)
 
 
