@@ -42,7 +42,9 @@ def group_sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
     return df.count(), 1
 
 
-def _slot_count(largest: int, groups: int, rows_per_slot: int) -> int:
+def _slot_count(largest: int, groups: int, rows_per_slot: int, by: list[str]) -> int:
+    if by and largest <= 2 * rows_per_slot:
+        return 1  # the groups themselves are tasks enough
     wanted = max(1, math.ceil(largest / rows_per_slot))
     return max(1, min(wanted, MAX_SLOTS, MAX_CUT_POINTS // max(groups, 1)))
 
@@ -117,7 +119,7 @@ def with_ranks(
     by = by or []
     columns = df.columns
     largest, groups = sizes or group_sizes(df, by)
-    slots = _slot_count(largest, groups, rows_per_slot)
+    slots = _slot_count(largest, groups, rows_per_slot, by)
     if slots == 1:
         group = Window.partitionBy(*by)
         return df.select(
@@ -172,7 +174,7 @@ def values_at(
     """
     by = by or []
     largest, groups = sizes or group_sizes(df, by)
-    slots = _slot_count(largest, groups, rows_per_slot)
+    slots = _slot_count(largest, groups, rows_per_slot, by)
     narrow = df.select(*by, value)
     if slots == 1:
         counted = narrow.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
