@@ -112,6 +112,42 @@ def test_clumps_do_not_change_the_optimum():
     assert np.allclose(mic.best_columns(merged, 4), brute_force_columns(table, 4))
 
 
+def naive_half(x, y, bound):
+    """Equal parts on y point by point, all column cuts on x."""
+    n, best = len(x), 0.0
+    order = sorted(range(n), key=lambda i: y[i])
+    for parts in range(2, bound // 2 + 1):
+        row, current, held, left = {}, 0, 0, n
+        i = 0
+        while i < n:
+            tied = [j for j in order if y[j] == y[order[i]]]
+            wanted = left / (parts - current)
+            if held and abs(held + len(tied) - wanted) >= abs(held - wanted):
+                left, current, held = left - held, current + 1, 0
+            row.update(dict.fromkeys(tied, current))
+            held, i = held + len(tied), i + len(tied)
+        values = sorted(set(x))
+        used = len(set(row.values()))
+        if used < 2:
+            continue
+        table = np.zeros((len(values), parts))
+        for j in range(n):
+            table[values.index(x[j]), row[j]] += 1
+        for columns, score in enumerate(brute_force_columns(table, min(bound // parts, len(values))), start=2):
+            best = max(best, score / np.log(min(columns, used)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mic_against_all_grids(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.permutation(13).astype(float) if seed % 2 else rng.integers(0, 9, 13).astype(float)
+    y = np.round(x / 2 + rng.normal(size=13))
+    got = mic.mic(packed(spark, x[:, None], y), ["v"], alpha=0.9).first()["mic"]
+    bound = int(13**0.9)
+    assert got == pytest.approx(max(naive_half(x, y, bound), naive_half(y, x, bound)), abs=1e-9)
+
+
 def test_equal_parts_keep_ties_together():
     assert mic.equal_parts(np.ones(10), 5).tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
     assert mic.equal_parts(np.array([8.0, 1.0, 1.0]), 5).tolist()[0] == 0
