@@ -17,9 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sievelab.operators.joins import fix_small
+
 ROWS_PER_SLOT = 500_000
 MAX_CUT_POINTS = 1 << 18
 MAX_SLOTS = 1 << 14
+MANY_GROUPS = 1 << 12
 HOT_SPREAD = 1024
 
 _SLOT, _HOT, _BEFORE, _SIZE, _NUMBER, _TASK = "__slot", "__hot", "__before", "__size", "__number", "__task"
@@ -117,17 +120,42 @@ def with_ranks(
     ``value`` must be numeric and not null. ``sizes`` is (largest group, number of groups) if the caller knows it.
     """
     by = by or []
-    columns = df.columns
     largest, groups = sizes or group_sizes(df, by)
+    if groups > MANY_GROUPS and largest > 2 * rows_per_slot:
+        big, rest, n_big = _by_group_size(df, by, 2 * rows_per_slot)
+        cut = _ranks_in_slots(big, value, by, _slot_count(largest, n_big, rows_per_slot, by))
+        return cut.unionByName(_ranks_in_groups(rest, value, by))
     slots = _slot_count(largest, groups, rows_per_slot, by)
-    if slots == 1:
-        group = Window.partitionBy(*by)
-        return df.select(
-            *[F.col(f"`{c}`") for c in columns],
-            F.rank().over(group.orderBy(value)).cast("long").alias("min_rank"),
-            _ties(group, value).alias("ties"),
-            F.count(F.lit(1)).over(group).alias("group_rows"),
-        )
+    return _ranks_in_groups(df, value, by) if slots == 1 else _ranks_in_slots(df, value, by, slots)
+
+
+def _by_group_size(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of groups above ``limit`` rows, all other rows, and the number of groups above.
+
+    Keeps a few very large groups among countless small ones from being ranked by one task each.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    large, n_large = fix_small(counts.where(F.col("__n") > limit).select(*by))
+    while n_large is None:  # more than 200,000 groups of that size: only the larger ones are worth cutting
+        limit *= 4
+        large, n_large = fix_small(counts.where(F.col("__n") > limit).select(*by))
+    large = F.broadcast(large)
+    return df.join(large, by, "left_semi"), df.join(large, by, "left_anti"), n_large
+
+
+def _ranks_in_groups(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """One task per group, for groups that fit."""
+    group = Window.partitionBy(*by)
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.rank().over(group.orderBy(value)).cast("long").alias("min_rank"),
+        _ties(group, value).alias("ties"),
+        F.count(F.lit(1)).over(group).alias("group_rows"),
+    )
+
+
+def _ranks_in_slots(df: DataFrame, value: str, by: list[str], slots: int) -> DataFrame:
+    columns = df.columns
     placed = _place(df, by, value, slots)
     offsets = _slot_offsets(placed, by)
     rows = placed.join(F.broadcast(offsets), [*by, _SLOT])
@@ -174,28 +202,50 @@ def values_at(
     """
     by = by or []
     largest, groups = sizes or group_sizes(df, by)
-    slots = _slot_count(largest, groups, rows_per_slot, by)
     narrow = df.select(*by, value)
-    if slots == 1:
-        counted = narrow.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-        counted = counted.withColumn("group_rows", F.sum("ties").over(Window.partitionBy(*by)))
-        counted = counted.withColumn(_BEFORE, F.lit(0))
-        group = Window.partitionBy(*by)
+    if groups > MANY_GROUPS and largest > 2 * rows_per_slot:
+        big, rest, n_big = _by_group_size(narrow, by, 2 * rows_per_slot)
+        cut = _counted_in_slots(big, value, by, _slot_count(largest, n_big, rows_per_slot, by), positions)
+        counted = cut.unionByName(_counted_in_groups(rest, value, by))
     else:
-        placed = _place(narrow, by, value, slots)
-        offsets = _slot_offsets(placed, by)
-        first, last = F.col(_BEFORE) + 1, F.col(_BEFORE) + F.col(_SIZE)
-        wanted = offsets.where(F.exists(positions(F.col("group_rows")), lambda p: (p >= first) & (p <= last)))
-        rows = placed.join(F.broadcast(wanted), [*by, _SLOT])
-        counted = rows.groupBy(*by, _SLOT, _BEFORE, "group_rows", value).agg(F.count(F.lit(1)).alias("ties"))
-        group = Window.partitionBy(*by, _SLOT)
-    below = F.sum("ties").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = counted.withColumn("min_rank", F.col(_BEFORE) + below - F.col("ties") + 1)
+        slots = _slot_count(largest, groups, rows_per_slot, by)
+        if slots == 1:
+            counted = _counted_in_groups(narrow, value, by)
+        else:
+            counted = _counted_in_slots(narrow, value, by, slots, positions)
     inside = F.filter(
         positions(F.col("group_rows")),
         lambda p: (p >= F.col("min_rank")) & (p < F.col("min_rank") + F.col("ties")),
     )
-    return hits.select(*by, F.explode(F.array_distinct(inside)).alias("position"), value, "group_rows")
+    return counted.select(*by, F.explode(F.array_distinct(inside)).alias("position"), value, "group_rows")
+
+
+def _first_rank(before: Column | int, group: WindowSpec, value: str) -> Column:
+    """Rank of the first row of each distinct value, from the values' counts."""
+    upto = F.sum("ties").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return before + upto - F.col("ties") + 1
+
+
+def _counted_in_groups(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., value, min_rank, ties, group_rows) per distinct value."""
+    group = Window.partitionBy(*by)
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    rank = _first_rank(F.lit(0), group, value).alias("min_rank")
+    return counted.select(*by, value, rank, "ties", F.sum("ties").over(group).alias("group_rows"))
+
+
+def _counted_in_slots(
+    df: DataFrame, value: str, by: list[str], slots: int, positions: Callable[[Column], Column]
+) -> DataFrame:
+    """The same for the values of slots that hold a wanted position."""
+    placed = _place(df, by, value, slots)
+    offsets = _slot_offsets(placed, by)
+    first, last = F.col(_BEFORE) + 1, F.col(_BEFORE) + F.col(_SIZE)
+    wanted = offsets.where(F.exists(positions(F.col("group_rows")), lambda p: (p >= first) & (p <= last)))
+    rows = placed.join(F.broadcast(wanted), [*by, _SLOT])
+    counted = rows.groupBy(*by, _SLOT, _BEFORE, "group_rows", value).agg(F.count(F.lit(1)).alias("ties"))
+    rank = _first_rank(F.col(_BEFORE), Window.partitionBy(*by, _SLOT), value).alias("min_rank")
+    return counted.select(*by, value, rank, "ties", "group_rows")
 
 
 def quantiles(

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sievelab.operators import joins
+from sievelab.operators import joins, ordering
 from sievelab.operators.ordering import average_rank, quantiles, values_at, with_ranks
 from sievelab.operators.profile import describe_features
 
@@ -83,6 +83,19 @@ def test_describe_sketch_is_close(skewed):
     assert ((low <= got["p50"]) & (got["p50"] <= high)).all()
 
 
+def test_one_large_group_among_many_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MANY_GROUPS", 50)
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"k": np.where(rng.random(6000) < 0.35, 0, rng.integers(1, 400, 6000)), "v": rng.normal(size=6000)})
+    data["v"] = data["v"].round(2)
+    data["row_id"] = np.arange(6000)
+    df = spark.createDataFrame(data)
+    got = average_rank(df, "v", ["k"], rows_per_slot=200).toPandas().set_index("row_id")["avg_rank"].sort_index()
+    assert np.array_equal(got, data.groupby("k")["v"].rank())
+    middle = quantiles(df, "v", {"m": 0.5}, ["k"], rows_per_slot=200).toPandas().set_index("k")["m"].sort_index()
+    assert np.allclose(middle, data.groupby("k")["v"].median())
+
+
 def test_attach_small_falls_back_to_salted_join(spark, skewed):
     data, df = skewed
     small = spark.createDataFrame([("g.0", 1), ("g.1", 2), ("g.3", 3)], "variable string, tag int")
