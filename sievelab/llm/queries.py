@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievelab.llm.common import read_documents
 from sievelab.llm.fingerprints import fingerprint_documents
+from sievelab.llm.packing import pack_documents
 from sievelab.llm.sharding import shard_documents
+from sievelab.llm.token_files import token_file_digest
 
 
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_documents(spark, sf_dir))
 
 
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_documents(spark, sf_dir))
+
+
+def op9_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(read_documents(spark, sf_dir))
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_documents(spark, sf_dir))
 
 
 LLM_QUERIES = {
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
+    "op5_retrieval_packing": op5_retrieval_packing,
+    "op9_patched_blocks": op9_patched_blocks,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
 }
 LLM_SQL: dict[str, str] = {}
