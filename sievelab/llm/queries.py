@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelab.llm.common import read_documents
+from sievelab.llm.decontaminate import find_leaks
 from sievelab.llm.fingerprints import fingerprint_documents
 from sievelab.llm.packing import pack_documents
+from sievelab.llm.secrets import scan_secrets
 from sievelab.llm.sharding import shard_documents
 from sievelab.llm.token_files import token_file_digest
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_documents(spark, sf_dir))
 
@@ -19,6 +25,10 @@ def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_documents(spark, sf_dir))
+
+
 def op9_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_documents(spark, sf_dir))
 
@@ -28,8 +38,10 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
     "op5_retrieval_packing": op5_retrieval_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_patched_blocks": op9_patched_blocks,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
 }
