@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievelab.llm.common import read_documents
 from sievelab.llm.decontaminate import find_leaks
 from sievelab.llm.fingerprints import fingerprint_documents
+from sievelab.llm.near_dedup import Spec, near_duplicates
 from sievelab.llm.packing import pack_documents
 from sievelab.llm.secrets import scan_secrets
 from sievelab.llm.sharding import shard_documents
@@ -25,6 +26,10 @@ def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir))
 
 
+def op6_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir), Spec(words=2))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ LLM_QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
     "op5_retrieval_packing": op5_retrieval_packing,
+    "op6_tensored_minhash": op6_tensored_minhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_patched_blocks": op9_patched_blocks,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
