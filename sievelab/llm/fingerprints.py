@@ -107,8 +107,10 @@ def fingerprint_documents(
     places = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("copy")))
     copied = F.array(F.struct(before.cast("int").alias("b"), F.lit(1).alias("copy")))
     dealt = base.withColumn("__to", F.explode(F.when(opens, F.concat(places, copied)).otherwise(places)))
+    # columns and not fields, else the second window does not see that the first one's partitions are its own
+    dealt = dealt.select("doc_id", "__key", "__text", F.col("__to.b").alias("__range"), F.col("__to.copy").alias("__copy"))
 
-    order = Window.partitionBy(F.col("__to.b")).orderBy(F.col("__to.copy"), "__key", "__text")
+    order = Window.partitionBy("__range").orderBy("__copy", "__key", "__text")
     n = F.length("__text")
     half = F.floor(n / 2).cast("int")
     rows = (
@@ -120,7 +122,7 @@ def fingerprint_documents(
     )
     rows = with_sketch(rows, F.col("__text"), "__sketch", k, size)
     rows = with_sketch(rows, F.col("__edited"), "__edited_sketch", k, size)
-    rows = rows.withColumn("__next_sketch", F.lead("__sketch").over(order)).filter(F.col("__to.copy") == 0)
+    rows = rows.withColumn("__next_sketch", F.lead("__sketch").over(order)).filter(F.col("__copy") == 0)
     a, e, b = F.col("__sketch"), F.col("__edited_sketch"), F.col("__next_sketch")
     return rows.select(
         "doc_id",
