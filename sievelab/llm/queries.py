@@ -9,6 +9,7 @@ from sievelab.llm.decontaminate import find_leaks
 from sievelab.llm.fingerprints import fingerprint_documents
 from sievelab.llm.near_dedup import Spec, near_duplicates
 from sievelab.llm.packing import pack_documents
+from sievelab.llm.pii import find_personal_data
 from sievelab.llm.secrets import scan_secrets
 from sievelab.llm.sharding import shard_documents
 from sievelab.llm.token_files import token_file_digest
@@ -22,6 +23,10 @@ def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_documents(spark, sf_dir))
 
 
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_documents(spark, sf_dir))
+
+
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir))
 
@@ -45,6 +50,7 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
+    "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_tensored_minhash": op6_tensored_minhash,
     "op8_secret_scan": op8_secret_scan,
