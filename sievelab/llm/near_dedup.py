@@ -300,3 +300,25 @@ def near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
     show is lost and nothing is capped. Links are confirmed on whole sets of 64-bit shingle hashes.
     """
     return NearDuplicates(docs, spec or Spec()).result()
+
+
+def drop_near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, one row for each; all columns stay as they were.
+
+    Rows of one id and text are one document, and so are rows of one id whose sets are equal: the one of the smallest text
+    hash stays. Rows without an id are kept unless they are like one with an id, one of each like group.
+    """
+    spec = spec or Spec()
+    found = save_table(near_duplicates(docs, spec), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone, known = fix_small(gone, spec.broadcast_rows)
+    gone = F.broadcast(gone) if known is not None else gone
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = save_table(again, "repeated-ids")
+    if again.isEmpty():
+        return left
+    # several rows of one id (or of none): one row of each text
+    repeated = F.col("doc_id").cast("long").eqNullSafe(F.col("__again"))
+    one = left.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, repeated, "left_anti").unionByName(one)

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sievelab.llm.common import read_documents
 from sievelab.llm.decontaminate import find_leaks
 from sievelab.llm.fingerprints import fingerprint_documents
+from sievelab.llm.language import identify_languages
 from sievelab.llm.near_dedup import Spec, near_duplicates
 from sievelab.llm.packing import pack_documents
 from sievelab.llm.pii import find_personal_data
+from sievelab.llm.quality import document_quality
 from sievelab.llm.secrets import scan_secrets
 from sievelab.llm.sharding import shard_documents
 from sievelab.llm.token_files import token_file_digest
@@ -27,6 +29,10 @@ def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_documents(spark, sf_dir))
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_documents(spark, sf_dir))
+
+
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir))
 
@@ -35,6 +41,10 @@ def op6_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir), Spec(words=2))
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_documents(spark, sf_dir))
 
@@ -51,8 +61,10 @@ LLM_QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_bottom_k_fingerprints": op2_bottom_k_fingerprints,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
+    "op4_language_mixture": op4_language_mixture,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_tensored_minhash": op6_tensored_minhash,
+    "op7_attention_quality": op7_attention_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_patched_blocks": op9_patched_blocks,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
