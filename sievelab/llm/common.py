@@ -21,6 +21,16 @@ def full_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def id_key() -> Column:
+    """doc_id without nulls, which pandas would make a float column of: the least long stands for null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MIN)).alias("doc_id")
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """Undo id_key()."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != LONG_MIN, F.col("doc_id")))
+
+
 def fold(remainders: int) -> Column:
     """crc32 of the document id as text, modulo ``remainders``; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainders, F.lit(0))

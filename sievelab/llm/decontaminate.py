@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelab.llm.common import full_text, id_key, with_null_ids
+
 ERROR_RATE = 0.08  # edits allowed for each character of an item
 MIN_CHARS = 20  # normalised items below this are not searched
 BLOCK_CHARS = 1_000_000  # benchmark text searched in one pass over the documents
@@ -171,7 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             searcher = Searcher(items)
             for frame in frames:
                 rows = []
-                for missing, doc, text in zip(frame["doc_id"].isna(), frame["doc_id"], frame["text"], strict=True):
+                for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                     closest: dict[int | None, tuple] = {}
                     for i, match in searcher.matches(normalise(text)).items():
                         item = items[i]
@@ -179,12 +180,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                         closest[item.item_id] = min(closest.get(item.item_id, row), row)
                     for item_id, (distance, budget, chars, start, end) in closest.items():
                         span = original_span(text, start, end)
-                        rows.append((None if missing else int(doc), item_id, distance, budget, chars, *span))
+                        rows.append((doc, item_id, distance, budget, chars, *span))
                 names = [x.split()[0] for x in LEAKS.split(", ")]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names).astype({"item_id": "Int64"})
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-        return texts.mapInPandas(leaks, LEAKS)
+        texts = docs.select(id_key(), "text").filter(F.col("text").isNotNull())
+        return with_null_ids(texts.mapInPandas(leaks, LEAKS))
 
     parts = [search(items) for items in benchmark_blocks(benchmark, **options)]
     found = parts[0]
@@ -201,11 +202,11 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark item, as they were; rows with a null text stay."""
     for items in benchmark_blocks(benchmark, **options):
 
-        def clean(frames: Iterator[pd.DataFrame], items: list[Item] = items) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("boolean")
+        def clean(texts: Iterator[pd.Series], items: list[Item] = items) -> Iterator[pd.Series]:
             searcher = Searcher(items)
-            for frame in frames:
-                kept = [x is None or not searcher.matches(normalise(x)) for x in frame["text"]]
-                yield frame[np.array(kept, dtype=bool)]
+            for part in texts:
+                yield pd.Series([not searcher.matches(normalise(x)) for x in part], dtype=bool)
 
-        docs = docs.mapInPandas(clean, docs.schema)
+        docs = docs.where(clean(full_text()))
     return docs

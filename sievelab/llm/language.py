@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import fold, full_text
+from sievelab.llm.common import fold, full_text, id_key, with_null_ids
 
 BUCKETS = 1 << 15
 SLICE = 1 << 20  # characters of one text counted at once
@@ -132,12 +132,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 text_form = ",".join(f"{languages[k]}:{shares[k]:.4f}" for k in order)
                 rows.append((languages[order[0]], float(min(1.0, shares[order[0]])), text_form))
             out = pd.DataFrame(rows, columns=["lang_pred", "score", "mixture"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", frame["doc_id"])
             out.insert(1, "held_out", frame["held_out"])
             yield out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(5) == 0).alias("held_out"), full_text().alias("text"))
-    return texts.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
+    texts = docs.select(id_key(), (fold(5) == 0).alias("held_out"), full_text().alias("text"))
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, mixture string"
+    return with_null_ids(texts.mapInPandas(predict, schema))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

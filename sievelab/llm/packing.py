@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import full_text
+from sievelab.llm.common import full_text, id_key, with_null_ids
 from sievelab.llm.word_ids import encoder
 
 WINDOW = 1_024
@@ -118,7 +118,7 @@ def pack_documents(
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     shards = max(1, math.ceil(docs.count() / indexed))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
+    rows = docs.select(id_key(), full_text().alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,14 +126,12 @@ def pack_documents(
         for frame in frames:
             out = []
             found = words.encode(frame["text"].tolist())
-            for shard, missing, doc, ids in zip(frame["shard"], frame["doc_id"].isna(), frame["doc_id"], found, strict=True):
+            for shard, doc, ids in zip(frame["shard"], frame["doc_id"], found, strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                 whole = len(ids) // window * window
-                doc = None if missing else int(doc)
                 crc = [zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)]
                 out.append((shard, doc, len(ids), crc, ids[whole:].astype(words.dtype).tobytes()))
-            names = ["shard", "doc_id", "doc_tokens", "crcs", "rest"]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["shard", "doc_id", "doc_tokens", "crcs", "rest"])
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dtype = encoder(vocabulary, keeps_space).dtype
@@ -153,28 +151,27 @@ def pack_documents(
                     out.append((doc, begin, length, crc, total, (shard << 32) | number, offset, score))
                     offset += length
                 number += 1
-            return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "neighbour_score": "float64"})
+            return pd.DataFrame(out, columns=names).astype({"neighbour_score": "float64"})
 
         for frame in frames:
             out = []
-            rows = zip(frame["shard"], frame["doc_id"].isna(), frame["doc_id"], frame["doc_tokens"], frame["crcs"], frame["rest"], strict=True)
-            for s, missing, doc, total, crcs, rest in rows:
+            columns = [frame[c] for c in ("shard", "doc_id", "doc_tokens", "crcs", "rest")]
+            for s, doc, total, crcs, rest in zip(*columns, strict=True):
                 if held and (s != shard or len(held) >= 2 * indexed):
                     yield fill()
                     held = []
                 if s != shard:
                     shard, number = int(s), 0
-                doc = None if missing else int(doc)
                 for i, crc in enumerate(crcs):
                     out.append((doc, i * window, window, crc, total, (shard << 32) | number, 0, None))
                     number += 1
                 if rest:
                     held.append((doc, int(total), rest))
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "neighbour_score": "float64"})
+                yield pd.DataFrame(out, columns=names).astype({"neighbour_score": "float64"})
         if held:
             yield fill()
 
     encoded = rows.mapInPandas(tokens, "shard long, doc_id long, doc_tokens long, crcs array<long>, rest binary")
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "doc_tokens", "rest")
-    return ordered.mapInPandas(packed, PIECES)
+    return with_null_ids(ordered.mapInPandas(packed, PIECES))

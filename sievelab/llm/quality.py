@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import fold, frames_by_size, full_text
+from sievelab.llm.common import fold, frames_by_size, full_text, id_key, text_groups, with_null_ids
 
 PASSAGE = 400  # characters
 CLASSES = 8
@@ -213,23 +213,24 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
         classes = char_classes()
         for frame in frames_by_size(frames, "text", GROUP_CHARS):
             score = scores(frame["text"].tolist(), model, classes)
-            ids = frame["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "held_out": frame["held_out"], "score": score, "predicted": (score >= threshold).astype("int32")})
+            out = frame[["doc_id", "held_out"]].assign(score=score)
+            yield out.assign(predicted=(score >= threshold).astype("int32"))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(4) == 2).alias("held_out"), full_text().alias("text"))
-    return texts.mapInPandas(predict, "doc_id long, held_out boolean, score double, predicted int")
+    texts = docs.select(id_key(), (fold(4) == 2).alias("held_out"), full_text().alias("text"))
+    return with_null_ids(texts.mapInPandas(predict, "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, as they were."""
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         classes = char_classes()
-        for frame in frames_by_size((f.assign(__text=f["text"].fillna("")) for f in frames), "__text", GROUP_CHARS):
-            good = scores(frame["__text"].tolist(), model, classes) >= threshold
-            yield frame[good].drop(columns="__text")
+        for part in texts:
+            found = [scores(part[r.start : r.stop].tolist(), model, classes) for r in text_groups(part.tolist(), GROUP_CHARS)]
+            yield pd.Series(np.concatenate([*found, np.zeros(0)]) >= threshold)
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.where(good(full_text()))
 
 
 def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

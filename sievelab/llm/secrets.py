@@ -10,9 +10,8 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sievelab.llm.common import full_text
+from sievelab.llm.common import full_text, id_key, with_null_ids
 
 KINDS = ("assign", "access", "hex", "password")
 ASSIGN = re.compile(
@@ -180,9 +179,8 @@ def scan_secrets(docs: DataFrame, least: float = GUESSES) -> DataFrame:
                 rows.append((*number, digest, joined(everything), max((x[3] for x in added), default=None)))
             names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "most_guesses"]
             out = pd.DataFrame(rows, columns=names).astype({"most_guesses": "float64"})
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", frame["doc_id"])
             yield out
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, most_guesses double"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
-    return texts.mapInPandas(scan, schema)
+    return with_null_ids(docs.select(id_key(), full_text().alias("text")).mapInPandas(scan, schema))

@@ -2,14 +2,14 @@
 
 A segment is one byte string that can be read alone (numbers are little-endian):
 
-    "PFR1" | documents u32 | ids u64 | blocks u32 | bytes of block data u64 | ids before it in its bucket u64
-    document ids i64[documents] | 1 where the id is null u8[documents] | ids per document u64[documents]
-    block starts u64[blocks]: the place of each block in the block data
-    block data, for each block: minimum u32 | width u8 | exceptions u8 | zero u16
-        | 128 differences from the minimum, `width` bits each | exception places u8[] | exception differences u32[]
-
-A block's width is what its differences need at the chosen percentile; larger ones are exceptions and hold zero in the
-packed part. The last block is filled up with its minimum.
+    "PFR1" | documents u32 | ids u64 | blocks u32 | packed words u64 | exceptions u64 | ids before it in its bucket u64
+    document ids i64[documents], the least for null | ids per document u64[documents]
+    block index, for each block: minimum u32 | first packed word u32 | exceptions before it u32 | width u8 | exceptions u8 | 0 u16
+    packed words u32[] | exception places u8[] | exception differences u32[]
+
+A block holds 128 ids as differences from its minimum, in the width that the chosen percentile of them needs; larger ones are
+exceptions and hold zero in the packed part. Difference i is number i // 4 of lane i % 4; a lane's 32 differences lie bit by bit
+in `width` words, and the words of the four lanes alternate. The last block is filled up with its minimum.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,26 +25,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import LONG_MIN, bucket_of, cut_points, full_text
+from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, with_null_ids
 from sievelab.llm.word_ids import encoder
 from sievelab.sources.scratch import scratch_path
 
 BLOCK = 128
 PERCENTILE = 90
-HEAD = "<4sIQIQQ"
+HEAD = "<4sIQIQQQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 SEGMENT_IDS = 1 << 20
 ROWS_PER_BUCKET = 1_000
 AT_ONCE = 4_096  # blocks packed or unpacked together
 
 
-def _bit_length(values: np.ndarray) -> np.ndarray:
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+INDEX = [("low", "<u4"), ("first", "<u4"), ("patched", "<u4"), ("width", "u1"), ("number", "u1"), ("zero", "<u2")]
 
 
-def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
-    """Block starts and block data of ``ids`` (below 2^32)."""
-    starts, data, base = [], [], 0
+class Packed(NamedTuple):
+    index: np.ndarray  # INDEX records
+    words: np.ndarray
+    places: np.ndarray
+    outliers: np.ndarray
+
+
+def _lanes(width: int) -> Iterator[tuple[int, int, int]]:
+    """Number, word and shift of each of a lane's differences."""
+    for i in range(BLOCK // 4):
+        yield i, i * width // 32, i * width % 32
+
+
+def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> Packed:
+    """Blocks of ``ids`` (below 2^32)."""
+    parts: list[Packed] = []
+    first = patched = 0
+    rank = min(BLOCK - 1, max(0, int(np.ceil(BLOCK * percentile / 100)) - 1))
     for at in range(0, len(ids), BLOCK * AT_ONCE):
         part = ids[at : at + BLOCK * AT_ONCE].astype(np.uint32)
         if len(part) % BLOCK:
@@ -52,96 +67,106 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.nda
         blocks = part.reshape(-1, BLOCK)
         low = blocks.min(axis=1)
         diff = blocks - low[:, None]
-        rank = min(BLOCK - 1, max(0, int(np.ceil(BLOCK * percentile / 100)) - 1))
-        width = _bit_length(np.partition(diff, rank, axis=1)[:, rank])
-        outlier = diff >> width[:, None].astype(np.uint64) != 0
+        width = np.frexp(np.partition(diff, rank, axis=1)[:, rank].astype(float))[1].astype(np.int64)
+        outlier = diff > ((np.int64(1) << width) - 1).astype(np.uint32)[:, None]
         number = outlier.sum(axis=1)
-        size = 8 + width * (BLOCK // 8) + 5 * number
-        start = np.concatenate([[0], np.cumsum(size)])
-        out = np.zeros(start[-1], dtype=np.uint8)
-        head = np.zeros(len(blocks), dtype=[("low", "<u4"), ("width", "u1"), ("number", "u1"), ("zero", "<u2")])
-        head["low"], head["width"], head["number"] = low, width, number
-        out[start[:-1, None] + np.arange(8)] = head.view(np.uint8).reshape(-1, 8)
-        for w in np.unique(width[width > 0]):
+        outliers = diff[outlier]
+        places = np.nonzero(outlier)[1].astype(np.uint8)
+        diff[outlier] = 0
+        size = 4 * width
+        start = np.cumsum(size) - size
+        words = np.zeros(int(size.sum()), dtype=np.uint32)
+        for w in map(int, np.unique(width[width > 0])):
             rows = np.flatnonzero(width == w)
-            kept = np.where(outlier[rows], 0, diff[rows]).astype("<u4")
-            bits = np.unpackbits(kept.view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, count=int(w), bitorder="little")
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-            out[(start[rows] + 8)[:, None] + np.arange(packed.shape[1])] = packed
-        row, place = np.nonzero(outlier)
-        if len(row):
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            first = (start[:-1] + 8 + width * (BLOCK // 8))[row]
-            out[first + nth] = place
-            value = diff[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
-            out[(first + number[row] + 4 * nth)[:, None] + np.arange(4)] = value
-        starts.append(start[:-1] + base)
-        data.append(out.tobytes())
-        base += int(start[-1])
-    return np.concatenate(starts) if starts else np.zeros(0, np.int64), b"".join(data)
-
-
-def unpack_blocks(starts: np.ndarray, data: np.ndarray, ids: int) -> np.ndarray:
-    """The first ``ids`` ids of consecutive blocks that start at ``starts`` in ``data`` (bytes)."""
-    out = np.zeros((len(starts), BLOCK), dtype=np.uint32)
-    for at in range(0, len(starts), AT_ONCE):
-        start = starts[at : at + AT_ONCE].astype(np.int64)
-        head = data[start[:, None] + np.arange(8)].reshape(-1).view([("low", "<u4"), ("width", "u1"), ("number", "u1"), ("zero", "<u2")])
-        width, number = head["width"].astype(np.int64), head["number"].astype(np.int64)
-        diff = np.zeros((len(start), BLOCK), dtype=np.uint32)
-        for w in np.unique(width[width > 0]):
+            lanes = np.ascontiguousarray(diff[rows].reshape(-1, BLOCK // 4, 4).transpose(1, 0, 2))
+            out = np.zeros((w, len(rows), 4), dtype=np.uint32)
+            for i, word, shift in _lanes(w):
+                out[word] |= lanes[i] << np.uint32(shift)
+                if shift + w > 32:
+                    out[word + 1] |= lanes[i] >> np.uint32(32 - shift)
+            words[start[rows][:, None] + np.arange(4 * w)] = out.transpose(1, 0, 2).reshape(len(rows), -1)
+        index = np.zeros(len(blocks), dtype=INDEX)
+        index["low"], index["width"], index["number"] = low, width, number
+        index["first"], index["patched"] = start + first, np.cumsum(number) - number + patched
+        first, patched = first + len(words), patched + len(outliers)
+        parts.append(Packed(index, words, places, outliers))
+    if not parts:
+        return Packed(np.zeros(0, INDEX), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
+    return Packed(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+
+
+def unpack_blocks(packed: Packed, ids: int) -> np.ndarray:
+    """The first ``ids`` ids of the blocks in ``packed.index``, which may be a part of all."""
+    out = np.zeros((len(packed.index), BLOCK), dtype=np.uint32)
+    for at in range(0, len(packed.index), AT_ONCE):
+        index = packed.index[at : at + AT_ONCE]
+        width, number = index["width"].astype(np.int64), index["number"].astype(np.int64)
+        first, patched = index["first"].astype(np.int64), index["patched"].astype(np.int64)
+        diff = np.zeros((len(index), BLOCK), dtype=np.uint32)
+        for w in map(int, np.unique(width[width > 0])):
             rows = np.flatnonzero(width == w)
-            packed = data[(start[rows] + 8)[:, None] + np.arange(w * (BLOCK // 8))]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            octets = np.packbits(bits, axis=2, bitorder="little")
-            value = np.zeros((len(rows), BLOCK), dtype=np.uint32)
-            for i in range(octets.shape[2]):
-                value |= octets[:, :, i].astype(np.uint32) << np.uint32(8 * i)
-            diff[rows] = value
-        row = np.repeat(np.arange(len(start)), number)
-        if len(row):
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            first = (start + 8 + width * (BLOCK // 8))[row]
-            place = data[first + nth]
-            diff[row, place] = data[(first + number[row] + 4 * nth)[:, None] + np.arange(4)].reshape(-1).view("<u4")
-        out[at : at + AT_ONCE] = diff + head["low"][:, None]
+            words = packed.words[first[rows][:, None] + np.arange(4 * w)]
+            words = np.ascontiguousarray(words.reshape(-1, w, 4).transpose(1, 0, 2))
+            lanes = np.empty((BLOCK // 4, len(rows), 4), dtype=np.uint32)
+            mask = np.uint32((1 << w) - 1)
+            for i, word, shift in _lanes(w):
+                value = words[word] >> np.uint32(shift)
+                if shift + w > 32:
+                    value |= words[word + 1] << np.uint32(32 - shift)
+                lanes[i] = value & mask
+            diff[rows] = lanes.transpose(1, 0, 2).reshape(len(rows), -1)
+        row = np.repeat(np.arange(len(index)), number)
+        source = np.arange(len(row)) - np.repeat(np.cumsum(number) - number - patched, number)
+        diff[row, packed.places[source]] = packed.outliers[source]
+        out[at : at + AT_ONCE] = diff + index["low"][:, None]
     return out.reshape(-1)[:ids]
 
 
-def write_segment(doc_ids: Sequence[int | None], texts: Sequence[np.ndarray], before: int) -> bytes:
+def write_segment(doc_ids: Sequence[int], texts: Sequence[np.ndarray], before: int) -> bytes:
     ids = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-    starts, data = pack_blocks(ids)
+    packed = pack_blocks(ids)
     parts = [
-        struct.pack(HEAD, b"PFR1", len(doc_ids), len(ids), len(starts), len(data), before),
-        np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
-        np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(),
+        struct.pack(HEAD, b"PFR1", len(doc_ids), len(ids), len(packed.index), len(packed.words), len(packed.outliers), before),
+        np.array(doc_ids, dtype="<i8").tobytes(),
         np.array([len(t) for t in texts], dtype="<u8").tobytes(),
-        starts.astype("<u8").tobytes(),
-        data,
+        packed.index.tobytes(),
+        packed.words.astype("<u4").tobytes(),
+        packed.places.tobytes(),
+        packed.outliers.astype("<u4").tobytes(),
     ]
     return b"".join(parts)
 
 
-def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndarray]:
-    """Document ids, ids per document, ids before the segment in its bucket, and all ids."""
-    magic, docs, ids, blocks, size, before = struct.unpack_from(HEAD, raw)
+def _blocks(raw: bytes) -> tuple[int, Packed]:
+    """Number of ids and the blocks of a segment, as views of its bytes."""
+    magic, docs, ids, blocks, words, outliers, _ = struct.unpack_from(HEAD, raw)
     if magic != b"PFR1":
         raise ValueError("not a segment")
-    at = HEAD_BYTES
-    names = np.frombuffer(raw, "<i8", docs, at)
-    null = np.frombuffer(raw, np.uint8, docs, at + 8 * docs)
-    counts = np.frombuffer(raw, "<u8", docs, at + 9 * docs).astype(np.int64)
-    starts = np.frombuffer(raw, "<u8", blocks, at + 17 * docs)
-    data = np.frombuffer(raw, np.uint8, size, at + 17 * docs + 8 * blocks)
-    return [None if z else int(d) for d, z in zip(names, null, strict=True)], counts, before, unpack_blocks(starts, data, ids)
+    at = HEAD_BYTES + 16 * docs
+    index = np.frombuffer(raw, np.dtype(INDEX), blocks, at)
+    at += index.nbytes
+    places = at + 4 * words
+    return ids, Packed(
+        index,
+        np.frombuffer(raw, "<u4", words, at),
+        np.frombuffer(raw, np.uint8, outliers, places),
+        np.frombuffer(raw, "<u4", outliers, places + outliers),
+    )
+
+
+def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Document ids, ids per document, ids before the segment in its bucket, and all ids."""
+    ids, packed = _blocks(raw)
+    _, docs, _, _, _, _, before = struct.unpack_from(HEAD, raw)
+    names = np.frombuffer(raw, "<i8", docs, HEAD_BYTES)
+    counts = np.frombuffer(raw, "<u8", docs, HEAD_BYTES + 8 * docs).astype(np.int64)
+    return names, counts, before, unpack_blocks(packed, ids)
 
 
 def read_block(raw: bytes, block: int) -> np.ndarray:
-    """One block's ids, found by the index of block starts; the rest of the segment stays packed."""
-    _, docs, ids, blocks, size, _ = struct.unpack_from(HEAD, raw)
-    starts = np.frombuffer(raw, "<u8", blocks, HEAD_BYTES + 17 * docs)
-    data = np.frombuffer(raw, np.uint8, size, HEAD_BYTES + 17 * docs + 8 * blocks)
-    return unpack_blocks(starts[block : block + 1], data, min(BLOCK, ids - BLOCK * block))
+    """One block's ids, found by the block index; the rest of the segment stays packed."""
+    ids, packed = _blocks(raw)
+    return unpack_blocks(packed._replace(index=packed.index[block : block + 1]), min(BLOCK, ids - BLOCK * block))
 
 
 def write_token_files(
@@ -153,10 +178,9 @@ def write_token_files(
     order of the whole. Spark's writer commits the files, so a lost executor leaves no partial one. Null texts are
     empty, null ids come first and equal ids go by their text.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MIN))
-    cuts = cut_points(docs, key, rows_per_bucket) or [0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"))
-    dealt = rows.withColumn("bucket", bucket_of(key, cuts)).repartition("bucket")
+    cuts = cut_points(docs, id_key(), rows_per_bucket) or [0]
+    rows = docs.select(id_key(), full_text().alias("text"))
+    dealt = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts)).repartition("bucket")
 
     def segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(vocabulary, keeps_space)
@@ -169,20 +193,20 @@ def write_token_files(
 
         for frame in frames:
             found = words.encode(frame["text"].tolist())
-            for b, missing, d, ids in zip(frame["bucket"], frame["doc_id"].isna(), frame["doc_id"], found, strict=True):
+            for b, d, ids in zip(frame["bucket"], frame["doc_id"], found, strict=True):
                 if names and (b != bucket or size >= SEGMENT_IDS):
                     yield closed()
                     number, before, size, names, held = number + 1, before + size, 0, [], []
                 if b != bucket:
                     bucket, number, before = b, 0, 0
-                names.append(None if missing else int(d))
+                names.append(d)
                 held.append(np.concatenate([ids, end]))
                 size += len(ids) + 1
         if names:
             yield closed()
 
     schema = "bucket int, segment int, n_ids long, n_documents long, data binary"
-    ordered = dealt.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = dealt.sortWithinPartitions("bucket", "doc_id", "text")
     ordered.mapInPandas(segments, schema).write.option("compression", "none").parquet(path)
 
 
@@ -204,7 +228,7 @@ def read_token_files(df: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "bucket": bucket,
-                        "doc_id": pd.array(names, dtype="Int64"),
+                        "doc_id": names,
                         "start": before + ends - counts,
                         "n_tokens": counts,
                         "ids_crc32": crc,
@@ -214,7 +238,7 @@ def read_token_files(df: DataFrame) -> DataFrame:
     found = df.select("bucket", "data").mapInPandas(
         documents, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
-    return found.join(F.broadcast(places), "bucket").select(
+    return with_null_ids(found.join(F.broadcast(places), "bucket")).select(
         "doc_id", (F.col("ids_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -6,6 +6,7 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,79 +14,133 @@ from tokenizers import Tokenizer
 
 from sievelab.llm.common import text_groups
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000  # words with their punctuation
+CACHED_CORES = 800_000  # letters of words; both together take about 300 MB
 GROUP_CHARS = 1 << 20
 NEXT_TO_SPACE = re.compile(r"\s\s")
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printed]
+    return dict(zip(printed, printed, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Memory:
+    """A map of bounded size: the entries of the last half are kept, and older ones as they are used."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
 
 
 class WordEncoder:
     """Ids of texts, equal to the tokenizer's own.
 
-    Both public vocabularies split at white space before merging, so a word's ids do not depend on its neighbours: each
-    distinct word is encoded once and then looked up. ``keeps_space``: the vocabulary joins a space to the word that
-    follows (byte-level), otherwise white space is dropped. Texts where a boundary could depend on more than the word
-    (adjacent white space, control characters) go to the tokenizer whole. Beyond ``cached`` words the memory starts anew.
+    Both public vocabularies cut a text at white space, and between letters and signs, before they merge. So a word's ids do
+    not depend on its neighbours: each distinct word is encoded once, from its letters and the signs after them, and then
+    looked up. ``keeps_space``: the vocabulary joins a space to the word that follows (byte-level), otherwise white space is
+    dropped and case too. What is not of this form goes to the tokenizer whole, as do texts where a cut could depend on more
+    than the word (adjacent white space, control characters).
     """
 
-    def __init__(self, path: str, keeps_space: bool, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, keeps_space: bool, words: int = CACHED_WORDS, cores: int = CACHED_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space, self.cached = keeps_space, cached
+        self.model = self.tokenizer.model
+        self.keeps_space = keeps_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.space = chr(self.letters[32])
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.words, self.cores, self.signs = Memory(words), Memory(cores), Memory(words)
         self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _learn(self, memory: dict[str, bytes], words: set[str], prefix: str) -> None:
-        if len(memory) + len(words) > self.cached:
-            memory.clear()
-        new = list(words - memory.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            memory.update(zip(part, self._encode([prefix + w for w in part]), strict=True))
+    def _core(self, text: str) -> bytes:
+        """Ids of letters, for byte-level vocabularies with the space before them."""
+        ids = self.cores.get(text)
+        if ids is None:
+            if text.isascii():  # of these only a space before the letters has a letter of its own
+                form = text.replace(" ", self.space, 1)
+            else:
+                form = text.encode().decode("latin-1").translate(self.letters)
+            tokens = self.model.tokenize(form)
+            ids = self.cores.new[text] = array(self.code, [t.id for t in tokens]).tobytes()
+        return ids
+
+    def _sign(self, text: str) -> bytes:
+        ids = self.signs.get(text)
+        if ids is None:
+            (ids,) = self._encode([text])
+            self.signs.new[text] = ids
+        return ids
+
+    def _new_words(self, words: list[str]) -> None:
+        memory, others = self.words.new, []
+        for word in words:
+            # a word of a byte-level vocabulary starts with the line break before it, else a space is before it
+            line = self.keeps_space and word[:1] == "\n"
+            body = word[1:] if line else word
+            core = body if body.isalpha() else body.rstrip(SIGNS)
+            # characters below U+0250 are their own normal form, and all but one have a single lower case
+            if not core.isalpha() or (not self.keeps_space and not core.isascii() and (max(core) >= "ɐ" or "İ" in core)):
+                others.append(word)
+                continue
+            ids = self._core(core.lower() if not self.keeps_space else core if line else f" {core}")
+            if core is not body:
+                ids += self._sign(body[len(core) :])
+            memory[word] = self.newline + ids if line else ids
+        if others:
+            whole = [w if not self.keeps_space or w[:1] == "\n" else f" {w}" for w in others]
+            memory.update(zip(others, self._encode(whole), strict=True))
+
+    def _lookup(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        new, old = self.words.new, self.words.old
+        found = [list(map(new.get, words)) for words in texts]
+        gaps = [[j for j, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        missing = {words[j] for words, places in zip(texts, gaps, strict=True) for j in places}
+        again = missing & old.keys()
+        new.update((w, old[w]) for w in again)
+        self._new_words(list(missing - again))
+        for words, ids, places in zip(texts, found, gaps, strict=True):
+            for j in places:
+                ids[j] = new[words[j]]
+        for memory in (self.words, self.cores, self.signs):
+            memory.trim()
+        return [b"".join(ids) for ids in found]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``dtype``."""
         out: list[np.ndarray] = []
+        odd = NEXT_TO_SPACE if self.keeps_space else CONTROL_SPACE
         for group in text_groups(texts, GROUP_CHARS):
             part = [texts[i] for i in group]
-            found = self._with_space(part) if self.keeps_space else self._without_space(part)
-            out += [np.frombuffer(x, dtype=self.dtype) for x in found]
-        return out
-
-    def _without_space(self, texts: list[str]) -> list[bytes]:
-        words = [None if CONTROL_SPACE.search(t) else t.split() for t in texts]
-        self._learn(self.bare, set().union(*[w for w in words if w]), "")
-        get = self.bare.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
-
-    def _with_space(self, texts: list[str]) -> list[bytes]:
-        lines = [None if NEXT_TO_SPACE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        heads, rest = set(), set()
-        for text in lines:
-            for line in text or ():
-                heads.add(line[0])
-                rest.update(line[1:])
-        self._learn(self.bare, heads, "")
-        self._learn(self.spaced, rest, " ")
-        out = []
-        for text, of in zip(texts, lines, strict=True):
-            if of is None:
-                out.append(self._encode([text])[0])
-                continue
-            parts: list[bytes] = []
-            for i, line in enumerate(of):
-                if i:
-                    parts.append(self.newline)
-                parts.append(self.bare[line[0]])
-                parts.extend(map(self.spaced.__getitem__, line[1:]))
-            out.append(b"".join(parts))
+            whole = [odd.search(t) is not None or t[:1].isspace() for t in part]
+            # a line break put before a byte-level text marks its first word, and is taken off again
+            split = (lambda t: f"\n{t}".replace("\n", " \n").split(" ")[1:]) if self.keeps_space else str.split
+            words = self._lookup([[] if w else split(t) for t, w in zip(part, whole, strict=True)])
+            skip = len(self.newline) if self.keeps_space else 0
+            for text, w, ids in zip(part, whole, words, strict=True):
+                raw = self._encode([text])[0] if w else ids[skip:]
+                out.append(np.frombuffer(raw, dtype=self.dtype))
         return out
 
 
