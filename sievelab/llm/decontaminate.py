@@ -198,15 +198,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def is_clean(items: list[Item]):
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searcher = Searcher(items)
+        for part in texts:
+            yield pd.Series([not searcher.matches(normalise(x)) for x in part], dtype=bool)
+
+    return clean(full_text())
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark item, as they were; rows with a null text stay."""
     for items in benchmark_blocks(benchmark, **options):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], items: list[Item] = items) -> Iterator[pd.Series]:
-            searcher = Searcher(items)
-            for part in texts:
-                yield pd.Series([not searcher.matches(normalise(x)) for x in part], dtype=bool)
-
-        docs = docs.where(clean(full_text()))
+        docs = docs.where(is_clean(items))
     return docs
