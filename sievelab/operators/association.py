@@ -40,13 +40,17 @@ def spearman_target(packed: DataFrame, names: list[str], rows: int | None = None
 
 
 def rank_rows(packed: DataFrame, width: int, rows: int | None = None, **options) -> DataFrame:
-    """(row_id, y, x): response and features of each row replaced by their ranks, centred at zero."""
+    """(row, y, x): response and features of each row replaced by their ranks, centred at zero.
+
+    Rows are put together again by a number of their own, so the caller's key may repeat or be absent.
+    """
     rows = packed.count() if rows is None else rows
     centre = (rows + 1) / 2.0
-    ranked_y = rank_target(packed.select("row_id", "y", "x"), rows, width, **options)
-    cells = ranked_y.select("row_id", "y_rank", F.posexplode("x").alias("pos", "value"))
+    numbered = packed.select(F.monotonically_increasing_id().alias("row"), "y", "x")
+    ranked_y = rank_target(numbered, rows, width, **options)
+    cells = ranked_y.select("row", "y_rank", F.posexplode("x").alias("pos", "value"))
     ranked = average_rank(cells, "value", ["pos"], alias="x_rank", sizes=(rows, width), **options)
-    return ranked.groupBy("row_id").agg(  # exactly ``width`` cells per row
+    return ranked.groupBy("row").agg(  # exactly ``width`` cells per row
         (F.first("y_rank") - centre).alias("y"),
         F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "x_rank"))), lambda cell: cell["x_rank"] - centre

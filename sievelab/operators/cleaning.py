@@ -65,7 +65,8 @@ def guard_code(df: DataFrame, y: str, by: list[str] | None = None) -> DataFrame:
 
 
 def drop_null_target(df: DataFrame, y: str) -> DataFrame:
-    return df.where(number(column(y)).isNotNull())
+    """Rows with a response; the null test is a filter that scans can apply."""
+    return df.where(column(y).isNotNull() & ~F.isnan(column(y).cast("double")))
 
 
 def feature_columns(

@@ -39,7 +39,8 @@ def attach_small(
     if known_rows is not None and known_rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
+    # by input partition, which spreads equal rows too and which a repeated task finds again
+    spread = F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int")
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = big.withColumn(salt, spread).join(copies, [*on, salt], how)
     return joined.drop(salt)

@@ -4,7 +4,7 @@ A rank needs the number of smaller values in the whole group, which a plain wind
 group into one task. Here large groups are cut at approximate quantiles first. Whatever the cut points are, the
 rank is exact: rows in lower slots (counted once, with map-side combine) plus the rank inside the row's own
 slot. A value so frequent that it fills the span between two cut points gets a slot of its own; all its rows tie,
-so they may be spread over many tasks.
+so they get their rank without being moved.
 
 Cost for n rows: two scans with tiny aggregates and one shuffle of the rows, in groups x slots balanced tasks.
 """
@@ -23,7 +23,6 @@ ROWS_PER_SLOT = 500_000
 MAX_CUT_POINTS = 1 << 18
 MAX_SLOTS = 1 << 14
 MANY_GROUPS = 1 << 12
-HOT_SPREAD = 1024
 
 _SLOT, _HOT, _BEFORE, _SIZE, _NUMBER, _TASK = "__slot", "__hot", "__before", "__size", "__number", "__task"
 
@@ -158,17 +157,18 @@ def _ranks_in_slots(df: DataFrame, value: str, by: list[str], slots: int) -> Dat
     columns = df.columns
     placed = _place(df, by, value, slots)
     offsets = _slot_offsets(placed, by)
-    rows = placed.join(F.broadcast(offsets), [*by, _SLOT])
-    spread = F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(HOT_SPREAD)))
-    # One number for slot and spread keeps the sort's comparisons short.
-    rows = rows.withColumn(_TASK, F.col(_NUMBER) * HOT_SPREAD + F.coalesce(spread, F.lit(0)))
+    rows = placed.join(F.broadcast(offsets), [*by, _SLOT]).withColumn(_TASK, F.col(_NUMBER))
+    kept = [F.col(f"`{c}`") for c in columns]
     slot = Window.partitionBy(_TASK)
-    return rows.select(
-        *[F.col(f"`{c}`") for c in columns],
+    cold = rows.where(~F.col(_HOT)).select(
+        *kept,
         (F.col(_BEFORE) + F.rank().over(slot.orderBy(value))).cast("long").alias("min_rank"),
-        F.when(F.col(_HOT), F.col(_SIZE)).otherwise(_ties(slot, value)).alias("ties"),
+        _ties(slot, value).alias("ties"),
         F.col("group_rows"),
     )
+    # All rows of a hot slot tie, so their rank is known where they are read.
+    hot = rows.where(_HOT).select(*kept, (F.col(_BEFORE) + 1).cast("long").alias("min_rank"), _SIZE, "group_rows")
+    return cold.union(hot)
 
 
 def average_rank(

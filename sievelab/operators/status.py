@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,42 @@ def upsert_status(target: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+class StatusTable:
+    """The status table below ``path``, in two copies that are written in turn; the later one holds.
+
+    A write that breaks off leaves the other copy as it was. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _copies(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], f"{STATUS_SCHEMA}, version long")
+        for copy in (0, 1):
+            try:
+                found = self.spark.read.parquet(f"{self.path}/copy-{copy}")
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                empty = empty.unionByName(found)
+        return empty
+
+    def read(self) -> DataFrame:
+        return self._current()[0]
+
+    def _current(self) -> tuple[DataFrame, int]:
+        copies = self._copies()
+        version = copies.agg(F.max("version")).first()[0]
+        return copies.where(F.col("version") == F.lit(version)).drop("version"), -1 if version is None else version
+
+    def upsert(self, events: DataFrame) -> None:
+        """Apply later events, as one new version."""
+        old, version = self._current()
+        new = upsert_status(old, events).withColumn("version", F.lit(version + 1).cast("long"))
+        new.write.mode("overwrite").parquet(f"{self.path}/copy-{(version + 1) % 2}")
+
+
 def list_status(status: DataFrame) -> DataFrame:
     """Newest update first; jobs never updated lead, then by job id."""
     return status.orderBy(F.desc_nulls_first("update_time"), F.asc("jobid"))

@@ -24,8 +24,8 @@ class Settings:
     """Sizes and seeds of the job's stages."""
 
     forest: forest.ForestSpec = field(default_factory=forest.ForestSpec)
-    forest_top: int = 100
-    lasso_top: int = 50
+    forest_top: int | None = None  # keep so many features after the forest or the lasso; none are dropped by default
+    lasso_top: int | None = None
     test_share: float = 0.3
     split_seed: int = 42
     alphas: tuple[float, float, int] = (-10.0, -3.0, 100)
@@ -51,8 +51,10 @@ class JobResult:
     result: DataFrame
     status: DataFrame
     details: dict[str, DataFrame] = field(default_factory=dict)
+    dropped: dict[str, int] = field(default_factory=dict)  # features that a top-N setting left out
 
 
+CELLS_PER_PART = 2_000_000
 MODEL_SCHEMA = "variable string, score double, abs_score double"
 PAIR_SCHEMA = (
     "final string, suggestion string, abs_spearman_fs double, abs_spearman_ts double, n long, mic double, "
@@ -70,22 +72,32 @@ def feature_selection(
     exclude: frozenset[str] | set[str] = cleaning.METADATA_COLUMNS,
     settings: Settings = Settings(),
     clock: Callable[[], dt.datetime] = dt.datetime.now,
+    on_stage: Callable[[DataFrame], None] | None = None,
 ) -> JobResult:
     """Explain column ``y`` of the wide table ``df`` by its other numeric columns.
 
-    ``row_id`` names a unique integer column that gives the row order; without it rows are numbered as read. The
-    cleaned, scaled matrix is written once to the shared scratch folder and every stage reads that table. Only
-    names, importances and moment matrices, whose sizes depend on the number of features, reach the driver.
+    ``row_id`` names an integer column that gives the row order, without nulls; without it rows are numbered as read.
+    The cleaned, scaled matrix is written once to the shared scratch folder, dealt by a hash of the key whatever the
+    input's files, and every stage reads that table. Only names, importances and moment matrices, whose sizes depend on
+    the number of features, reach the driver. ``on_stage`` gets the status event of each stage when it is reached.
     """
     spark = df.sparkSession
     as_of = as_of or clock()
-    stages: list[tuple[str, dt.datetime]] = [("STARTED", clock())]
+    stages: list[tuple[str, dt.datetime]] = []
+
+    def reached(stage: str) -> None:
+        stages.append((stage, clock()))
+        if on_stage is not None:
+            events = status.stage_events(spark, job_id, area, stages)
+            on_stage(events.where(F.col("event_id") == len(stages) - 1))
+
+    reached("STARTED")
     features = cleaning.feature_columns(df.columns, y, set(exclude) | {row_id or ""}, settings.legacy_name_match)
     cleaning.require_numeric(df, features)
 
     def stop(code: str) -> JobResult:
         if settings.failed_event:
-            stages.append(("FAILED", clock()))
+            reached("FAILED")
         return JobResult(
             code,
             results.error_row(spark, code, job_id, as_of),
@@ -97,7 +109,9 @@ def feature_selection(
     profile = {r["pos"]: r for r in cleaning.job_profile(df, y, features).collect()}  # one row per column
     response = profile.pop(0, None)
     usable = [
-        (features[pos - 1], r["mean"], r["std_pop_filled"]) for pos, r in sorted(profile.items()) if (r["std"] or 0) > 0
+        (features[pos - 1], _steady(r["mean"]), _steady(r["std_pop_filled"]))
+        for pos, r in sorted(profile.items())
+        if (r["std"] or 0) > 0
     ]
     code = _guard(response["n"] if response else 0, response["std"] if response else None, len(usable))
     if code is not None:
@@ -105,16 +119,21 @@ def feature_selection(
 
     names = [name for name, _, _ in usable]
     rows = response["n_present"]
-    scaled_rows = _scaled_matrix(df, y, row_id, usable, response["mean"], response["std_pop"] or 1.0)
-    matrix = save_table(_gathered(scaled_rows, rows * len(names)), "matrix")
+    scaled_rows = _scaled_matrix(df, y, row_id, usable, _steady(response["mean"]), _steady(response["std_pop"] or 1.0))
+    matrix = save_table(_dealt(scaled_rows, rows * len(names)), "matrix")
+    if not matrix.where("row_id IS NULL").isEmpty():
+        raise ValueError(f"null keys in {row_id}")
 
     importances = forest.rf_bootstrap(matrix, names, settings.forest, rows=rows)
     per_replicate = (len(names), settings.forest.replicates)
     stats, _ = fix_small(forest.importance_stats(importances, sizes=(settings.forest.replicates, len(names))))
     positive = forest.positive_importance(stats)
     # By name, as the descent's early stop depends on the order it visits the features in.
-    chosen = sorted(r["variable"] for r in top_n(positive, "mean", settings.forest_top).collect())
-    stages.append(("RF_COMPLETED", clock()))
+    everything = positive.count()
+    best = positive if settings.forest_top is None else top_n(positive, "mean", settings.forest_top)
+    chosen = sorted(r["variable"] for r in best.collect())
+    dropped = {"forest": everything - len(chosen)}
+    reached("RF_COMPLETED")
     details = {"importances": forest.rank_importance(importances, per_replicate), "importance_stats": stats}
 
     at = {name: i for i, name in enumerate(names)}
@@ -125,12 +144,14 @@ def feature_selection(
         scaled = {grp: m.rescaled(norms) for grp, m in moments.items()}
         path, alpha = _best_alpha(spark, scaled, settings)
         selected = lasso.lasso_select(spark, total(scaled.values()), chosen, alpha, settings.tolerance)
-        selected = top_n_abs(selected, "score", settings.lasso_top)
+        everything = selected.count()
+        selected = top_n_abs(selected, "score", settings.lasso_top or max(everything, 1))
         kept = [r["variable"] for r in selected.collect()]
+        dropped["lasso"] = everything - len(kept)
         details |= {"alphas": path, "lasso": selected}
     else:
         kept = []
-    stages.append(("LASSO_COMPLETED", clock()))
+    reached("LASSO_COMPLETED")
     if not kept:
         return JobResult(
             cleaning.NO_COEFFICIENT,
@@ -139,6 +160,7 @@ def feature_selection(
             results.result_rows(spark.createDataFrame([], PAIR_SCHEMA), job_id, as_of),
             status.stage_events(spark, job_id, area, stages),
             details,
+            dropped,
         )
 
     fold_cells = _restrict(cells, len(chosen), [chosen.index(k) for k in kept], settings.folds)
@@ -150,7 +172,7 @@ def feature_selection(
     )
     model = stepwise.best_model(trace)
     finals = [r["variable"] for r in model.collect()]
-    stages.append(("STEP_FORWARD_COMPLETED", clock()))
+    reached("STEP_FORWARD_COMPLETED")
 
     pairs = association.spearman_pairs(screened, chosen, finals, rows)
     above = above_median(pairs, "abs_spearman_ts")
@@ -158,10 +180,9 @@ def feature_selection(
     mics = _mic_of(screened, chosen, wanted, rows, settings)
     scored = association.pair_table(pairs, mics)
     best = association.suggestions(scored)
-    stages.append(("MIC_COMPLETED", clock()))
+    reached("MIC_COMPLETED")
 
     code = cleaning.OK if wanted else cleaning.NO_PAIR
-    stages.append(("COMPLETED", clock()))
     return JobResult(
         code,
         results.importance_rows(stats, code, job_id, as_of),
@@ -169,14 +190,33 @@ def feature_selection(
         results.result_rows(best, job_id, as_of),
         status.stage_events(spark, job_id, area, stages),
         details | {"trace": trace, "model": model, "pairs": pairs, "mic": mics, "scored": scored},
+        dropped,
     )
 
 
-def write_job(job: JobResult, root: str, format: str = "parquet") -> None:
-    """Append the three result tables below ``root``, partitioned by day."""
+def write_job(
+    job: JobResult,
+    root: str,
+    format: str = "parquet",
+    on_stage: Callable[[DataFrame], None] | None = None,
+    clock: Callable[[], dt.datetime] = dt.datetime.now,
+) -> DataFrame:
+    """Append the three result tables below ``root``, partitioned by day; returns the status with what followed.
+
+    A job that ran through is COMPLETED once its rows are written; a guarded one keeps the status it ended with.
+    """
     results.append_table(job.importance, f"{root}/importance", format)
     results.append_table(job.coefficients, f"{root}/coefficients", format)
     results.append_table(job.result, f"{root}/result", format)
+    if job.code not in (cleaning.OK, cleaning.NO_PAIR):
+        return job.status
+    last = job.status.orderBy(F.desc("event_id")).first()
+    done = [("", clock())] * (last["event_id"] + 1) + [("COMPLETED", clock())]
+    events = status.stage_events(job.status.sparkSession, last["jobid"], last["area"], done)
+    event = events.where(F.col("event_id") == last["event_id"] + 1)
+    if on_stage is not None:
+        on_stage(event)
+    return job.status.unionByName(event)
 
 
 def _guard(n: int, std: float | None, usable: int) -> str | None:
@@ -205,9 +245,18 @@ def _scaled_matrix(
     )
 
 
-def _gathered(matrix: DataFrame, cells: int) -> DataFrame:
-    """A small matrix in one sorted file, as its forests then run side by side; a large one unchanged."""
-    return matrix.coalesce(1).sortWithinPartitions("row_id") if cells <= forest.SMALL_CELLS else matrix
+def _dealt(matrix: DataFrame, cells: int) -> DataFrame:
+    """The rows by a hash of their key, in parts of about CELLS_PER_PART numbers, each sorted.
+
+    Bagging draws by partition, so the same rows must lie in the same partitions however the source was cut.
+    """
+    parts = max(1, -(-cells // CELLS_PER_PART))
+    return matrix.repartition(parts, F.xxhash64("row_id")).sortWithinPartitions("row_id", "y", "x")
+
+
+def _steady(value: float) -> float:
+    """The number without its last digits, which depend on the order of a sum."""
+    return float(f"{value:.11g}")
 
 
 def _take(positions: list[int]):

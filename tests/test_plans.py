@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelab.operators import cleaning, moments, ordering, ranking, sampling
 from sievelab.plans import fixtures as fx
-from sievelab.plans.feature_selection import _scaled_matrix
+from sievelab.plans.feature_selection import _dealt, _scaled_matrix
 from sievelab.sources.scratch import save_table
 
 
@@ -27,6 +27,24 @@ def test_scaling_moves_no_row(spark, sf):
     assert schema == "row_id:bigint,y:double,line.qty:double,cust.acctbal:double"
 
 
+def test_response_filter_reaches_the_scan(spark, sf):
+    wide = save_table(fx.orders_wide(spark, sf), "wide")
+    assert "PushedFilters: [IsNotNull(y)]" in plan(cleaning.drop_null_target(wide, "y"))
+    dealt = _dealt(_scaled_matrix(wide, "y", "row_id", [("line.qty", 1.0, 2.0)], 0.0, 1.0), 10)
+    assert "Coalesce 1" not in plan(dealt) and "PushedFilters: [IsNotNull(y)]" in plan(dealt)
+
+
+def test_equal_rows_are_ranked_where_they_are(spark):
+    same = save_table(spark.range(40_000).select((F.col("id") % 3).cast("double").alias("v")), "same")
+    ranked = ordering.average_rank(same, "v", rows_per_slot=500)
+    assert sorted((r["v"], r["avg_rank"], r["n"]) for r in ranked.groupBy("v", "avg_rank").agg(F.count("*").alias("n")).collect()) == [
+        (0.0, 6667.5, 13334), (1.0, 20001.0, 13333), (2.0, 33334.0, 13333)
+    ]
+    metrics = ranked.where(F.lit(True))
+    tasks = metrics.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in tasks) <= 2 * 40_000 / spark.sparkContext.defaultParallelism
+
+
 def test_long_statistics_shuffle_only_partial_sums(spark, sf):
     long = save_table(fx.orders_long(spark, sf), "long")
     for step in (cleaning.mean_impute, cleaning.standardize, cleaning.l2_normalize, cleaning.drop_constant):
