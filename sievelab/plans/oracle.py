@@ -425,6 +425,20 @@ FROM ranked a JOIN ranked b ON a.row_id = b.row_id AND b.variable = 'y' WHERE a.
     "feature_pairs": f"""WITH {EMB}
 SELECT f.final, e.suggestion FROM (SELECT DISTINCT variable AS suggestion FROM emb) e,
        (VALUES ('emb.08'), ('emb.35'), ('emb.46')) f(final)""",
+    "spearman_pairs_lines": """WITH placed AS (
+  SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y,
+         rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS q,
+         rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS d,
+         rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2.0 AS t
+  FROM lineitem),
+pairs AS (
+  SELECT 'line.quantity' AS final, 'line.quantity' AS suggestion, corr(q, q) AS fs, corr(q, y) AS ts, count(*) AS n FROM placed
+  UNION ALL SELECT 'line.quantity', 'line.discount', corr(q, d), corr(d, y), count(*) FROM placed
+  UNION ALL SELECT 'line.quantity', 'line.tax', corr(q, t), corr(t, y), count(*) FROM placed
+  UNION ALL SELECT 'line.discount', 'line.quantity', corr(d, q), corr(q, y), count(*) FROM placed
+  UNION ALL SELECT 'line.discount', 'line.discount', corr(d, d), corr(d, y), count(*) FROM placed
+  UNION ALL SELECT 'line.discount', 'line.tax', corr(d, t), corr(t, y), count(*) FROM placed)
+SELECT final, suggestion, round(abs(fs), 6) AS abs_spearman_fs, round(abs(ts), 6) AS abs_spearman_ts, n FROM pairs""",
     "spearman_pairs": f"""WITH {RANKED}
 SELECT final, suggestion, {_six("abs_spearman_fs", "abs_spearman_ts")}, (SELECT count(*) FROM base) AS n FROM pairs""",
     "spearman_pvalue": f"""WITH {RANKED},

@@ -31,7 +31,7 @@ from sievelab.sources import files
 from sievelab.sources.scratch import save_table, scratch_path
 
 AS_OF = dt.datetime(2024, 3, 1, 12, 0)
-SMALL_FOREST = forest.ForestSpec(replicates=3, trees=10, depth=5)
+FOREST = forest.ForestSpec()  # 10 replicates of 100 trees
 FINALS = list(fx.PLANTED)
 FOLDS = 5
 SIX = 6
@@ -414,13 +414,13 @@ def lasso_select_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 def rf_importance(spark: SparkSession, sf: str) -> DataFrame:
     packed = fx.orders_packed(spark, sf)
-    rows = forest.rf_importance(packed, fx.ORDER_FEATURES[:7], SMALL_FOREST)
+    rows = forest.rf_importance(packed, fx.ORDER_FEATURES[:7], FOREST)
     return spark.createDataFrame(rows, "replicate int, variable string, importance double, std double")
 
 
 def rf_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    importances = forest.rf_bootstrap(fx.embeddings_packed(spark, sf), fx.EMBEDDING_FEATURES, SMALL_FOREST)
-    return forest.rank_importance(importances, (len(fx.EMBEDDING_FEATURES), SMALL_FOREST.replicates))
+    importances = forest.rf_bootstrap(fx.embeddings_packed(spark, sf), fx.EMBEDDING_FEATURES, FOREST)
+    return forest.rank_importance(importances, (len(fx.EMBEDDING_FEATURES), FOREST.replicates))
 
 
 # Association
@@ -454,6 +454,16 @@ def spearman_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _r(_pairs(spark, sf), "abs_spearman_fs", "abs_spearman_ts")
 
 
+def spearman_pairs_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines, whose order key repeats."""
+    x = F.array("l_quantity", "l_discount", "l_tax")
+    lines = fx.table(spark, sf, "lineitem")
+    packed = lines.select(F.col("l_orderkey").alias("row_id"), F.col("l_extendedprice").alias("y"), x.alias("x"))
+    names = ["line.quantity", "line.discount", "line.tax"]
+    pairs = association.spearman_pairs(packed, names, names[:2])
+    return _r(pairs, "abs_spearman_fs", "abs_spearman_ts")
+
+
 def spearman_p_values(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _pairs(spark, sf)
     tails = {f"p_{k}": spearman_pvalue(F.col(f"abs_spearman_{k}"), F.col("n")) for k in ("fs", "ts")}
@@ -496,7 +506,7 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def selection_job(spark: SparkSession, sf: str):
-    settings = Settings(forest=SMALL_FOREST)
+    settings = Settings(forest=FOREST)
     return feature_selection(fx.embeddings_wide(spark, sf), "y", "row_id", as_of=AS_OF, settings=settings)
 
 
@@ -516,7 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         train_test_split, bootstrap_samples, union_replicates, kfold_assign, kfold_r2,
         gram_matrix, ols_univariate_r2, lasso_univariate, forward_step1, step_forward, step_forward_penalised,
         best_model, model_quality, lasso_path, lasso_path_exact, lasso_select, lasso_select_exact, rf_importance, rf_bootstrap,
-        spearman_target, feature_pairs, spearman_pairs, mic_grid, mic_optimized, mic_lookup, pair_table, blend_scores,
+        spearman_target, feature_pairs, spearman_pairs, spearman_pairs_lines, mic_grid, mic_optimized, mic_lookup, pair_table, blend_scores,
         suggestions,
     )
 }
