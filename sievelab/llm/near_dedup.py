@@ -16,6 +16,7 @@ from sievelab.llm.components import connected_components
 from sievelab.operators.joins import fix_small
 from sievelab.sources.scratch import save_table
 
+GUESTS = 256  # sets compared with one another in one part of a room
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,7 +31,8 @@ class Spec(NamedTuple):
     likeness_pct: int = 80
     groups: int = 8
     rows: int = 2
-    agreeing: float = 0.4375  # share of equal minhashes below which a pair is not confirmed; misses 1e-6 of pairs at 0.8
+    bins: int = 64  # more minima, of one permutation cut into bins, that only estimate likeness
+    deviations: float = 4.0  # a pair is not confirmed if its estimate is so far below the limit; misses 3e-5 of true pairs
     block: int = 2_048  # documents of one table key compared in one task
     broadcast_rows: int = 200_000
     seed: int = 7
@@ -68,7 +70,10 @@ def mix(x: np.ndarray, by: int) -> np.ndarray:
 
 
 def signatures(sets: DataFrame, spec: Spec) -> DataFrame:
-    """doc_id, text_hash, n, two digests of the set, and its minhashes (32 bits each)."""
+    """doc_id, text_hash, n, two digests of the set, its minhashes (32 bits each) and its ``mini``.
+
+    ``mini`` has a byte for every minhash and for every bin of one more permutation; 0 is an empty bin.
+    """
     rng = np.random.default_rng(spec.seed)
     factors = rng.integers(0, 2**63, spec.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, spec.hashes, dtype=np.uint64)
@@ -83,13 +88,23 @@ def signatures(sets: DataFrame, spec: Spec) -> DataFrame:
             starts = (offsets[:-1] - offsets[0])[full]
             digests = np.zeros((2, len(n)), dtype=np.uint64)
             least = np.zeros((len(n), spec.hashes), dtype="<u4")
+            mini = np.zeros((len(n), spec.hashes + spec.bins), dtype=np.uint8)
             if len(full):
+                hashed = mix(values, 0xA0761D6478BD642F)
+                place = np.repeat(np.arange(len(n)) * spec.bins, n) + (hashed % np.uint64(spec.bins)).astype(np.int64)
+                lowest = np.full(len(n) * spec.bins, np.iinfo(np.uint64).max)
+                np.minimum.at(lowest, place, hashed)
+                some = np.flatnonzero(np.bincount(place, minlength=len(lowest)))
+                mini[some // spec.bins, spec.hashes + some % spec.bins] = lowest[some] // np.uint64(spec.bins) % np.uint64(255) + np.uint64(1)
                 for k, by in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
                     digests[k, full] = np.add.reduceat(mix(values, by), starts)
                 for h in range(spec.hashes):
                     lowest = np.minimum.reduceat(values * factors[h] + shifts[h], starts)
                     least[full, h] = (lowest >> np.uint64(32)).astype("<u4")
-            width = 4 * spec.hashes
+                mini[full, : spec.hashes] = least[full] % 255 + 1
+            fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(x[0].nbytes if len(x) else 1), len(x), [None, pa.py_buffer(x.tobytes())]
+            ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -97,12 +112,14 @@ def signatures(sets: DataFrame, spec: Spec) -> DataFrame:
                     pa.array(n.astype(np.int64)),
                     pa.array(digests[0].view(np.int64)),
                     pa.array(digests[1].view(np.int64)),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(n), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary()),
+                    fixed(least),
+                    fixed(mini),
                 ],
-                names=["doc_id", "text_hash", "n", "d1", "d2", "sig"],
+                names=["doc_id", "text_hash", "n", "d1", "d2", "sig", "mini"],
             )
 
-    return sets.mapInArrow(sign, "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary")
+    schema = "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary, mini binary"
+    return sets.mapInArrow(sign, schema)
 
 
 def table_keys(sig: Column, spec: Spec) -> Column:
@@ -117,71 +134,124 @@ def table_keys(sig: Column, spec: Spec) -> Column:
     )
 
 
-def groups_of(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of equal keys, across the frames of a task."""
+class Rows(NamedTuple):
+    """Whole groups of consecutive rows with equal keys; group g is rows first[g] to first[g + 1]."""
+
+    first: np.ndarray
+    columns: dict[str, np.ndarray]
+    mini: np.ndarray
+
+    @property
+    def group(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], at_once: int = 20_000) -> Iterator[Rows]:
+    """The rows of a task, about ``at_once`` at a time, never cutting a group."""
     held: list[pd.DataFrame] = []
+
+    def rows(frame: pd.DataFrame) -> Rows:
+        key = frame[keys].to_numpy()
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+        mini = np.frombuffer(b"".join(frame["mini"]), dtype=np.uint8).reshape(len(frame), -1)
+        return Rows(first, {c: frame[c].to_numpy() for c in frame.columns if c != "mini"}, mini)
+
     for frame in frames:
-        change = np.flatnonzero((frame[keys].to_numpy()[1:] != frame[keys].to_numpy()[:-1]).any(axis=1)) + 1
-        for i, part in enumerate(np.split(np.arange(len(frame)), change)):
-            rows = frame.iloc[part]
-            if not i and held and (held[-1][keys].iloc[-1] == rows[keys].iloc[0]).all():
-                held.append(rows)
-                continue
-            if held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-            held = [rows]
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        held.append(frame)
+        if sum(map(len, held)) < at_once:
+            continue
+        joined = pd.concat(held, ignore_index=True) if len(held) > 1 else frame
+        key = joined[keys].to_numpy()
+        change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
+        if not len(change):
+            held = [joined]
+            continue
+        cut = change[-1] + 1
+        yield rows(joined.iloc[:cut])
+        held = [joined.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield rows(pd.concat(held, ignore_index=True))
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of equal minima of pairs of minis, and how many minima it rests on."""
+    known = (a | b) != 0
+    number = np.maximum(known.sum(axis=-1), 1)
+    return ((a == b) & known).sum(axis=-1) / number, number
+
+
+def possible(spec: Spec, a: np.ndarray, b: np.ndarray, size_a, size_b) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs can be links by their estimates and sizes, and the estimates."""
+    limit = spec.likeness_pct / 100
+    share, number = estimate(a, b)
+    enough = share >= limit - spec.deviations * np.sqrt(limit * (1 - limit) / number)
+    return enough & (100 * np.minimum(size_a, size_b) >= spec.likeness_pct * np.maximum(size_a, size_b)), share
+
+
+def centres(spec: Spec):
+    """For each block of documents with one table key: the pairs with its first document, or in large blocks the one that
+    agrees most with a few others."""
 
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(frames, ["key", "block"]):
+            centre = rows.first[:-1].copy()
+            for g in np.flatnonzero(np.diff(rows.first) > 8):
+                mini = rows.mini[rows.first[g] : rows.first[g + 1]]
+                some = np.unique(np.linspace(0, len(mini) - 1, 16).astype(int))
+                centre[g] += int(np.argmax(sum((mini == mini[i]).sum(axis=1) for i in some)))
+            other = centre[rows.group]
+            size, node = rows.columns["n"], rows.columns["nid"]
+            ok, share = possible(spec, rows.mini, rows.mini[other], size, size[other])
+            ok &= node != node[other]
+            yield pd.DataFrame({"a": node[ok], "b": node[other[ok]], "share": share[ok]})
 
-def _bytes(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
+    return pairs
 
 
-def _sizes_allow(a: np.ndarray, b: np.ndarray, spec: Spec) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= spec.likeness_pct * np.maximum(a, b)
+def across(spec: Spec, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Rows, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For each document that shares a table key with another component: the documents there that may be links, and the
+    estimates. The rows are whole pairs of blocks; each pair of documents is met from both sides."""
+    for rows in whole_groups(frames, ["key", "low", "high"]):
+        size, label, block = (rows.columns[c] for c in ("n", "label", "block"))
+        low, high = rows.columns["low"], rows.columns["high"]
+        out = []
+        for start, end in zip(rows.first, rows.first[1:], strict=False):
+            if (label[start:end] == label[start]).all():
+                continue
+            at = np.arange(start, end)
+            for i in at:
+                there = True if low[i] == high[i] else block[at] != block[i]
+                others = at[(label[at] != label[i]) & there]
+                ok, share = possible(spec, rows.mini[others], rows.mini[i], size[others], size[i])
+                if ok.any():
+                    out.append((i, others[ok], share[ok]))
+        yield rows, out
 
 
-def centres(spec: Spec):
-    """For each block of documents with one table key: the pairs with its most typical document."""
+def closest(spec: Spec):
+    """For each document the likeliest one of another component, for each table key."""
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in groups_of(frames, ["key", "block"]):
-            mini, size, node = _bytes(rows["mini"]), rows["n"].to_numpy(), rows["nid"].to_numpy()
-            if len(rows) > 2:
-                some = np.unique(np.linspace(0, len(rows) - 1, min(16, len(rows))).astype(int))
-                typical = sum((mini == mini[i]).sum(axis=1) for i in some)
-                centre = int(np.argmax(typical))
-            else:
-                centre = 0
-            share = (mini == mini[centre]).mean(axis=1)
-            ok = (share >= spec.agreeing) & _sizes_allow(size, size[centre], spec)
-            ok[centre] = False
-            if ok.any():
-                yield pd.DataFrame({"a": node[ok], "b": node[centre], "share": share[ok]})
+        for rows, found in across(spec, frames):
+            node = rows.columns["nid"]
+            best = [(node[i], node[others[share.argmax()]], share.max()) for i, others, share in found]
+            yield pd.DataFrame(best, columns=["a", "b", "share"])
 
     return pairs
 
 
-def remaining(spec: Spec):
-    """For each pair of blocks with one table key: all pairs of different components that their minhashes allow."""
+def visitors(spec: Spec):
+    """Documents and the other components that they may be linked with; of two components the smaller one's visit."""
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in groups_of(frames, ["key", "low", "high"]):
-            mini, size = _bytes(rows["mini"]), rows["n"].to_numpy()
-            node, label, block = rows["nid"].to_numpy(), rows["label"].to_numpy(), rows["block"].to_numpy()
-            one_block = rows["low"].iloc[0] == rows["high"].iloc[0]
-            left = np.arange(len(rows)) if one_block else np.flatnonzero(block == rows["low"].iloc[0])
-            out = []
-            for i in left:
-                other = (label != label[i]) & _sizes_allow(size, size[i], spec)
-                other &= node > node[i] if one_block else block == rows["high"].iloc[0]
-                at = np.flatnonzero(other)
-                if len(at):
-                    at = at[(mini[at] == mini[i]).mean(axis=1) >= spec.agreeing]
-                    out += [(node[i], node[j]) if node[i] > node[j] else (node[j], node[i]) for j in at]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+        for rows, found in across(spec, frames):
+            node, label, size = (rows.columns[c] for c in ("nid", "label", "size"))
+            out = [np.zeros((0, 2), dtype=np.int64)]
+            for i, others, _ in found:
+                visits = others[(size[i] < size[others]) | ((size[i] == size[others]) & (label[i] < label[others]))]
+                hosts = np.unique(label[visits])
+                out.append(np.stack([np.full(len(hosts), node[i]), hosts], axis=1))
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return pairs
 
@@ -196,7 +266,7 @@ class NearDuplicates:
         self.signed = save_table(signatures(with_set(self.docs, spec.words), spec), "signatures")
         first = F.min(F.struct("doc_id", "text_hash")).alias("one")
         classes = self.signed.where("n > 0").groupBy("d1", "d2", "n")
-        nodes = classes.agg(first, F.min("doc_id").alias("least_id"), F.first("sig").alias("sig"))
+        nodes = classes.agg(first, F.min("doc_id").alias("least_id"), F.first("sig").alias("sig"), F.first("mini").alias("mini"))
         nodes = nodes.select(
             F.monotonically_increasing_id().alias("nid"),
             "d1",
@@ -205,10 +275,12 @@ class NearDuplicates:
             "least_id",
             F.col("one.doc_id").alias("one_id"),
             F.col("one.text_hash").alias("one_hash"),
-            F.concat(*[F.substring("sig", 4 * i + 1, 1) for i in range(spec.hashes)]).alias("mini"),
+            "mini",
             "sig",
         )
         self.nodes = save_table(nodes, "classes")
+        rows = self.signed.groupBy("doc_id", "text_hash").count().where("count > 1")
+        self.repeated = not rows.isEmpty()  # then a class's document may be several rows
 
     def members(self) -> DataFrame:
         """Table keys that several classes have, with these classes, dealt into blocks of bounded size."""
@@ -220,66 +292,94 @@ class NearDuplicates:
     def with_mini(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.nodes.select("nid", "n", "mini"), "nid")
 
-    def with_sets(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (nid, room, part) with the shingle set of each class, made from one of its documents."""
-        named = rows.join(self.nodes.select("nid", "one_id", "one_hash"), "nid")
-        named, known = fix_small(save_table(named, "rooms"), self.spec.broadcast_rows)
+    def sets_of(self, members: DataFrame) -> DataFrame:
+        """nid and whole shingle set of every class that shares a table key, made from one of its documents and written."""
+        named = members.select("nid").distinct().join(self.nodes.select("nid", "one_id", "one_hash"), "nid")
+        named, known = fix_small(save_table(named, "shared"), self.spec.broadcast_rows)
         named = F.broadcast(named) if known is not None else named
         texts = self.docs.select(F.col("doc_id").alias("one_id"), F.col("text_hash").alias("one_hash"), "text")
         same = [named["one_hash"] == texts["one_hash"], named["one_id"].eqNullSafe(texts["one_id"])]
-        found = texts.join(named, same).select(named["nid"], named["room"], named["part"], texts["text"])
-        return with_set(found, self.spec.words)
+        found = with_set(texts.join(named, same).select(named["nid"], texts["text"]), self.spec.words)
+        return save_table(found.dropDuplicates(["nid"]) if self.repeated else found, "sets")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a``, ``b`` whose whole sets are alike enough; many pairs of one ``b`` are spread over parts."""
-        pairs = save_table(pairs, "pairs")
-        rooms = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).alias("parts"))
-        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
-        dealt = save_table(pairs.join(rooms, "b").select("a", "b", part), "dealt-pairs")
-        guests = self.with_sets(dealt.select(F.col("a").alias("nid"), F.col("b").alias("room"), "part"))
-        hosts = self.with_sets(dealt.select(F.col("b").alias("nid"), F.col("b").alias("room"), "part").distinct())
-        hosts = hosts.select("room", "part", F.col("set").alias("host_set"))
+    def confirmed(self, guests: DataFrame, hosts: DataFrame) -> DataFrame:
+        """Links ``a``, ``b`` between the guests (nid, room, part) and hosts (nid, room, part) of the same room and part."""
+        with_sets = lambda rows: rows.join(self.sets, "nid")
+        host = with_sets(hosts).select("room", "part", F.col("nid").alias("b"), F.col("set").alias("host_set"))
         both = F.size(F.array_intersect("set", "host_set"))
         union = F.size("set") + F.size("host_set") - both
-        alike = 100 * both.cast("long") >= self.spec.likeness_pct * union.cast("long")
-        links = guests.join(hosts, ["room", "part"]).where(alike)
-        return save_table(links.select(F.col("nid").alias("a"), F.col("room").alias("b")), "confirmed")
+        alike = (100 * both.cast("long") >= self.spec.likeness_pct * union.cast("long")) & (F.col("nid") != F.col("b"))
+        links = with_sets(guests).join(host, ["room", "part"]).where(alike)
+        return save_table(links.select(F.col("nid").alias("a"), "b"), "confirmed")
 
-    def labels(self) -> DataFrame:
-        """nid and label of every class that is linked with another."""
-        spec, members = self.spec, self.members()
-        dealt = self.with_mini(members).repartition("key", "block").sortWithinPartitions("key", "block", "nid")
-        starred = dealt.mapInPandas(centres(spec), "a long, b long, share double")
-        closest = starred.groupBy("a").agg(F.max_by("b", "share").alias("b"))
-        first = save_table(connected_components(self.confirmed(closest)), "first-labels")
-
-        known = first.select(F.col("node").alias("nid"), "label")
+    def confirmed_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Links among pairs ``a``, ``b``; many pairs of one ``b`` are spread over parts."""
+        pairs = save_table(pairs, "pairs")
+        number = pairs.groupBy("b").agg(F.ceil(F.count("*") / GUESTS).alias("parts"))
+        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+        dealt = save_table(pairs.join(number, "b").select(F.col("a").alias("nid"), F.col("b").alias("room"), part), "dealt-pairs")
+        return self.confirmed(dealt, dealt.select(F.col("room").alias("nid"), "room", "part").distinct())
+
+    def confirmed_visits(self, visits: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links of classes ``a`` with any member of the component labelled ``b``; large components are spread over parts."""
+        visits = save_table(visits, "visits")
+        wanted = visits.select(F.col("b").alias("label")).distinct()
+        members = wanted.join(labels, "label", "left").select(F.col("label").alias("room"), F.coalesce("node", "label").alias("nid"))
+        members = save_table(members, "hosts")
+        number = save_table(members.groupBy("room").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("parts")), "rooms")
+        hosts = members.join(number, "room").select("nid", "room", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"))
+        guests = visits.select(F.col("a").alias("nid"), F.col("b").alias("room")).join(number, "room")
+        return self.confirmed(guests.select("nid", "room", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), hosts)
+
+    def mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of table keys that hold several components, once for each pair of their key's blocks."""
+        known = labels.select(F.col("node").alias("nid"), "label")
         named = members.join(known, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+        named = named.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         named = save_table(named, "labelled")
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        blocks = F.ceil(F.col("count") / spec.block).cast("int") - 1
-        rows = self.with_mini(named.join(mixed.select("key"), "key"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks)))
-        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "nid")
-        rest = self.confirmed(rows.mapInPandas(remaining(spec), "a long, b long").distinct())
-
-        of = lambda end: known.select(F.col("nid").alias(end), F.col("label").alias(f"label_{end}"))
-        joined = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        links = joined.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-        second = save_table(connected_components(links), "second-labels")
-        every = first.unionByName(second).select("node").distinct().join(first, "node", "left")
-        every = every.withColumn("label", F.coalesce("label", "node"))
-        last = second.select(F.col("node").alias("label"), F.col("label").alias("last"))
-        return every.join(last, "label", "left").select(F.col("node").alias("nid"), F.coalesce("last", "label").alias("label"))
+        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        last = F.ceil(F.col("count") / self.spec.block).cast("int") - 1
+        rows = self.with_mini(named.join(several.select("key"), "key"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).drop("count")
+        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+        return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "nid")
+
+    def joined(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after more links: components of the labelled graph."""
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ends = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        found = save_table(connected_components(ends), "components")
+        every = labels.select("node").union(found.select("node")).distinct().join(labels, "node", "left")
+        last = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        every = every.withColumn("label", F.coalesce("label", "node")).join(last, "label", "left")
+        return save_table(every.select("node", F.coalesce("last", "label").alias("label")), "labels")
+
+    def labels(self) -> DataFrame:
+        """node and label of every class that is linked with another.
+
+        First each class is compared with the likeliest of its tables' centres, then with the likeliest class of another
+        component in any of its tables, and last with all classes of such a component; the first two only save comparisons.
+        """
+        spec, members, schema = self.spec, self.members(), "a long, b long, share double"
+        self.sets = self.sets_of(members)
+        best = lambda pairs: pairs.groupBy("a").agg(F.max_by("b", "share").alias("b"))
+        dealt = self.with_mini(members.drop("count")).repartition("key", "block").sortWithinPartitions("key", "block", "nid")
+        links = self.confirmed_pairs(best(dealt.mapInPandas(centres(spec), schema)))
+        labels = save_table(connected_components(links), "labels")
+        links = self.confirmed_pairs(best(self.mixed(members, labels).mapInPandas(closest(spec), schema)))
+        labels = self.joined(labels, links)
+        visits = self.mixed(members, labels).mapInPandas(visitors(spec), "a long, b long").distinct()
+        return self.joined(labels, self.confirmed_visits(visits, labels))
 
     def result(self) -> DataFrame:
-        labels = save_table(self.labels(), "labels")
+        labels = self.labels().select(F.col("node").alias("nid"), "label")
         named = self.nodes.select("nid", "d1", "d2", "n", "least_id").join(labels, "nid", "left")
         named = named.withColumn("label", F.coalesce("label", "nid"))
         least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
         classes = save_table(named.join(least, "label").select("d1", "d2", "n", "component_id"), "components")
-        joined = self.signed.drop("sig", "text_hash").join(classes, ["d1", "d2", "n"], "left")
+        joined = self.signed.drop("sig", "mini", "text_hash").join(classes, ["d1", "d2", "n"], "left")
         component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
             "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -296,8 +396,9 @@ def near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
 
     Documents of equal sets form one class, and classes meet in tables keyed by pairs of minhash groups. In each table
     every class is compared with a typical one, which links large groups with one comparison for each member. Classes that
-    still share a table without being connected are then compared pair by pair, in blocks, so no link that the tables
-    show is lost and nothing is capped. Links are confirmed on whole sets of 64-bit shingle hashes.
+    still share a table without being connected are then compared, first with the likeliest partner, then with the whole other
+    component, in parts of bounded size, so no link that the tables show is lost and nothing is capped. Pairs whose minima
+    differ too much to be a link are not confirmed. Links are confirmed on whole sets of 64-bit shingle hashes.
     """
     return NearDuplicates(docs, spec or Spec()).result()
 
