@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MANY = 1e6
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, modified Lentz method."""
     tiny, c = 1e-300, 1.0
@@ -45,7 +48,11 @@ def correlation_tail(rho: float, n: float) -> float:
     """Two-sided p-value of a correlation: t = rho sqrt((n - 2)/(1 - rho^2)) with n - 2 degrees of freedom."""
     if rho is None or n is None or math.isnan(rho) or n < 3:
         return float("nan")
-    return incomplete_beta((n - 2.0) / 2.0, 0.5, 1.0 - min(rho * rho, 1.0))
+    square = min(rho * rho, 1.0)
+    if n > MANY and square < 1.0:
+        # the beta function's logarithms would cancel; Wallace's normal deviate of a t value is exact to 1 / n here
+        return math.erfc(math.sqrt((n - 2.5) * -math.log1p(-square) / 2.0))
+    return incomplete_beta((n - 2.0) / 2.0, 0.5, 1.0 - square)
 
 
 def spearman_pvalue(rho: Column, n: Column) -> Column:

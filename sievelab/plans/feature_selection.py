@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelab.functions.special import spearman_pvalue
 from sievelab.operators import association, cleaning, forest, lasso, results, sampling, status, stepwise
 from sievelab.operators.joins import fix_small
 from sievelab.operators.mic import CELLS, mic
@@ -129,10 +130,10 @@ def feature_selection(
     stats, _ = fix_small(forest.importance_stats(importances, sizes=(settings.forest.replicates, len(names))))
     positive = forest.positive_importance(stats)
     # By name, as the descent's early stop depends on the order it visits the features in.
-    everything = positive.count()
+    n_positive = positive.count()
     best = positive if settings.forest_top is None else top_n(positive, "mean", settings.forest_top)
     chosen = sorted(r["variable"] for r in best.collect())
-    dropped = {"forest": everything - len(chosen)}
+    dropped = {"forest": n_positive - len(chosen)}
     reached("RF_COMPLETED")
     details = {"importances": forest.rank_importance(importances, per_replicate), "importance_stats": stats}
 
@@ -144,11 +145,12 @@ def feature_selection(
         scaled = {grp: m.rescaled(norms) for grp, m in moments.items()}
         path, alpha = _best_alpha(spark, scaled, settings)
         selected = lasso.lasso_select(spark, total(scaled.values()), chosen, alpha, settings.tolerance)
-        everything = selected.count()
-        selected = top_n_abs(selected, "score", settings.lasso_top or max(everything, 1))
+        n_selected = selected.count()
+        selected = top_n_abs(selected, "score", settings.lasso_top or max(n_selected, 1))
         kept = [r["variable"] for r in selected.collect()]
-        dropped["lasso"] = everything - len(kept)
+        dropped["lasso"] = n_selected - len(kept)
         details |= {"alphas": path, "lasso": selected}
+        everything = total(scaled.values())
     else:
         kept = []
     reached("LASSO_COMPLETED")
@@ -171,7 +173,11 @@ def feature_selection(
         "trace",
     )
     model = stepwise.best_model(trace)
-    finals = [r["variable"] for r in model.collect()]
+    terms = model.collect()  # one row per feature
+    finals = [r["variable"] for r in terms]
+    details["quality"] = _quality(
+        spark, everything, chosen, {"lasso": selected.collect(), "step_forward": terms}
+    )
     reached("STEP_FORWARD_COMPLETED")
 
     pairs = association.spearman_pairs(screened, chosen, finals, rows)
@@ -189,7 +195,8 @@ def feature_selection(
         results.coeff_rows(model, code, job_id, as_of),
         results.result_rows(best, job_id, as_of),
         status.stage_events(spark, job_id, area, stages),
-        details | {"trace": trace, "model": model, "pairs": pairs, "mic": mics, "scored": scored},
+        details
+        | {"trace": trace, "model": model, "pairs": _with_tails(pairs), "mic": mics, "scored": _with_tails(scored)},
         dropped,
     )
 
@@ -219,6 +226,21 @@ def write_job(
     return job.status.unionByName(event)
 
 
+def _quality(spark: SparkSession, m: Moments, names: list[str], models: dict[str, list]) -> DataFrame:
+    """(model, r2, adj_r2) of the job's own models on all rows."""
+    rows = []
+    for model, terms in models.items():
+        weights = {t["variable"]: t["score"] for t in terms}
+        rows.append((model, *stepwise.model_quality(m, np.array([weights.get(n, 0.0) for n in names]))))
+    return spark.createDataFrame(rows, "model string, r2 double, adj_r2 double")
+
+
+def _with_tails(pairs: DataFrame) -> DataFrame:
+    """Adds the p-values of both correlations of each pair."""
+    tails = {f"p_{k}": spearman_pvalue(F.col(f"abs_spearman_{k}"), F.col("n")) for k in ("fs", "ts")}
+    return pairs.withColumns(tails)
+
+
 def _guard(n: int, std: float | None, usable: int) -> str | None:
     if n == 0:
         return cleaning.EMPTY

@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -213,3 +214,12 @@ def test_feature_pairs_include_self(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "variable string")
     got = {(r["final"], r["suggestion"]) for r in association.feature_pairs(names, ["b", "a"]).collect()}
     assert got == set(itertools.product(["a", "b"], ["a", "b", "c"]))
+
+
+def test_tail_for_very_many_rows():
+    """Beyond any sample the t distribution is normal."""
+    for rho in (1e-4, 1e-3, 4e-3):
+        assert correlation_tail(rho, 1e6 + 1) == pytest.approx(incomplete_beta(5e5 - 0.5, 0.5, 1 - rho**2), rel=1e-5)
+    for n in (1e8, 1e10, 1e12):
+        for z in (0.5, 1.96, 4.0):
+            assert correlation_tail(z / math.sqrt(n), n) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)

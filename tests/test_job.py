@@ -57,6 +57,10 @@ def test_details_agree(job):
     assert [r["n_var"] for r in trace] == list(range(1, len(trace) + 1))
     screened = job.importance.where("importance_mean > 0").count()
     assert job.details["pairs"].count() == screened * job.coefficients.count()
+    quality = {r["model"]: r for r in job.details["quality"].collect()}
+    assert 0.9 < quality["lasso"]["r2"] <= 1 and quality["step_forward"]["adj_r2"] <= quality["step_forward"]["r2"] <= 1
+    own = job.details["pairs"].where("final = suggestion").first()
+    assert own["p_fs"] == pytest.approx(0.0) and 0 <= own["p_ts"] <= 1
 
 
 def test_row_order_and_partitions_do_not_matter(spark, sf, job):
