@@ -16,7 +16,7 @@ from sievelab.llm.common import full_text, id_key, with_null_ids
 from sievelab.llm.word_ids import encoder
 
 WINDOW = 1_024
-INDEXED = 1_024  # texts in one shard's index
+INDEXED = 512  # texts in one shard's index
 NEIGHBOURS = 32  # best unused neighbours tried whole before one is cut
 K1, B = 1.2, 0.75
 PIECES = (

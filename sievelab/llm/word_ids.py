@@ -17,7 +17,7 @@ from sievelab.llm.common import text_groups
 CACHED_WORDS = 600_000  # words with their punctuation
 CACHED_CORES = 800_000  # letters of words; both together take about 300 MB
 GROUP_CHARS = 1 << 20
-NEXT_TO_SPACE = re.compile(r"\s\s")
+ODD = b"odd"  # no ids: their bytes are even in number
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -107,12 +107,16 @@ class WordEncoder:
             if core is not body:
                 ids += self._sign(body[len(core) :])
             memory[word] = self.newline + ids if line else ids
+        if self.keeps_space:  # other white space in a word may touch the next cut
+            odd = [w for w in others if any(map(str.isspace, w[1:] if w[:1] == "\n" else w))]
+            memory.update(dict.fromkeys(odd, ODD))
+            others = [w for w in others if w not in memory]
         if others:
             whole = [w if not self.keeps_space or w[:1] == "\n" else f" {w}" for w in others]
             memory.update(zip(others, self._encode(whole), strict=True))
 
-    def _lookup(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words."""
+    def _lookup(self, texts: list[list[str]]) -> list[bytes | None]:
+        """The ids of each list of words; none if they cannot be told word by word."""
         new, old = self.words.new, self.words.old
         found = [list(map(new.get, words)) for words in texts]
         gaps = [[j for j, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
@@ -125,21 +129,28 @@ class WordEncoder:
                 ids[j] = new[words[j]]
         for memory in (self.words, self.cores, self.signs):
             memory.trim()
-        return [b"".join(ids) for ids in found]
+        return [None if ODD in ids else b"".join(ids) for ids in found]
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text, or nothing if cuts could depend on more than the word."""
+        if not self.keeps_space:
+            return None if CONTROL_SPACE.search(text) else text.split()
+        # a line break put before the text marks its first word, and is taken off again
+        words = f"\n{text}".replace("\n", " \n").split(" ")
+        if words.count("") > 1 or ("\n" in words and words.index("\n") < len(words) - 1):
+            return None  # spaces or line breaks beside each other
+        return words[1:]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``dtype``."""
         out: list[np.ndarray] = []
-        odd = NEXT_TO_SPACE if self.keeps_space else CONTROL_SPACE
+        skip = len(self.newline) if self.keeps_space else 0
         for group in text_groups(texts, GROUP_CHARS):
             part = [texts[i] for i in group]
-            whole = [odd.search(t) is not None or t[:1].isspace() for t in part]
-            # a line break put before a byte-level text marks its first word, and is taken off again
-            split = (lambda t: f"\n{t}".replace("\n", " \n").split(" ")[1:]) if self.keeps_space else str.split
-            words = self._lookup([[] if w else split(t) for t, w in zip(part, whole, strict=True)])
-            skip = len(self.newline) if self.keeps_space else 0
-            for text, w, ids in zip(part, whole, words, strict=True):
-                raw = self._encode([text])[0] if w else ids[skip:]
+            words = [self._split(t) for t in part]
+            found = self._lookup([w or [] for w in words])
+            for text, w, ids in zip(part, words, found, strict=True):
+                raw = self._encode([text])[0] if w is None or ids is None else ids[skip:]
                 out.append(np.frombuffer(raw, dtype=self.dtype))
         return out
 
