@@ -6,7 +6,6 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,7 +44,6 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 NEXT_SEGMENT = 1.0
 
 
-@lru_cache(maxsize=1)
 def keyboard() -> dict[str, str]:
     """Keys beside each key; a row is half a key to the right of the one above."""
     place = {c: (r, i - (r == 0)) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -55,6 +53,9 @@ def keyboard() -> dict[str, str]:
     return {c: "".join(d for d in place if beside(place[c], place[d])) for c in place}
 
 
+NEAR = keyboard()
+
+
 def alphabet(c: str) -> int:
     if c.isdigit():
         return 10
@@ -80,9 +81,8 @@ def guesses(value: str) -> tuple[float, list[tuple[str, str]]]:
         for i in range(n - unit - 1, -1, -1):
             end[i] = end[i + 1] if value[i] == value[i + unit] and i + 1 <= n - unit else i + unit
     walk, step = [n] * (n + 1), [n] * (n + 1)
-    near = keyboard()
     for i in range(n - 2, -1, -1):
-        walk[i] = walk[i + 1] if lower[i + 1] in near.get(lower[i], "") else i + 1
+        walk[i] = walk[i + 1] if lower[i + 1] in NEAR.get(lower[i], "") else i + 1
         steps = ord(lower[i + 1]) - ord(lower[i])
         on = i + 2 < n and ord(lower[i + 2]) - ord(lower[i + 1]) == steps
         step[i] = (step[i + 1] if on else i + 2) if abs(steps) == 1 else i + 1
