@@ -16,6 +16,7 @@ from sievelab.llm.components import connected_components
 from sievelab.operators.joins import fix_small
 from sievelab.sources.scratch import save_table
 
+SHINGLES_AT_ONCE = 1_000_000
 GUESTS = 256  # sets compared with one another in one part of a room
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,8 +79,17 @@ def signatures(sets: DataFrame, spec: Spec) -> DataFrame:
     factors = rng.integers(0, 2**63, spec.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, spec.hashes, dtype=np.uint64)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of about SHINGLES_AT_ONCE shingles, as several numbers are made of each."""
         for batch in batches:
+            offsets, start = batch.column("set").offsets.to_numpy(), 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SHINGLES_AT_ONCE, "right")) - 1)
+                yield batch.slice(start, stop - start)
+                start = stop
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             column = batch.column("set")
             offsets = column.offsets.to_numpy()
             values = column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
@@ -241,13 +251,19 @@ def closest(spec: Spec):
 
 
 def visitors(spec: Spec):
-    """Documents and the other components that they may be linked with; of two components the smaller one's visit."""
+    """Documents and the other components that they may be linked with; of two components the smaller one's visit.
+
+    Two documents that share several tables are taken up in the first of them only.
+    """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, found in across(spec, frames):
-            node, label, size = (rows.columns[c] for c in ("nid", "label", "size"))
+            node, label, size, table = (rows.columns[c] for c in ("nid", "label", "size", "table"))
+            minima = np.frombuffer(b"".join(rows.columns["sig"]), "<u4").reshape(len(node), 2, spec.groups, spec.rows)
             out = [np.zeros((0, 2), dtype=np.int64)]
             for i, others, _ in found:
+                first = (minima[others] == minima[i]).all(axis=3).argmax(axis=2)
+                others = others[first[:, 0] * spec.groups + first[:, 1] == table[i]]
                 visits = others[(size[i] < size[others]) | ((size[i] == size[others]) & (label[i] < label[others]))]
                 hosts = np.unique(label[visits])
                 out.append(np.stack([np.full(len(hosts), node[i]), hosts], axis=1))
@@ -284,13 +300,13 @@ class NearDuplicates:
 
     def members(self) -> DataFrame:
         """Table keys that several classes have, with these classes, dealt into blocks of bounded size."""
-        rows = self.nodes.select("nid", F.explode(table_keys(F.col("sig"), self.spec)).alias("key"))
+        rows = self.nodes.select("nid", F.posexplode(table_keys(F.col("sig"), self.spec)).alias("table", "key"))
         counts = save_table(rows.groupBy("key").count().where("count > 1"), "key-counts")
         block = F.pmod(F.xxhash64("nid", F.lit(1)), F.ceil(F.col("count") / self.spec.block)).cast("int")
         return save_table(rows.join(counts, "key").withColumn("block", block), "members")
 
-    def with_mini(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.nodes.select("nid", "n", "mini"), "nid")
+    def with_mini(self, rows: DataFrame, *more: str) -> DataFrame:
+        return rows.join(self.nodes.select("nid", "n", "mini", *more), "nid")
 
     def sets_of(self, members: DataFrame) -> DataFrame:
         """nid and whole shingle set of every class that shares a table key, made from one of its documents and written."""
@@ -331,7 +347,7 @@ class NearDuplicates:
         guests = visits.select(F.col("a").alias("nid"), F.col("b").alias("room")).join(number, "room")
         return self.confirmed(guests.select("nid", "room", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), hosts)
 
-    def mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+    def mixed(self, members: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
         """Members of table keys that hold several components, once for each pair of their key's blocks."""
         known = labels.select(F.col("node").alias("nid"), "label")
         named = members.join(known, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -340,7 +356,7 @@ class NearDuplicates:
         named = save_table(named, "labelled")
         several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         last = F.ceil(F.col("count") / self.spec.block).cast("int") - 1
-        rows = self.with_mini(named.join(several.select("key"), "key"))
+        rows = self.with_mini(named.join(several.select("key"), "key"), *more)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).drop("count")
         rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
         return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "nid")
@@ -365,12 +381,12 @@ class NearDuplicates:
         spec, members, schema = self.spec, self.members(), "a long, b long, share double"
         self.sets = self.sets_of(members)
         best = lambda pairs: pairs.groupBy("a").agg(F.max_by("b", "share").alias("b"))
-        dealt = self.with_mini(members.drop("count")).repartition("key", "block").sortWithinPartitions("key", "block", "nid")
+        dealt = self.with_mini(members.drop("count", "table")).repartition("key", "block").sortWithinPartitions("key", "block", "nid")
         links = self.confirmed_pairs(best(dealt.mapInPandas(centres(spec), schema)))
         labels = save_table(connected_components(links), "labels")
         links = self.confirmed_pairs(best(self.mixed(members, labels).mapInPandas(closest(spec), schema)))
         labels = self.joined(labels, links)
-        visits = self.mixed(members, labels).mapInPandas(visitors(spec), "a long, b long").distinct()
+        visits = self.mixed(members, labels, "sig").mapInPandas(visitors(spec), "a long, b long").distinct()
         return self.joined(labels, self.confirmed_visits(visits, labels))
 
     def result(self) -> DataFrame:
@@ -406,8 +422,8 @@ def near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is kept, one row for each; all columns stay as they were.
 
-    Rows of one id and text are one document, and so are rows of one id whose sets are equal: the one of the smallest text
-    hash stays. Rows without an id are kept unless they are like one with an id, one of each like group.
+    Rows of one id and text are one document. A dropped id takes all its rows along. Rows without an id are only compared by
+    their text: one row of each text stays.
     """
     spec = spec or Spec()
     found = save_table(near_duplicates(docs, spec), "near-duplicates")
