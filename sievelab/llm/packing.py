@@ -1,10 +1,11 @@
-"""Training sequences filled with lexically related texts, found by a sharded BM25 index."""
+"""Training sequences filled with lexically related texts, found by a BM25 index in each shard."""
 
 from __future__ import annotations
 
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,18 +26,51 @@ PIECES = (
 )
 
 
+class Terms(NamedTuple):
+    """Distinct ids of a whole text, ascending, how often each occurs, and the text's length."""
+
+    ids: np.ndarray
+    tf: np.ndarray
+    length: int
+
+
+def terms_of(ids: np.ndarray) -> Terms:
+    return Terms(*np.unique(ids, return_counts=True), len(ids))
+
+
+class Stats(NamedTuple):
+    """Number of texts, their mean length, and in how many of them each id occurs."""
+
+    texts: int
+    mean: float
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        """Terms in at least half of the texts weigh nothing."""
+        return np.maximum(0.0, np.log((self.texts - self.df + 0.5) / (self.df + 0.5)))
+
+
+def stats_of(texts: list[Terms]) -> Stats:
+    df = np.bincount(np.concatenate([t.ids for t in texts]))
+    return Stats(len(texts), float(np.mean([t.length for t in texts])), df)
+
+
 class Index:
-    """BM25 postings of a shard's texts; ids are the terms. Terms in at least half of the texts weigh nothing."""
+    """BM25 postings of a shard's texts; ids are the terms. ``stats`` are those of all texts, else of these."""
 
-    def __init__(self, texts: list[np.ndarray], k1: float = K1, b: float = B):
+    def __init__(self, texts: list[np.ndarray | Terms], k1: float = K1, b: float = B, stats: Stats | None = None):
         self.size = n = len(texts)
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        pairs = np.repeat(np.arange(n, dtype=np.int64), lengths) | (np.concatenate(texts).astype(np.int64) << 32)
-        pairs, tf = np.unique(pairs, return_counts=True)
-        terms, docs = pairs >> 32, pairs & 0xFFFFFFFF
-        _, first, df = np.unique(terms, return_index=True, return_counts=True)
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-        norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean()))
+        texts = [t if isinstance(t, Terms) else terms_of(t) for t in texts]
+        stats = stats or stats_of(texts)
+        lengths = np.array([t.length for t in texts], dtype=np.int64)
+        terms = np.concatenate([t.ids for t in texts])
+        order = np.argsort(terms, kind="stable")
+        docs = np.repeat(np.arange(n), [len(t.ids) for t in texts])[order]
+        terms, tf = terms[order], np.concatenate([t.tf for t in texts])[order].astype(np.int64)
+        found, first, df = np.unique(terms, return_index=True, return_counts=True)
+        idf = stats.idf[found]
+        norm = k1 * (1 - b + b * lengths / max(1.0, stats.mean))
         weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[docs])
         useful = np.repeat((idf > 0) & (df > 1), df)
         self.docs, self.weight = docs, weight
@@ -57,15 +91,23 @@ class Index:
         return np.bincount(self.docs[at], self.weight[at], self.size)
 
 
-def fill_windows(texts: list[np.ndarray], window: int = WINDOW, neighbours: int = NEIGHBOURS) -> Iterator[list[tuple]]:
+def fill_windows(
+    texts: list[np.ndarray],
+    window: int = WINDOW,
+    neighbours: int = NEIGHBOURS,
+    terms: list[Terms] | None = None,
+    stats: Stats | None = None,
+) -> Iterator[list[tuple]]:
     """Windows as lists of (text, start, length, score); every id of every text is in exactly one.
 
+    ``texts`` are what is to be placed; they are compared by ``terms``, where given.
+
     The longest unused text is the seed. Its best unused neighbours go in whole where they fit, best first; if there is
     room left, the best one that did not fit is cut and its rest stays unused. Only the last window is not full.
     """
     if not texts:
         return
-    index = Index(texts)
+    index = Index(terms or texts, stats=stats)
     start = np.zeros(len(texts), dtype=np.int64)
     left = np.array([len(t) for t in texts], dtype=np.int64)
     for seed in np.argsort(-left, kind="stable"):
@@ -112,11 +154,12 @@ def pack_documents(
     """Pieces of all documents in sequences of at most ``window`` ids.
 
     Whole windows of a long text are sequences of their own. What is left of each text goes to a shard of about
-    ``indexed`` texts, chosen by a hash of the row, where seeds look up neighbours in the shard's index. Larger shards are
-    indexed in parts of that size, so a shard that many equal rows fall into stays bounded. Null texts are empty and
+    ``indexed`` texts, chosen by a hash of the row, where seeds look up neighbours by the terms of whole texts. Larger shards
+    are indexed in parts of that size, so a shard that many equal rows fall into stays bounded. Null texts are empty and
     hold the end id alone. ``neighbour_score`` is null for seeds.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    dtype = encoder(vocabulary, keeps_space).dtype
     shards = max(1, math.ceil(docs.count() / indexed))
     rows = docs.select(id_key(), full_text().alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
@@ -130,22 +173,25 @@ def pack_documents(
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                 whole = len(ids) // window * window
                 crc = [zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)]
-                out.append((shard, doc, len(ids), crc, ids[whole:].astype(words.dtype).tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "doc_tokens", "crcs", "rest"])
+                terms = terms_of(ids.astype(dtype))
+                out.append((shard, doc, len(ids), crc, terms.ids.tobytes(), terms.tf.astype("<u4").tobytes(), ids[whole:].astype(dtype).tobytes()))
+            yield pd.DataFrame(out, columns=["shard", "doc_id", "doc_tokens", "crcs", "terms", "tf", "rest"])
+
+    encoded = rows.mapInPandas(tokens, "shard long, doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary")
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dtype = encoder(vocabulary, keeps_space).dtype
         names = [x.split()[0] for x in PIECES.split(", ")]
         shard, number, held = None, 0, []
 
         def fill() -> pd.DataFrame:
             nonlocal number
             out = []
-            texts = [np.frombuffer(rest, dtype) for _, _, rest in held]
-            for placed in fill_windows(texts, window):
+            texts = [np.frombuffer(rest, dtype) for *_, rest in held]
+            terms = [Terms(np.frombuffer(ids, dtype), np.frombuffer(tf, "<u4"), total) for _, total, ids, tf, _ in held]
+            for placed in fill_windows(texts, window, terms=terms):
                 offset = 0
                 for at, start, length, score in placed:
-                    doc, total, _ = held[at]
+                    doc, total, *_ = held[at]
                     crc = zlib.crc32(texts[at][start : start + length].astype("<u4"))
                     begin = total - len(texts[at]) + start
                     out.append((doc, begin, length, crc, total, (shard << 32) | number, offset, score))
@@ -155,8 +201,8 @@ def pack_documents(
 
         for frame in frames:
             out = []
-            columns = [frame[c] for c in ("shard", "doc_id", "doc_tokens", "crcs", "rest")]
-            for s, doc, total, crcs, rest in zip(*columns, strict=True):
+            columns = [frame[c] for c in ("shard", "doc_id", "doc_tokens", "crcs", "terms", "tf", "rest")]
+            for s, doc, total, crcs, terms, tf, rest in zip(*columns, strict=True):
                 if held and (s != shard or len(held) >= 2 * indexed):
                     yield fill()
                     held = []
@@ -166,12 +212,11 @@ def pack_documents(
                     out.append((doc, i * window, window, crc, total, (shard << 32) | number, 0, None))
                     number += 1
                 if rest:
-                    held.append((doc, int(total), rest))
+                    held.append((doc, int(total), terms, tf, rest))
             if out:
                 yield pd.DataFrame(out, columns=names).astype({"neighbour_score": "float64"})
         if held:
             yield fill()
 
-    encoded = rows.mapInPandas(tokens, "shard long, doc_id long, doc_tokens long, crcs array<long>, rest binary")
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "doc_tokens", "rest")
     return with_null_ids(ordered.mapInPandas(packed, PIECES))

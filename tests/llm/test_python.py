@@ -137,6 +137,35 @@ def test_neighbours_are_related():
         assert abs(index.scores(a)[b] - score) < 1e-9
 
 
+def piece_pairs(rows):
+    """Documents of each sequence's seed and its best neighbour, with the score."""
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        by.setdefault(r["sequence_id"], []).append(r)
+    return [(part[0]["doc_id"], part[1]["doc_id"], part[1]["neighbour_score"]) for part in by.values() if len(part) > 1]
+
+
+def test_long_texts_are_compared_whole(make_docs):
+    """The first window of a text is of its topic, and all that is left to place is not."""
+    plain, rng = tokenizer("byte_bpe_50k.json"), random.Random(3)
+    size = lambda words: len(plain.encode("".join(words), add_special_tokens=False).ids)
+    word = lambda: " " + "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    rows = []
+    for topic in range(8):
+        own = [word() for _ in range(60)]
+        for copy in range(2):
+            body = [rng.choice(own) for _ in range(600)]
+            while size(body) > 1_024:
+                body.pop()
+            body += [" the"] * (1_024 - size(body))
+            tail = []
+            while size(tail) < 495:
+                tail.append(word())
+            rows.append((10 * topic + copy, "".join(body + tail)))
+    pairs = piece_pairs(packing.pack_documents(make_docs(rows)).collect())
+    assert len(pairs) >= 7 and all(a // 10 == b // 10 and score > 0 for a, b, score in pairs[:7])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 1_023), max_size=40))
 def test_windows_are_full(lengths):
