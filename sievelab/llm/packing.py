@@ -1,8 +1,7 @@
-"""Training sequences filled with lexically related texts, found by a BM25 index in each shard."""
+"""Training sequences filled with lexically related texts, found by a BM25 index sharded by content."""
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -13,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import full_text, id_key, with_null_ids
+from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, with_null_ids
 from sievelab.llm.word_ids import encoder
+from sievelab.sources.scratch import save_table
 
 WINDOW = 1_024
-INDEXED = 512  # texts in one shard's index
+INDEXED = 1_024  # texts in one shard's index
 NEIGHBOURS = 32  # best unused neighbours tried whole before one is cut
 K1, B = 1.2, 0.75
 PIECES = (
@@ -143,6 +143,49 @@ def fill_windows(
             yield placed
 
 
+def corpus_stats(encoded: DataFrame, size: int, dtype: np.dtype) -> Stats:
+    """Counted in tasks over all rows of ``encoded``; the driver holds a number for each of the vocabulary's ids."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(size, dtype=np.int64)
+        for frame in frames:
+            df += np.bincount(np.frombuffer(b"".join(frame["terms"]), dtype), minlength=size)
+        found = np.flatnonzero(df)
+        yield pd.DataFrame({"term": found, "df": df[found]})
+
+    number, mean = encoded.agg(F.count("*"), F.avg("doc_tokens")).first()
+    df = np.zeros(size, dtype=np.int64)
+    for term, texts in encoded.select("terms").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+        df[term] = texts
+    return Stats(number, mean or 1.0, df)
+
+
+class ContentKey:
+    """A long for each text; texts that share much of their weight are likely to be near one another in its order.
+
+    It joins the places of the text's first terms in ``DRAWS`` random orders of all terms, in which a term comes early with
+    odds of its squared idf: two texts have the same first term with the probability of their weighted likeness. ``free`` low bits
+    are left for a number that splits equal keys.
+    """
+
+    DRAWS = 3
+
+    def __init__(self, stats: Stats, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        size = len(stats.df)
+        self.bits = size.bit_length()
+        self.free = 63 - self.DRAWS * self.bits
+        late = -np.log(rng.random((self.DRAWS, size))) / np.maximum(stats.idf**2, 1e-9)
+        self.place = late.argsort(axis=1).argsort(axis=1)
+
+    def __call__(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Keys of texts whose distinct terms, none of them empty, begin at ``first``."""
+        key = np.zeros(len(first), dtype=np.int64)
+        for place in self.place:
+            key = key << self.bits | np.minimum.reduceat(place[terms], first)
+        return key << self.free
+
+
 def pack_documents(
     docs: DataFrame,
     vocabulary: str | None = None,
@@ -153,31 +196,44 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` ids.
 
-    Whole windows of a long text are sequences of their own. What is left of each text goes to a shard of about
-    ``indexed`` texts, chosen by a hash of the row, where seeds look up neighbours by the terms of whole texts. Larger shards
-    are indexed in parts of that size, so a shard that many equal rows fall into stays bounded. Null texts are empty and
-    hold the end id alone. ``neighbour_score`` is null for seeds.
+    Whole windows of a long text are sequences of their own. What is left of each text is placed with its neighbours, which
+    are found by the terms of whole texts, weighted by counts of the whole corpus. Texts are ordered by a key of their
+    content and cut into shards of about ``indexed`` texts; seeds look up neighbours in their shard's index, so a
+    neighbour that the order puts into another shard is not found. A key that many texts share is split by a hash of the
+    id, and shards larger than twice that size are indexed in parts, so a shard that many equal rows fall into stays bounded.
+    Null texts are empty and hold the end id alone. ``neighbour_score`` is null for seeds.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    dtype = encoder(vocabulary, keeps_space).dtype
-    shards = max(1, math.ceil(docs.count() / indexed))
+    words = encoder(vocabulary, keeps_space)
+    dtype, size = words.dtype, max(words.tokenizer.get_vocab_size(), end_id + 1)
     rows = docs.select(id_key(), full_text().alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(vocabulary, keeps_space)
         for frame in frames:
             out = []
             found = words.encode(frame["text"].tolist())
-            for shard, doc, ids in zip(frame["shard"], frame["doc_id"], found, strict=True):
+            for doc, ids in zip(frame["doc_id"], found, strict=True):
                 ids = np.append(ids.astype("<u4"), np.uint32(end_id))
                 whole = len(ids) // window * window
                 crc = [zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)]
                 terms = terms_of(ids.astype(dtype))
-                out.append((shard, doc, len(ids), crc, terms.ids.tobytes(), terms.tf.astype("<u4").tobytes(), ids[whole:].astype(dtype).tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "doc_tokens", "crcs", "terms", "tf", "rest"])
+                out.append((doc, len(ids), crc, terms.ids.tobytes(), terms.tf.astype("<u4").tobytes(), ids[whole:].astype(dtype).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "crcs", "terms", "tf", "rest"])
+
+    encoded = save_table(rows.mapInPandas(tokens, "doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary"), "encoded")
+    stats = corpus_stats(encoded, size, dtype)
+    content = ContentKey(stats)
+
+    @F.pandas_udf("long")
+    def content_key(terms: pd.Series) -> pd.Series:
+        length = terms.map(len).to_numpy(dtype=np.int64) // dtype.itemsize
+        return pd.Series(content(np.frombuffer(b"".join(terms), dtype), np.cumsum(length) - length))
 
-    encoded = rows.mapInPandas(tokens, "shard long, doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary")
+    key = content_key("terms").bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.lit(1 << content.free)))
+    keyed = encoded.withColumn("key", key)
+    cuts = cut_points(keyed.select("key"), F.col("key"), indexed) or [0]
+    keyed = keyed.withColumn("shard", bucket_of(F.col("key"), cuts).cast("long"))
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in PIECES.split(", ")]
@@ -188,7 +244,7 @@ def pack_documents(
             out = []
             texts = [np.frombuffer(rest, dtype) for *_, rest in held]
             terms = [Terms(np.frombuffer(ids, dtype), np.frombuffer(tf, "<u4"), total) for _, total, ids, tf, _ in held]
-            for placed in fill_windows(texts, window, terms=terms):
+            for placed in fill_windows(texts, window, terms=terms, stats=stats):
                 offset = 0
                 for at, start, length, score in placed:
                     doc, total, *_ = held[at]
@@ -218,5 +274,5 @@ def pack_documents(
         if held:
             yield fill()
 
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "doc_tokens", "rest")
+    ordered = keyed.repartition("shard").sortWithinPartitions("shard", "key", "doc_id", "doc_tokens", "rest")
     return with_null_ids(ordered.mapInPandas(packed, PIECES))

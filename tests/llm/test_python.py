@@ -166,6 +166,30 @@ def test_long_texts_are_compared_whole(make_docs):
     assert len(pairs) >= 7 and all(a // 10 == b // 10 and score > 0 for a, b, score in pairs[:7])
 
 
+def test_copies_meet_whatever_the_number_of_shards(make_docs):
+    """Near copies are dealt to one shard, and scores are those of the whole corpus."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for group in range(40):
+        own = [word() for _ in range(50)]
+        rows += [(10 * group + copy, " ".join([*own, word(), word()])) for copy in range(4)]
+    got = packing.pack_documents(make_docs(rows), indexed=16).collect()
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in got}
+    together = np.mean([shard[10 * group] == shard[10 * group + copy] for group in range(40) for copy in (1, 2, 3)])
+    assert len(set(shard.values())) >= 8 and together > 0.6, together
+    pairs = piece_pairs(got)
+    plain = tokenizer("byte_bpe_50k.json")
+    ids = {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    n, mean, sets = len(ids), np.mean([len(x) for x in ids.values()]), {i: set(x) for i, x in ids.items()}
+    for a, b, got in pairs[:5]:
+        score = 0.0
+        for term in sets[a] & sets[b]:
+            df, tf = sum(term in x for x in sets.values()), ids[b].count(term)
+            score += max(0.0, np.log((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ids[b]) / mean))
+        assert abs(got - score) < 1e-6
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 1_023), max_size=40))
 def test_windows_are_full(lengths):
