@@ -6,9 +6,12 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from sievelab.llm.common import full_text, id_key, with_null_ids
 
@@ -18,10 +21,13 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(
-    r"""(?ai:(?<![a-z0-9])(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|auth|bearer"""
-    r"""|(?:private|access|api|secret)[_-]?key)["']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*)["']?([^\s"'<>,;]+)"""
+KEY = (
+    r"""(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|credentials?|auth|bearer"""
+    r"""|(?:private|access|api|secret)[_-]?key)["']?[\x20\t]*"""
 )
+# a key may end a joined name (dbPassword, userpwd), but before "is" it begins a word or a part of a camel-case name
+BEGIN = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+CONTEXT = re.compile(rf"""(?:(?ai:{KEY}(?::=|=>|[:=]))|{BEGIN}(?ai:{KEY}\bis\b))[\x20\t]*["']?([^\s"'<>,;]+)""")
 CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "credential", "auth", "bearer", "key")
 GUESSES = 8.0  # powers of ten from which a value counts as a secret
 MIN_VALUE = 6
@@ -124,6 +130,13 @@ def guesses(value: str) -> tuple[float, list[tuple[str, str]]]:
     return best[n], parts[::-1]
 
 
+@cache
+def prose_words() -> frozenset[str]:
+    """Lower-case words that are a single token of a public vocabulary, about 20,000."""
+    vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).get_vocab()
+    return frozenset(w[1:] for w in vocabulary if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha() and w[1:].islower())
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the fixed patterns, leftmost and non-overlapping within a kind."""
     found = []
@@ -149,8 +162,8 @@ def password_spans(text: str, base: list[tuple[int, int, str]], least: float = G
         if end - start < MIN_VALUE or any(a < end and start < b for a, _, b in base):
             continue
         value = text[start:end]
-        if value.isalpha() and value.islower():
-            continue  # a plain word after "is" or a colon
+        if value in prose_words():
+            continue  # a plain word after "is" or a colon, which is below 10^5 guesses
         cost, _ = guesses(value)
         if cost >= least:
             yield start, 3, end, cost

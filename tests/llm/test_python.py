@@ -410,6 +410,21 @@ def test_passwords_in_context(make_docs):
     assert got == {1: "password:18:28", 2: "", 3: "", 4: "", 5: "assign:0:18"}
 
 
+def test_lower_case_values_and_joined_keys(make_docs):
+    found = {
+        "pwd=kqzvxjwbtm": "password:4:14",
+        "passphrase: correcthorsebatterystaple": "password:12:37",
+        "the password is kqzvxjwbtm": "password:16:26",
+        "dbPassword=Tr0ub4dor&3": "password:11:22",
+        "userpwd=Tr0ub4dor&3": "password:8:19",
+        "the password is information": "",
+        "secret: information": "",
+        "compass is kqzvxjwbtm": "",
+    }
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(make_docs(list(enumerate(found)))).collect()}
+    assert [got[i] for i in range(len(found))] == list(found.values())
+
+
 # language
 
 
