@@ -33,7 +33,7 @@ class Spec(NamedTuple):
     groups: int = 8
     rows: int = 2
     bins: int = 64  # more minima, of one permutation cut into bins, that only estimate likeness
-    deviations: float = 4.0  # a pair is not confirmed if its estimate is so far below the limit; misses 3e-5 of true pairs
+    deviations: float = 4.0  # a partner whose estimate is so far below the limit is not tried first; it loses no link
     block: int = 2_048  # documents of one table key compared in one task
     broadcast_rows: int = 200_000
     seed: int = 7
@@ -190,12 +190,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((a == b) & known).sum(axis=-1) / number, number
 
 
+def sizes_fit(spec: Spec, size_a, size_b) -> np.ndarray:
+    """Which pairs can be links by the sizes of their sets, which is exact."""
+    return 100 * np.minimum(size_a, size_b) >= spec.likeness_pct * np.maximum(size_a, size_b)
+
+
 def possible(spec: Spec, a: np.ndarray, b: np.ndarray, size_a, size_b) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs can be links by their estimates and sizes, and the estimates."""
+    """Which pairs are likely to be links by their estimates and sizes, and the estimates."""
     limit = spec.likeness_pct / 100
     share, number = estimate(a, b)
     enough = share >= limit - spec.deviations * np.sqrt(limit * (1 - limit) / number)
-    return enough & (100 * np.minimum(size_a, size_b) >= spec.likeness_pct * np.maximum(size_a, size_b)), share
+    return enough & sizes_fit(spec, size_a, size_b), share
 
 
 def centres(spec: Spec):
@@ -218,13 +223,12 @@ def centres(spec: Spec):
     return pairs
 
 
-def across(spec: Spec, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Rows, list[tuple[int, np.ndarray, np.ndarray]]]]:
-    """For each document that shares a table key with another component: the documents there that may be links, and the
-    estimates. The rows are whole pairs of blocks; each pair of documents is met from both sides."""
-    for rows in whole_groups(frames, ["key", "low", "high"]):
-        size, label, block = (rows.columns[c] for c in ("n", "label", "block"))
-        low, high = rows.columns["low"], rows.columns["high"]
-        out = []
+def across(spec: Spec, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Rows, Iterator[tuple[int, np.ndarray]]]]:
+    """For each document that shares a table key with another component: the documents there. The rows are whole pairs of
+    blocks; each pair of documents is met from both sides."""
+
+    def found(rows: Rows) -> Iterator[tuple[int, np.ndarray]]:
+        label, block, low, high = (rows.columns[c] for c in ("label", "block", "low", "high"))
         for start, end in zip(rows.first, rows.first[1:], strict=False):
             if (label[start:end] == label[start]).all():
                 continue
@@ -232,10 +236,11 @@ def across(spec: Spec, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Rows, l
             for i in at:
                 there = True if low[i] == high[i] else block[at] != block[i]
                 others = at[(label[at] != label[i]) & there]
-                ok, share = possible(spec, rows.mini[others], rows.mini[i], size[others], size[i])
-                if ok.any():
-                    out.append((i, others[ok], share[ok]))
-        yield rows, out
+                if len(others):
+                    yield i, others
+
+    for rows in whole_groups(frames, ["key", "low", "high"]):
+        yield rows, found(rows)
 
 
 def closest(spec: Spec):
@@ -243,25 +248,32 @@ def closest(spec: Spec):
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, found in across(spec, frames):
-            node = rows.columns["nid"]
-            best = [(node[i], node[others[share.argmax()]], share.max()) for i, others, share in found]
+            node, size = rows.columns["nid"], rows.columns["n"]
+            best = []
+            for i, others in found:
+                ok, share = possible(spec, rows.mini[others], rows.mini[i], size[others], size[i])
+                if ok.any():
+                    most = np.where(ok, share, -1.0).argmax()
+                    best.append((node[i], node[others[most]], share[most]))
             yield pd.DataFrame(best, columns=["a", "b", "share"])
 
     return pairs
 
 
 def visitors(spec: Spec):
-    """Documents and the other components that they may be linked with; of two components the smaller one's visit.
+    """Documents and the other components that they share tables with; of two components the smaller one's visit.
 
-    Two documents that share several tables are taken up in the first of them only.
+    Only sizes rule a pair out here, as an estimate could miss a link. Two documents that share several tables are taken up in the first of them only.
     """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, found in across(spec, frames):
             node, label, size, table = (rows.columns[c] for c in ("nid", "label", "size", "table"))
+            n = rows.columns["n"]
             minima = np.frombuffer(b"".join(rows.columns["sig"]), "<u4").reshape(len(node), 2, spec.groups, spec.rows)
             out = [np.zeros((0, 2), dtype=np.int64)]
-            for i, others, _ in found:
+            for i, others in found:
+                others = others[sizes_fit(spec, n[others], n[i])]
                 first = (minima[others] == minima[i]).all(axis=3).argmax(axis=2)
                 others = others[first[:, 0] * spec.groups + first[:, 1] == table[i]]
                 visits = others[(size[i] < size[others]) | ((size[i] == size[others]) & (label[i] < label[others]))]
@@ -413,8 +425,8 @@ def near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
     Documents of equal sets form one class, and classes meet in tables keyed by pairs of minhash groups. In each table
     every class is compared with a typical one, which links large groups with one comparison for each member. Classes that
     still share a table without being connected are then compared, first with the likeliest partner, then with the whole other
-    component, in parts of bounded size, so no link that the tables show is lost and nothing is capped. Pairs whose minima
-    differ too much to be a link are not confirmed. Links are confirmed on whole sets of 64-bit shingle hashes.
+    component, in parts of bounded size, so no link that the tables show is lost and nothing is capped. Estimates from
+    minima only choose the partners of the first two rounds. Links are confirmed on whole sets of 64-bit shingle hashes.
     """
     return NearDuplicates(docs, spec or Spec()).result()
 

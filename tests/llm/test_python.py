@@ -254,6 +254,14 @@ def test_components_equal_brute_force(make_docs, odd_rows, spec):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_estimates_lose_no_link(make_docs):
+    """No estimate is high enough for these deviations, and every link is found all the same."""
+    rows = near_rows()
+    got = near_dedup.near_duplicates(make_docs(rows), near_dedup.Spec(words=2, deviations=-30.0)).collect()
+    wanted = {i: c for i, _, c in brute_components(rows, 2)}
+    assert len(set(wanted.values())) < len(wanted) and {r["doc_id"]: r["component_id"] for r in got} == wanted
+
+
 def test_members_missed_by_the_centre_are_linked(make_docs):
     """A ring whose neighbours are alike and whose opposite ends are not."""
     w = [f"w{i}" for i in range(400)]
