@@ -3,10 +3,11 @@
 A rank needs the number of smaller values in the whole group, which a plain window computes by putting the
 group into one task. Here large groups are cut at approximate quantiles first. Whatever the cut points are, the
 rank is exact: rows in lower slots (counted once, with map-side combine) plus the rank inside the row's own
-slot. A value so frequent that it fills the span between two cut points gets a slot of its own; all its rows tie,
-so they get their rank without being moved.
+slot. A value so frequent that it fills the span between two cut points gets a slot of its own; all its rows tie, so
+their rank does not depend on the task they go to. Groups of few distinct values are not moved at all: their ranks
+are looked up in a table of values.
 
-Cost for n rows: two scans with tiny aggregates and one shuffle of the rows, in groups x slots balanced tasks.
+Cost for n rows: three scans with tiny aggregates and at most one shuffle of the rows, in groups x slots balanced tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sievelab.operators.joins import fix_small
+from sievelab.sources.scratch import save_table
 
 ROWS_PER_SLOT = 500_000
 MAX_CUT_POINTS = 1 << 18
 MAX_SLOTS = 1 << 14
 MANY_GROUPS = 1 << 12
+TABLE_VALUES = 100_000
 
 _SLOT, _HOT, _BEFORE, _SIZE, _NUMBER, _TASK = "__slot", "__hot", "__before", "__size", "__number", "__task"
 
@@ -67,14 +70,16 @@ def _place(df: DataFrame, by: list[str], value: str, slots: int) -> DataFrame:
         placed = df.join(F.broadcast(cuts), by)
     else:
         placed = df.withColumn("__cuts", cuts.scalar())
-    # Binary search for the number of cuts below the value, one projection per halving.
-    placed = placed.withColumn("__lo", F.lit(0))
-    step = 1 << max(0, (slots - 1).bit_length() - 1)
-    while step:
-        probe = F.col("__lo") + F.lit(step)
+    # Binary search for the number of cuts below the value, as one expression, so that the plan does not grow with the slots.
+    # It is never null; else a join on it would add a filter that repeats it.
+    halvings = F.array(*[F.lit(1 << b) for b in reversed(range((slots - 1).bit_length()))])
+
+    def halved(low: Column, step: Column) -> Column:
+        probe = low + step
         below = (probe <= F.lit(slots - 1)) & (F.try_element_at("__cuts", probe) < F.col(value))
-        placed = placed.withColumn("__lo", F.when(below, probe).otherwise(F.col("__lo")))
-        step //= 2
+        return F.when(below, probe).otherwise(low)
+
+    placed = placed.withColumn("__lo", F.coalesce(F.aggregate(halvings, F.lit(0), halved), F.lit(0)))
     here = F.try_element_at("__cuts", F.col("__lo") + F.lit(1))
     following = F.try_element_at("__cuts", F.col("__lo") + F.lit(2))
     hot = F.coalesce((here == F.col(value)) & (following == F.col(value)), F.lit(False))
@@ -113,12 +118,23 @@ def with_ranks(
     by: list[str] | None = None,
     sizes: tuple[int, int] | None = None,
     rows_per_slot: int = ROWS_PER_SLOT,
+    table_values: int = TABLE_VALUES,
 ) -> DataFrame:
     """Adds ``min_rank`` (rank of the first tied row, ascending), ``ties`` and ``group_rows``.
 
     ``value`` must be numeric and not null. ``sizes`` is (largest group, number of groups) if the caller knows it.
+    Groups of few distinct values take their ranks from a table of at most ``table_values`` values; the others are cut into slots.
     """
     by = by or []
+    tables = ValueTables(df, value, by, table_values)
+    if tables.ranked is not None:
+        if tables.rest is None:
+            return tables.ranked
+        return tables.ranked.union(_with_ranks(tables.rest, value, by, sizes, rows_per_slot))
+    return _with_ranks(df, value, by, sizes, rows_per_slot)
+
+
+def _with_ranks(df: DataFrame, value: str, by: list[str], sizes: tuple[int, int] | None, rows_per_slot: int) -> DataFrame:
     largest, groups = sizes or group_sizes(df, by)
     if groups > MANY_GROUPS and largest > 2 * rows_per_slot:
         big, rest, n_big = _by_group_size(df, by, 2 * rows_per_slot)
@@ -154,21 +170,63 @@ def _ranks_in_groups(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def _ranks_in_slots(df: DataFrame, value: str, by: list[str], slots: int) -> DataFrame:
+    """Rows are read and shuffled once: a slot is a task, and the rows of hot values, which all tie, are dealt by input partition."""
     columns = df.columns
     placed = _place(df, by, value, slots)
     offsets = _slot_offsets(placed, by)
-    rows = placed.join(F.broadcast(offsets), [*by, _SLOT]).withColumn(_TASK, F.col(_NUMBER))
-    kept = [F.col(f"`{c}`") for c in columns]
+    task = F.when(F.col(_HOT), -1 - F.spark_partition_id()).otherwise(F.col(_NUMBER)).cast("long")
+    rows = placed.join(F.broadcast(offsets), [*by, _SLOT]).withColumn(_TASK, task)
     slot = Window.partitionBy(_TASK)
-    cold = rows.where(~F.col(_HOT)).select(
-        *kept,
-        (F.col(_BEFORE) + F.rank().over(slot.orderBy(value))).cast("long").alias("min_rank"),
-        _ties(slot, value).alias("ties"),
+    inside = F.when(F.col(_HOT), F.lit(1)).otherwise(F.rank().over(slot.orderBy(value)))
+    return rows.select(
+        *[F.col(f"`{c}`") for c in columns],
+        (F.col(_BEFORE) + inside).cast("long").alias("min_rank"),
+        F.when(F.col(_HOT), F.col(_SIZE)).otherwise(_ties(slot, value)).alias("ties"),
         F.col("group_rows"),
     )
-    # All rows of a hot slot tie, so their rank is known where they are read.
-    hot = rows.where(_HOT).select(*kept, (F.col(_BEFORE) + 1).cast("long").alias("min_rank"), _SIZE, "group_rows")
-    return cold.union(hot)
+
+
+class ValueTables:
+    """Ranks of groups whose values repeat, by one small table (by..., value, min_rank, ties, group_rows) for all of them.
+
+    A group is taken if its distinct values, as estimated in one hash aggregate, are at most an eighth of its rows, and as long
+    as all tables together have at most ``most`` rows. The table comes from a second hash aggregate and is broadcast once its size
+    is known, so no row is shuffled.
+    """
+
+    def __init__(self, df: DataFrame, value: str, by: list[str], most: int):
+        self.df, self.value, self.by, self.most = df, value, by, most
+        self.rest: DataFrame | None = df
+        self.ranked: DataFrame | None = None
+        stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), F.approx_count_distinct(value, 0.02).alias("__values"))
+        found = stats.orderBy("__values", *by).limit(MANY_GROUPS + 1).collect()
+        if len(found) > MANY_GROUPS or any(r[c] is None for r in found for c in by):
+            return
+        taken, held = [], 0
+        for row in found:
+            held += row["__values"]
+            if 8 * row["__values"] > row["__rows"] or held > most:
+                break
+            taken.append(row)
+        if taken:
+            self._take(taken, len(taken) == len(found))
+
+    def _take(self, groups: list, every: bool) -> None:
+        chosen = F.broadcast(self.df.sparkSession.createDataFrame([tuple(r[c] for c in self.by) for r in groups], self._by_schema())) if self.by else None
+        some = self.df if every else self.df.join(chosen, self.by, "left_semi")
+        counts = save_table(some.groupBy(*self.by, self.value).agg(F.count(F.lit(1)).alias("ties")), "value-counts")
+        if counts.count() > 2 * self.most:
+            return  # the estimate was too low
+        group = Window.partitionBy(*self.by)
+        rank = _first_rank(F.lit(0), group, self.value).cast("long").alias("min_rank")
+        table = counts.select(*self.by, self.value, rank, "ties", F.sum("ties").over(group).alias("group_rows"))
+        self.ranked = some.join(F.broadcast(table), [*self.by, self.value]).select(
+            *[F.col(f"`{c}`") for c in self.df.columns], "min_rank", "ties", "group_rows"
+        )
+        self.rest = None if every else self.df.join(chosen, self.by, "left_anti")
+
+    def _by_schema(self):
+        return self.df.select(*self.by).schema
 
 
 def average_rank(

@@ -106,3 +106,21 @@ def test_attach_small_falls_back_to_salted_join(spark, skewed):
     assert salted.count() == broadcast.count() == (data["variable"] != "g.2").sum()
     semi = joins.attach_small(df, small.select("variable"), ["variable"], "left_semi", max_rows=1)
     assert semi.count() == salted.count()
+
+
+def test_value_tables_equal_slots(spark):
+    """Groups of few and of many distinct values, signed zeros, and groups too small to repeat a value."""
+    rng = np.random.default_rng(11)
+    parts = {"few": rng.integers(0, 9, 3000) / 4, "zero": rng.choice([0.0, -0.0, 1.0], 900), "many": rng.normal(size=2500), "one": np.array([3.0])}
+    data = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in parts.items()], ignore_index=True)
+    data["row_id"] = np.arange(len(data))
+    df = spark.createDataFrame(data)
+    columns = ["k", "v", "row_id", "min_rank", "ties", "group_rows"]
+    found = {}
+    for name, options in {"tables": {}, "slots": {"table_values": 0, "rows_per_slot": 150}, "part": {"table_values": 10}}.items():
+        ranked = with_ranks(df, "v", ["k"], **options).select(columns).toPandas().set_index("row_id").sort_index()
+        assert np.array_equal(ranked["min_rank"], data.groupby("k")["v"].rank(method="min").astype(int))
+        found[name] = ranked
+    assert found["tables"].equals(found["slots"]) and found["tables"].equals(found["part"])
+    whole = with_ranks(df.where("k = 'few'").select("row_id", "v"), "v").toPandas().set_index("row_id").sort_index()
+    assert np.array_equal(whole["ties"], found["tables"].loc[whole.index, "ties"])

@@ -83,3 +83,22 @@ def test_aggregates_combine_before_the_shuffle(spark, sf):
     assert "TakeOrderedAndProject" in plan(ranking.top_n(orders, "o_totalprice", 5, tie="o_orderkey"))
     cells = moments.moment_cells(fx.embeddings_packed(spark, sf))
     assert "partial_sum" in plan(cells) and "MapInArrow" in plan(cells)
+
+
+def test_rank_plans_do_not_grow_with_the_slots(spark):
+    rows = save_table(spark.range(40_000).select(F.col("id"), F.rand(3).alias("v")), "rows")
+    length = {n: len(plan(ordering.average_rank(rows, "v", rows_per_slot=40_000 // n))) for n in (8, 1024)}
+    assert length[1024] < 2 * length[8]
+    ranked = ordering.average_rank(rows, "v", rows_per_slot=40_000 // 1024)
+    assert plan(ranked).count("Scan parquet") == 2  # the rows once, and the cuts' or counts' own
+    assert ranked.agg(F.sum("avg_rank")).first()[0] == 40_000 * 40_001 / 2
+
+
+def test_few_values_are_ranked_without_moving_a_row(spark):
+    rows = save_table(spark.range(50_000).select((F.col("id") % 3).alias("k"), (F.hash("id") % 40).cast("double").alias("v")), "rows")
+    ranked = ordering.average_rank(rows, "v", ["k"], rows_per_slot=100)
+    text = plan(ranked)
+    assert "BroadcastHashJoin" in text and "v" in ranked.columns
+    # only the table of values, by its group; rows would go by task
+    assert shuffles(ranked) and all(x.startswith("hashpartitioning(k#") for x in shuffles(ranked))
+    assert ranked.groupBy(F.spark_partition_id()).count().count() == rows.rdd.getNumPartitions()
