@@ -15,6 +15,7 @@ from sievelab.operators.joins import attach_small
 from sievelab.operators.moments import collect_moments, moment_cells
 from sievelab.operators.ordering import average_rank, slot_rows
 from sievelab.operators.ranking import above_median, argmax
+from sievelab.sources.scratch import save_table
 
 
 def name_table(df: DataFrame, names: list[str]) -> DataFrame:
@@ -22,9 +23,9 @@ def name_table(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def rank_target(packed: DataFrame, rows: int, width: int, **options) -> DataFrame:
-    """Adds ``y_rank``; the features move along with their row."""
+    """Adds ``y_rank``; the features move along with their row, once, as the rows are written for the passes over the features."""
     options = {"rows_per_slot": slot_rows(rows, width), **options}
-    return average_rank(packed, "y", alias="y_rank", sizes=(rows, 1), **options)
+    return save_table(average_rank(packed, "y", alias="y_rank", sizes=(rows, 1), **options), "ranked-response")
 
 
 def spearman_target(packed: DataFrame, names: list[str], rows: int | None = None, **options) -> DataFrame:

@@ -1,18 +1,23 @@
 """Maximal information coefficient of features with the response.
 
 MIC is the highest normalised mutual information of any i x j grid with i * j <= B, B = n^alpha (Reshef et al.,
-Science 2011). Raw rows are used once: Spark ranks both axes, maps ranks to at most ``cells`` cells and counts cell
-pairs, so a variable is left with at most cells^2 counts, and at most one per row. Two searches run on those counts:
+Science 2011). Spark ranks both axes and counts pairs of ranks, which is all that the two searches see:
 
 ``optimized``  the published approximation: one axis cut into equal parts, the other by dynamic programming over
                superclumps (``clumps`` per column), in both orientations;
 ``grid``       both axes cut into equal parts: a cheaper lower bound.
 
-With no more distinct values than cells and B <= max_b nothing is binned.
+Nothing is capped or binned unless ``max_b`` or ``cells`` ask for it. The work is dealt by feature, orientation and numbers of
+parts. A task reads its pairs as a sorted stream and keeps only what it fills from them: for each number of parts at most
+clumps x B counts, whatever the number of rows. The dynamic programme takes about clumps^2 B^3 / 40 steps for a feature
+without ties, that is n^1.8; with few distinct values it is short at every n.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,73 +25,306 @@ from pyspark.sql import functions as F
 
 from sievelab.operators.association import name_table
 from sievelab.operators.ordering import slot_rows, with_ranks
+from sievelab.sources.scratch import save_table
 
-CELLS = 1024
+SEARCH_BYTES = 64 << 20  # counts that one task fills at a time
+DENSE = 1024  # superclumps up to which all their spans are held in one matrix
+UNIT = ["pos", "side", "chunk"]
 
 
-def cell_counts(packed: DataFrame, rows: int, width: int, cells: int = CELLS, **options) -> DataFrame:
-    """(pos, cx, cy, c): rows per pair of rank cells. Tied values share a cell."""
+def cell_counts(packed: DataFrame, rows: int, width: int, cells: int | None = None, **options) -> DataFrame:
+    """(pos, cx, cy, c): rows per pair of ranks, from 0, or of at most ``cells`` rank cells. Tied values share one."""
 
     def cell(rank: str):
-        return F.floor((F.col(rank) - 1) * F.lit(cells) / F.lit(rows)).cast("int")
+        place = F.col(rank) - 1
+        return place if cells is None else F.floor(place * F.lit(cells) / F.lit(rows)).cast("long")
 
     for_rows = {"rows_per_slot": slot_rows(rows, width), **options}
     ranked_y = with_ranks(packed.select("y", "x"), "y", sizes=(rows, 1), **for_rows)
-    long = ranked_y.select(cell("min_rank").alias("cy"), F.posexplode("x").alias("pos", "value"))
+    ranked_y = save_table(ranked_y.select(cell("min_rank").alias("cy"), "x"), "ranked-response")
+    long = ranked_y.select("cy", F.posexplode("x").alias("pos", "value"))
     ranked = with_ranks(long, "value", ["pos"], sizes=(rows, width), **options)
     return ranked.groupBy("pos", cell("min_rank").alias("cx"), "cy").agg(F.count(F.lit(1)).alias("c"))
 
 
+def grid_bound(rows: int, alpha: float = 0.6, max_b: int | None = None) -> int:
+    bound = max(int(rows**alpha), 4)
+    return bound if max_b is None else min(bound, max_b)
+
+
 def mic(
     packed: DataFrame,
     names: list[str],
     rows: int | None = None,
     alpha: float = 0.6,
     clumps: int = 15,
-    cells: int = CELLS,
-    max_b: int = 256,
+    cells: int | None = None,
+    max_b: int | None = None,
     method: str = "optimized",
     **options,
 ) -> DataFrame:
-    """(variable, mic) of every feature with the response; ``packed`` holds y and x without missing values."""
+    """(variable, mic, b) of every feature with the response; ``packed`` holds y and x without missing values."""
     if method not in ("optimized", "grid"):
         raise ValueError(f"unknown method {method!r}")
     rows = packed.count() if rows is None else rows
-    bound = min(max(int(rows**alpha), 4), max_b)
-    counts = cell_counts(packed, rows, len(names), cells, **options)
+    bound = grid_bound(rows, alpha, max_b)
+    counts = save_table(cell_counts(packed, rows, len(names), cells, **options), "rank-pairs")
+    if method == "grid":
+        scored = _grid_scores(counts, bound, rows if cells is None else cells)
+    else:
+        scored = _optimized_scores(counts, rows, bound, clumps)
+    best = scored.groupBy("pos").agg(F.max("score").alias("score"))
+    found = F.broadcast(name_table(packed, names)).join(best, "pos", "left")
+    score = F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return found.select("variable", score.alias("mic"), F.lit(bound).alias("b"))
+
+
+def _dealt(costs: list[float], sizes: list[float], cost: float, size: float) -> list[int]:
+    """Chunk of each item when consecutive ones share a chunk up to a cost and a size."""
+    chunk, found, held_cost, held_size = 0, [], 0.0, 0.0
+    for c, s in zip(costs, sizes, strict=True):
+        if found and (held_cost + c > cost or held_size + s > size):
+            chunk, held_cost, held_size = chunk + 1, 0.0, 0.0
+        found.append(chunk)
+        held_cost, held_size = held_cost + c, held_size + s
+    return found
+
+
+def _in_tasks(stream: DataFrame, order: list[str], work: Callable, schema: str) -> DataFrame:
+    """Whole units, in order, in tasks. The search is heavy and its input small, so the number of tasks is not left to data size."""
+    tasks = 4 * stream.sparkSession.sparkContext.defaultParallelism
+    return stream.repartition(tasks, *UNIT).sortWithinPartitions(*UNIT, *order).mapInPandas(work, schema)
+
+
+def _segments(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Frames cut where a key changes; a unit may come in several frames."""
+    for frame in frames:
+        key = frame[keys].to_numpy()
+        ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(frame)]
+        start = 0
+        for end in ends:
+            if end > start:
+                yield tuple(key[start]), frame.iloc[start:end]
+            start = end
+
+
+# Equal parts on one axis, the best columns on the other
+
+
+def _optimized_scores(counts: DataFrame, rows: int, bound: int, clumps: int) -> DataFrame:
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("cx").alias("u"), F.col("cy").alias("v")),
+                              F.struct(F.lit(1).alias("side"), F.col("cy").alias("u"), F.col("cx").alias("v"))))
+    points = counts.select("pos", "c", sides.alias("s")).select("pos", "s.side", "s.u", "s.v", "c")
+    margins = points.groupBy("pos", "side", "v").agg(F.sum("c").alias("c")).withColumn("chunk", F.lit(0))
+    cuts = _in_tasks(margins, ["v"], equal_cuts(rows, bound, clumps), "pos int, side int, chunk int, parts int, starts array<long>")
+    cuts = save_table(cuts, "cuts")
+    wanted = cuts.select(*UNIT).distinct()  # at most a few dozen for each feature and side
+    nothing = [F.lit(None).cast("int").alias("parts"), F.lit(None).cast("array<long>").alias("starts")]
+    dealt = points.join(F.broadcast(wanted), ["pos", "side"]).select(*UNIT, "u", "v", "c", *nothing)
+    first = [F.lit(-1).cast("long").alias(name) for name in ("u", "v", "c")]
+    stream = dealt.unionByName(cuts.select(*UNIT, *first, "parts", "starts"))
+    return _in_tasks(stream, ["u", "v"], column_search(rows, bound, clumps), "pos int, score double")
 
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y, c = frame["cx"].to_numpy(), frame["cy"].to_numpy(), frame["c"].to_numpy().astype(float)
-        if method == "grid":
-            best = grid_score(x, y, c, cells, bound)
+
+def equal_cuts(rows: int, bound: int, clumps: int):
+    """For each axis the first ranks of all but the first part, for every number of parts; equal partitions once.
+
+    Tied ranks are one block and never split. All numbers of parts advance together over the blocks as they come.
+    """
+    parts = np.arange(2, bound // 2 + 1)
+    most = bound // parts
+    chunks = _dealt((most.astype(float) ** 3).tolist(), (16.0 * (clumps * most + 1) * parts).tolist(), float(most[0]) ** 3, SEARCH_BYTES)
+
+    def cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+
+        def closed() -> pd.DataFrame:
+            seen, out = set(), []
+            for p, chunk, at in zip(parts.tolist(), chunks, starts, strict=True):
+                if at and tuple(at) not in seen:
+                    seen.add(tuple(at))
+                    out.append((key[0], key[1], chunk, p, at))
+            return pd.DataFrame(out, columns=[*UNIT, "parts", "starts"])
+
+        for found, frame in _segments(frames, ["pos", "side"]):
+            if found != key:
+                if key is not None:
+                    yield closed()
+                key, starts = found, [[] for _ in parts]
+                held, current = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=np.int64)
+                left = np.full(len(parts), rows, dtype=np.int64)
+            for v, size in zip(frame["v"].tolist(), frame["c"].tolist(), strict=True):
+                # nearer to an equal share without this block
+                close = (held > 0) & ((2 * held + size) * np.maximum(parts - current, 1) >= 2 * left)
+                if close.any():
+                    for i in np.flatnonzero(close):
+                        starts[i].append(v)
+                    left -= np.where(close, held, 0)
+                    held[close] = 0
+                    current += close
+                held += size
+        if key is not None:
+            yield closed()
+
+    return cuts
+
+
+class Superclumps:
+    """Counts (superclump, part) of one partition into parts, filled from points in the order of the other axis.
+
+    Neighbouring ranks whose points all lie in one and the same part form a clump. If there are more than ``limit`` clumps they
+    are merged into about equal superclumps; which of the two is known at the end only, so both tables are kept.
+    """
+
+    def __init__(self, starts: np.ndarray, limit: int, rows: int):
+        self.starts, self.limit, self.used = starts, limit, len(starts) + 1
+        self.fine = np.zeros((limit, self.used))
+        self.coarse = np.zeros((limit + 1, self.used))
+        self.open = np.zeros(self.used)  # the last clump, which may go on
+        self.clumps, self.last = 0, -2
+        self.number, self.held, self.left = 0, 0, rows
+
+    def feed(self, first: np.ndarray, v: np.ndarray, c: np.ndarray) -> None:
+        """Points of whole ranks; rank i of them is points first[i] to first[i + 1]."""
+        part = np.searchsorted(self.starts, v, side="right")
+        low, high = np.minimum.reduceat(part, first), np.maximum.reduceat(part, first)
+        top = np.where(low == high, low, -1)
+        new = (top < 0) | (top != np.r_[self.last, top[:-1]])
+        self.last = int(top[-1])
+        local = np.repeat(np.cumsum(new), np.diff(np.r_[first, len(v)]))  # 0 is the clump that was open
+        end = int(local[-1])
+        known = np.flatnonzero(self.clumps - 1 + local < self.limit)
+        if len(known):
+            place = (self.clumps - 1 + local[known]) * self.used + part[known]
+            self.fine += np.bincount(place, c[known], self.fine.size).reshape(self.fine.shape)
+        going = local == end
+        still = np.bincount(part[going], c[going], self.used)
+        if end:
+            sizes = np.bincount(local[~going], c[~going], end).astype(np.int64)
+            sizes[0] += int(self.open.sum())
+            skip = int(not self.clumps)  # nothing was open
+            group = np.zeros(end, dtype=np.int64)
+            group[skip:] = self._merged(sizes[skip:])
+            self.coarse[group[0]] += self.open
+            self.coarse += np.bincount(group[local[~going]] * self.used + part[~going], c[~going], self.coarse.size).reshape(self.coarse.shape)
+            self.open = still
         else:
-            best = max(optimized_score(x, y, c, bound, clumps), optimized_score(y, x, c, bound, clumps))
-        return pd.DataFrame({"pos": [int(frame["pos"].iloc[0])], "mic": [min(max(best, 0.0), 1.0)]})
+            self.open = self.open + still
+        self.clumps += end
 
-    # The search is heavy and its input small, so the number of tasks is set here and not by data size.
-    tasks = min(len(names), packed.sparkSession.sparkContext.defaultParallelism)
-    scored = counts.repartition(tasks, "pos").groupBy("pos").applyInPandas(score, "pos int, mic double")
-    return scored.join(F.broadcast(name_table(packed, names)), "pos").select("variable", "mic")
+    def _merged(self, sizes: np.ndarray) -> np.ndarray:
+        """Superclump of each of the next clumps."""
+        upto = np.r_[0, np.cumsum(sizes)]
+        middle = upto[:-1] + upto[1:]
+        found, at = np.zeros(len(sizes), dtype=np.int64), 0
+        while at < len(sizes):
+            share = -(-2 * self.left // max(self.limit - self.number, 1))
+            end = int(np.searchsorted(middle, share - 2 * self.held + 2 * upto[at]))
+            end = min(max(end, at + (self.held == 0)), len(sizes))
+            found[at:end] = self.number
+            self.held += int(upto[end] - upto[at])
+            if end < len(sizes):
+                self.left, self.held, self.number = self.left - self.held, 0, self.number + 1
+            at = end
+        return found
 
+    def table(self) -> np.ndarray:
+        if self.clumps <= self.limit:
+            return self.fine[: self.clumps]
+        group = int(self._merged(np.array([int(self.open.sum())]))[0])
+        self.coarse[group] += self.open
+        return self.coarse[self.coarse.sum(1) > 0]
 
-def _xlogx(values: np.ndarray) -> np.ndarray:
-    return values * np.log(np.where(values > 0, values, 1.0))
 
+def column_search(rows: int, bound: int, clumps: int):
+    """Best score of each unit, from its partitions (rows that come first, with u = -1) and its points in order of u."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tables, rest = None, {}, None
+
+        def feed(points: np.ndarray) -> None:
+            first = np.flatnonzero(np.r_[True, points[1:, 0] != points[:-1, 0]])
+            for held in tables.values():
+                held.feed(first, points[:, 1], points[:, 2])
+
+        def closed() -> pd.DataFrame:
+            if rest is not None and len(rest):
+                feed(rest)
+            best = 0.0
+            for parts, held in tables.items():
+                table = held.table()
+                for columns, information in enumerate(best_columns(table, bound // parts), start=2):
+                    best = max(best, information / math.log(min(columns, held.used)))
+            return pd.DataFrame({"pos": [int(key[0])], "score": [best]})
+
+        for found, frame in _segments(frames, UNIT):
+            if found != key:
+                if key is not None:
+                    yield closed()
+                key, tables, rest = found, {}, None
+            head = (frame["u"] < 0).to_numpy()
+            for parts, starts in zip(frame["parts"][head], frame["starts"][head], strict=True):
+                tables[int(parts)] = Superclumps(np.asarray(starts, dtype=np.int64), clumps * (bound // int(parts)), rows)
+            points = frame.loc[~head, ["u", "v", "c"]].to_numpy()
+            if rest is not None:
+                points = np.concatenate([rest, points])
+            if not len(points):
+                continue
+            whole = int(np.searchsorted(points[:, 0], points[-1, 0]))  # the last rank may go on
+            if whole:
+                feed(points[:whole])
+            rest = points[whole:]
+        if key is not None:
+            yield closed()
+
+    return search
+
+
+# Equal parts on both axes
+
+
+def _grid_scores(counts: DataFrame, bound: int, span: int) -> DataFrame:
+    columns = np.arange(2, bound // 2 + 1)
+    shapes = [np.arange(2, bound // i + 1) for i in columns]
+    costs = [float(len(j)) for j in shapes]
+    sizes = [8.0 * i * j.sum() for i, j in zip(columns, shapes, strict=True)]
+    chunks = _dealt(costs, sizes, max(sum(costs) / 16, max(costs, default=1.0)), SEARCH_BYTES)
+    held = {chunk: [int(i) for i, c in zip(columns, chunks, strict=True) if c == chunk] for chunk in set(chunks)}
+    every = F.explode(F.array(*[F.lit(c) for c in sorted(held)])).alias("chunk")
+    stream = counts.select("pos", F.lit(0).alias("side"), "cx", "cy", "c", every)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, joint = None, {}
+
+        def closed() -> pd.DataFrame:
+            best = max((information(table) / math.log(min(table.shape)) for table in joint.values()), default=0.0)
+            return pd.DataFrame({"pos": [int(key[0])], "score": [best]})
+
+        for found, frame in _segments(frames, UNIT):
+            if found != key:
+                if key is not None:
+                    yield closed()
+                key = found
+                joint = {(i, j): np.zeros((i, j)) for i in held[int(key[2])] for j in range(2, bound // i + 1)}
+            x, y, c = (frame[name].to_numpy() for name in ("cx", "cy", "c"))
+            rows = {j: y * j // span for j in {j for _, j in joint}}
+            for i in held[int(key[2])]:
+                column = x * i // span
+                for j in range(2, bound // i + 1):
+                    joint[i, j] += np.bincount(column * j + rows[j], c, i * j).reshape(i, j)
+        if key is not None:
+            yield closed()
+
+    return _in_tasks(stream, [], search, "pos int, score double")
 
-def grid_score(x: np.ndarray, y: np.ndarray, c: np.ndarray, cells: int, bound: int) -> float:
-    """Best normalised information over grids of equal cell ranges on both axes."""
-    n = c.sum()
-    best = 0.0
-    for i in range(2, bound // 2 + 1):
-        column = x * i // cells
-        for j in range(2, bound // i + 1):
-            joint = np.zeros((i, j))
-            np.add.at(joint, (column, y * j // cells), c)
-            information = (
-                _xlogx(joint).sum() - _xlogx(joint.sum(1)).sum() - _xlogx(joint.sum(0)).sum() + _xlogx(n)
-            ) / n
-            best = max(best, information / np.log(min(i, j)))
-    return best
+
+def information(joint: np.ndarray) -> float:
+    n = joint.sum()
+    return (_xlogx(joint).sum() - _xlogx(joint.sum(1)).sum() - _xlogx(joint.sum(0)).sum() + _xlogx(n)) / n
+
+
+def _xlogx(values: np.ndarray) -> np.ndarray:
+    return values * np.log(np.where(values > 0, values, 1.0))
 
 
 def equal_parts(sizes: np.ndarray, parts: int) -> np.ndarray:
@@ -104,7 +342,10 @@ def equal_parts(sizes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def optimized_score(x: np.ndarray, y: np.ndarray, c: np.ndarray, bound: int, clumps: int) -> float:
-    """Best normalised information with equal parts on y and the best columns on x; points are distinct."""
+    """Best normalised information with equal parts on y and the best columns on x; points are distinct.
+
+    The plain form of what ``column_search`` does on streams, for counts that fit into memory.
+    """
     xs, column = np.unique(x, return_inverse=True)
     ys, row = np.unique(y, return_inverse=True)
     dense = np.zeros((len(xs), len(ys)))
@@ -139,18 +380,48 @@ def _merge_clumps(table: np.ndarray) -> np.ndarray:
 def best_columns(table: np.ndarray, most: int) -> list[float]:
     """Highest mutual information with exactly 2, 3, ... ``most`` contiguous groups of the table's columns."""
     k, n = len(table), table.sum()
+    if k < 2 or most < 2:
+        return [0.0] * max(most - 1, 0)
     upto = np.vstack([np.zeros(table.shape[1]), table.cumsum(0)])
-    size = upto.sum(1)
-    # cost[s, t]: n x conditional entropy left in the group of columns s..t-1
-    cost = _xlogx(np.maximum(size[None, :] - size[:, None], 0.0))
-    for r in range(table.shape[1]):
-        cost -= _xlogx(np.maximum(upto[None, :, r] - upto[:, None, r], 0.0))
-    cost[np.tril_indices(k + 1)] = np.inf
+    left = (_least_dense if k <= DENSE else _least_by_column)(upto, min(most, k))
     rows_entropy = _xlogx(n) - _xlogx(table.sum(0)).sum()
-    reach = cost[0].copy()
-    found = []
-    for groups in range(2, most + 1):
-        if groups <= k:
-            reach = (reach[:, None] + cost).min(0)
-        found.append((rows_entropy - reach[k]) / n if groups <= k else found[-1] if found else 0.0)
+    found = [(rows_entropy - x) / n for x in left]
+    return found + [found[-1]] * (most - 1 - len(found))
+
+
+def _spans(upto: np.ndarray, start: slice, end: int | slice) -> np.ndarray:
+    """n x conditional entropy left in the columns from each start to each end."""
+    size = upto.sum(1)
+    many = isinstance(end, slice)
+    cost = _xlogx(np.maximum((size[end][None, :] if many else size[end]) - (size[start][:, None] if many else size[start]), 0.0))
+    for r in range(upto.shape[1]):
+        column = upto[:, r]
+        cost -= _xlogx(np.maximum((column[end][None, :] if many else column[end]) - (column[start][:, None] if many else column[start]), 0.0))
+    return cost
+
+
+def _least_dense(upto: np.ndarray, most: int) -> list[float]:
+    """Least entropy left by 2, 3, ... ``most`` groups of all columns, with the costs of all spans at once."""
+    cost = _spans(upto, slice(None), slice(None))
+    cost[np.tril_indices(len(upto))] = np.inf
+    reach, found = cost[0].copy(), []
+    for _ in range(2, most + 1):
+        reach = (reach[:, None] + cost).min(0)
+        found.append(reach[-1])
     return found
+
+
+def _least_by_column(upto: np.ndarray, most: int, block: int = 512) -> list[float]:
+    """The same, a last column at a time: memory grows with columns x groups and not with the square of the columns."""
+    k = len(upto) - 1
+    reach = np.full((most, k + 1), np.inf)  # groups - 1, columns
+    for end in range(1, k + 1):
+        cost = _spans(upto, slice(0, end), end)
+        reach[0, end] = cost[0]
+        best = np.full(most - 1, np.inf)
+        for start in range(1, end, block):
+            stop = min(start + block, end)
+            upmost = min(most - 1, stop)  # no more groups than columns
+            np.minimum(best[:upmost], (reach[:upmost, start:stop] + cost[start:stop]).min(axis=1), out=best[:upmost])
+        reach[1:, end] = best
+    return reach[1:, k].tolist()

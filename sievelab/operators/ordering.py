@@ -130,7 +130,7 @@ def with_ranks(
     if tables.ranked is not None:
         if tables.rest is None:
             return tables.ranked
-        return tables.ranked.union(_with_ranks(tables.rest, value, by, sizes, rows_per_slot))
+        return tables.ranked.unionByName(_with_ranks(tables.rest, value, by, sizes, rows_per_slot))
     return _with_ranks(df, value, by, sizes, rows_per_slot)
 
 

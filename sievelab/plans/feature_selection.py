@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelab.functions.special import spearman_pvalue
 from sievelab.operators import association, cleaning, forest, lasso, results, sampling, status, stepwise
 from sievelab.operators.joins import fix_small
-from sievelab.operators.mic import CELLS, mic
+from sievelab.operators.mic import mic
 from sievelab.operators.moments import Moments, collect_moments, moment_cells, total
 from sievelab.operators.ranking import above_median, argmax, top_n, top_n_abs
 from sievelab.sources.files import column
@@ -36,8 +36,8 @@ class Settings:
     patience: int = stepwise.PATIENCE
     penalty: str = "single"
     mic_method: str = "optimized"
-    mic_cells: int = CELLS
-    mic_max_b: int = 256
+    mic_cells: int | None = None
+    mic_max_b: int | None = None
     legacy_name_match: bool = False
     failed_event: bool = False
 
@@ -322,7 +322,7 @@ def _restrict(cells: DataFrame, width: int, positions: list[int], folds: int) ->
 
 def _mic_of(packed: DataFrame, names: list[str], wanted: list[str], rows: int, settings: Settings) -> DataFrame:
     if not wanted:
-        return packed.sparkSession.createDataFrame([], "variable string, mic double")
+        return packed.sparkSession.createDataFrame([], "variable string, mic double, b int")
     narrowed = packed.select("y", _take([names.index(w) for w in wanted]).alias("x"))
     scored = mic(
         narrowed, wanted, rows, cells=settings.mic_cells, max_b=settings.mic_max_b, method=settings.mic_method

@@ -22,6 +22,7 @@ ORDER_FEATURES = [
 EMBEDDING_WIDTH = 64
 EMBEDDING_FEATURES = [f"emb.{i:02d}" for i in range(EMBEDDING_WIDTH)]
 PLANTED = {"emb.08": 3.0, "emb.35": -2.0, "emb.46": 1.0}
+MARK_FEATURES = ["line.number", "line.discount", "line.tax"]
 LINE_FEATURES = ["line.quantity", "line.discount", "line.price"]
 
 
@@ -98,6 +99,13 @@ def lineitem_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(price.alias("y"), F.array("l_quantity", "l_discount", price).alias("x"))
 
 
+def lineitem_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(y, x) of few distinct values: tax against line number, discount and itself."""
+    lines = table(spark, sf_dir, "lineitem")
+    x = F.array(F.col("l_linenumber").cast("double"), "l_discount", "l_tax")
+    return lines.select(F.col("l_tax").alias("y"), x.alias("x"))
+
+
 def orders_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, y, x) of the seven varying order features, missing values imputed in one aggregate."""
     wide = orders_wide(spark, sf_dir)

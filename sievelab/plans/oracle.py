@@ -73,29 +73,70 @@ pairs AS (
   WHERE f.final <> 'y')"""
 
 
+INFORMATION = """
+margins AS (
+  SELECT *, sum(c) OVER (PARTITION BY {grid}, bx) AS mx, sum(c) OVER (PARTITION BY {grid}, bz) AS mz
+  FROM joint),
+info AS (
+  SELECT {grid}, sum(c / n * ln(c * n / (mx * mz))) / ln(least(i, j)) AS score
+  FROM margins GROUP BY {grid}, n, i, j),"""
+
+
 def _mic(source: str) -> str:
-    """Grid score of (variable, value, y) rows, 64 cells and at most 64 grid cells."""
+    """Grid score of (variable, value, y) rows: all grids of equal rank cells, at most n^0.6 of them."""
     return f"""
 sized AS (SELECT *, count(*) OVER (PARTITION BY variable) AS n FROM {source}),
 cell AS (
-  SELECT variable, n,
-         CAST(floor((rank() OVER (PARTITION BY variable ORDER BY value) - 1) * 64 / n) AS INTEGER) AS cx,
-         CAST(floor((rank() OVER (PARTITION BY variable ORDER BY y) - 1) * 64 / n) AS INTEGER) AS cy
+  SELECT variable, n, rank() OVER (PARTITION BY variable ORDER BY value) - 1 AS cx,
+         rank() OVER (PARTITION BY variable ORDER BY y) - 1 AS cy
   FROM sized),
 counted AS (SELECT variable, n, cx, cy, CAST(count(*) AS DOUBLE) AS c FROM cell GROUP BY ALL),
-shapes AS (SELECT a.i, b.j FROM range(2, 33) a(i), range(2, 33) b(j)),
+bounds AS (SELECT DISTINCT variable, n, greatest(CAST(floor(power(n, 0.6)) AS BIGINT), 4) AS b FROM sized),
+firsts AS (SELECT *, unnest(range(2, b // 2 + 1)) AS i FROM bounds),
+shapes AS (SELECT *, unnest(range(2, b // i + 1)) AS j FROM firsts),
 joint AS (
-  SELECT variable, n, i, j, cx * i // 64 AS bx, cy * j // 64 AS bz, sum(c) AS c
-  FROM counted, shapes
-  WHERE i * j <= least(greatest(CAST(floor(power(n, 0.6)) AS BIGINT), 4), 64)
-  GROUP BY ALL),
-margins AS (
-  SELECT *, sum(c) OVER (PARTITION BY variable, i, j, bx) AS mx, sum(c) OVER (PARTITION BY variable, i, j, bz) AS mz
-  FROM joint),
-info AS (
-  SELECT variable, i, j, sum(c / n * ln(c * n / (mx * mz))) / ln(least(i, j)) AS score
-  FROM margins GROUP BY variable, i, j),
-mic AS (SELECT variable, least(greatest(max(score), 0), 1) AS mic FROM info GROUP BY variable)"""
+  SELECT variable, n, i, j, cx * i // n AS bx, cy * j // n AS bz, sum(c) AS c
+  FROM counted JOIN shapes USING (variable, n)
+  GROUP BY ALL),{INFORMATION.format(grid="variable, i, j")}
+mic AS (
+  SELECT variable, least(greatest(max(score), 0), 1) AS mic, CAST(any_value(b) AS INTEGER) AS b
+  FROM info JOIN bounds USING (variable) GROUP BY variable)"""
+
+
+# Every partition of one axis, as the bits of a mask, against equal parts of the other. No axis has more than 11 values, so
+# more than 40 parts are no other partition.
+MIC_OF_MARKS = f"""WITH RECURSIVE lines AS (
+  SELECT 'line.number' AS variable, CAST(l_linenumber AS DOUBLE) AS x, l_tax AS y FROM lineitem
+  UNION ALL SELECT 'line.discount', l_discount, l_tax FROM lineitem
+  UNION ALL SELECT 'line.tax', l_tax, l_tax FROM lineitem),
+sides AS (SELECT variable, 0 AS side, x AS u, y AS v FROM lines UNION ALL SELECT variable, 1, y, x FROM lines),
+counted AS (
+  SELECT variable, side, dense_rank() OVER (PARTITION BY variable, side ORDER BY u) - 1 AS iu,
+         dense_rank() OVER (PARTITION BY variable, side ORDER BY v) - 1 AS iv, c
+  FROM (SELECT variable, side, u, v, count(*) AS c FROM sides GROUP BY ALL)),
+sizes AS (SELECT variable, side, iv, CAST(sum(c) AS BIGINT) AS size FROM counted GROUP BY ALL),
+bound AS (SELECT count(*) AS n, greatest(CAST(floor(power(count(*), 0.6)) AS BIGINT), 4) AS b FROM lineitem),
+walk AS (
+  SELECT variable, side, t.p AS parts, iv, size AS held, CAST(0 AS BIGINT) AS part, n AS remaining
+  FROM sizes, bound, range(2, 41) t(p) WHERE iv = 0
+  UNION ALL
+  SELECT variable, side, parts, iv, if(closes, size, held + size), if(closes, part + 1, part), if(closes, remaining - held, remaining)
+  FROM (
+    SELECT w.variable, w.side, w.parts, s.iv, s.size, w.held, w.part, w.remaining,
+           (2 * w.held + s.size) * greatest(w.parts - w.part, 1) >= 2 * w.remaining AS closes
+    FROM walk w JOIN sizes s ON s.variable = w.variable AND s.side = w.side AND s.iv = w.iv + 1)),
+used AS (SELECT variable, side, parts, max(part) + 1 AS j FROM walk GROUP BY ALL HAVING max(part) > 0),
+masks AS (
+  SELECT variable, side, unnest(range(1, CAST(1 AS BIGINT) << max(iu))) AS m FROM counted GROUP BY variable, side),
+joint AS (
+  SELECT c.variable, c.side, w.parts, m.m, n, bit_count(m.m) + 1 AS i, d.j, bit_count(m.m & ((CAST(1 AS BIGINT) << c.iu) - 1)) AS bx,
+         w.part AS bz, CAST(sum(c.c) AS DOUBLE) AS c
+  FROM counted c JOIN walk w USING (variable, side, iv) JOIN used d USING (variable, side, parts)
+  JOIN masks m USING (variable, side), bound
+  WHERE (bit_count(m.m) + 1) * w.parts <= b
+  GROUP BY ALL),{INFORMATION.format(grid="variable, side, parts, m")}
+mic AS (SELECT variable, least(greatest(max(score), 0), 1) AS mic FROM info GROUP BY variable)
+SELECT variable, {{mic}}, CAST(b AS INTEGER) AS b FROM mic, bound"""
 
 
 SCORED = f"""{RANKED},{_mic("emb")},
@@ -449,7 +490,8 @@ SELECT final, suggestion, round({_tail("abs_spearman_fs")}, 6) + 0.0 AS p_fs,
   SELECT 'line.quantity' AS variable, l_quantity AS value, l_extendedprice AS y FROM lineitem
   UNION ALL SELECT 'line.discount', l_discount, l_extendedprice FROM lineitem
   UNION ALL SELECT 'line.price', l_extendedprice, l_extendedprice FROM lineitem),{_mic("lines")}
-SELECT variable, {_six("mic")} FROM mic""",
+SELECT variable, {_six("mic")}, b FROM mic""",
+    "mic_optimized": MIC_OF_MARKS.format(mic=_six("mic")),
     "mic_lookup": f"""WITH {RANKED},{_mic("emb")}
 SELECT p.final, p.suggestion, {_six("mic")} FROM pairs p JOIN mic m ON m.variable = p.suggestion""",
     "pair_table": f"""WITH {SCORED}

@@ -223,3 +223,55 @@ def test_tail_for_very_many_rows():
     for n in (1e8, 1e10, 1e12):
         for z in (0.5, 1.96, 4.0):
             assert correlation_tail(z / math.sqrt(n), n) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+
+
+def streamed(x, y, c, rows, bound, clumps, step):
+    """The search on streams, from counts in frames of ``step`` rows, without Spark's sorting."""
+    best = 0.0
+    for u, v in ((x, y), (y, x)):
+        margin = pd.DataFrame({"pos": 0, "side": 0, "v": v, "c": c}).groupby(["pos", "side", "v"], as_index=False).sum()
+        margins = [margin.iloc[i : i + step] for i in range(0, len(margin), step)]
+        cuts = pd.concat(mic.equal_cuts(rows, bound, clumps)(margins))
+        points = pd.DataFrame({"pos": 0, "side": 0, "u": u, "v": v, "c": c, "parts": None, "starts": None})
+        heads = cuts.assign(u=-1, v=-1, c=-1)
+        every = [frame.assign(chunk=k) for k in cuts["chunk"].unique() for frame in (heads[heads["chunk"] == k], points.sort_values(["u", "v"]))]
+        stream = pd.concat(every)[[*mic.UNIT, "u", "v", "c", "parts", "starts"]]
+        frames = [stream.iloc[i : i + step] for i in range(0, len(stream), step)]
+        found = [float(f["score"].iloc[0]) for f in mic.column_search(rows, bound, clumps)(frames)]
+        assert len(found) == cuts["chunk"].nunique()
+        best = max(best, *found)
+    return best
+
+
+@pytest.mark.parametrize("step", [7, 64, 10**6])
+@pytest.mark.parametrize("seed", range(6))
+def test_streamed_search_equals_the_plain_one(monkeypatch, seed, step):
+    """Ties on either axis, clumps that go on over frames, more clumps than superclumps, every way to add up the columns."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    x = rng.normal(size=n) if seed % 2 else np.round(rng.normal(size=n), 1)
+    y = np.round(x**2 + rng.normal(size=n) * (seed % 3), 1 + seed % 2)
+    place = lambda values: pd.Series(values).rank(method="min").to_numpy().astype(int) - 1
+    counts = pd.DataFrame({"x": place(x), "y": place(y)}).value_counts().reset_index()
+    arrays = [counts[name].to_numpy() for name in ("x", "y", "count")]
+    clumps, bound = (2, 30) if seed < 3 else (15, 36)
+    want = max(mic.optimized_score(arrays[0], arrays[1], arrays[2] * 1.0, bound, clumps), mic.optimized_score(arrays[1], arrays[0], arrays[2] * 1.0, bound, clumps))
+    monkeypatch.setattr(mic, "DENSE", 16 if seed % 2 else 1024)
+    assert streamed(*arrays, n, bound, clumps, step) == pytest.approx(want, abs=1e-9)
+
+
+def test_columns_add_up_alike_in_both_orders():
+    rng = np.random.default_rng(2)
+    table = rng.integers(0, 5, size=(60, 4)) + np.eye(60, 4)
+    upto = np.vstack([np.zeros(4), table.cumsum(0)])
+    assert np.allclose(mic._least_dense(upto, 20), mic._least_by_column(upto, 20, block=8))
+    assert np.allclose(mic._least_dense(upto, 60), mic._least_by_column(upto, 60))
+
+
+def test_mic_is_not_capped(spark):
+    """The bound grows with the rows, and a grid that only fits it raises the score."""
+    rng = np.random.default_rng(0)
+    x = rng.permutation(600).astype(float)
+    y = x % 20
+    whole = mic.mic(packed(spark, x[:, None], y), ["v"]).first()
+    assert whole["b"] == int(600**0.6) and whole["mic"] > mic.mic(packed(spark, x[:, None], y), ["v"], max_b=20).first()["mic"]
