@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,15 @@ def bucket_of(key: Column, cuts: Sequence[int]) -> Column:
     block = F.size(F.filter(heads, lambda c: c <= key))
     within = F.size(F.filter(F.element_at(inner, block), lambda c: c <= key))
     return ((block - 1) * width + within - 1).cast("int")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is run inside sends at most so many rows at once to Python, as a batch is held whole there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

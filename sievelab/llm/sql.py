@@ -102,4 +102,30 @@ roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
 SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
 """
 
-LLM_SQL = {"op12_merkle_manifest": MERKLE, "op13_spelling_variants": SPELLING}
+NEAR_DUPLICATES = """
+WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM listed),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS node FROM sets
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.node),
+least AS (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+FROM sets s JOIN least l ON l.doc_id = s.doc_id
+"""
+
+LLM_SQL = {
+    "op6_tensored_minhash": NEAR_DUPLICATES,
+    "op12_merkle_manifest": MERKLE,
+    "op13_spelling_variants": SPELLING,
+}

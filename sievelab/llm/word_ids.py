@@ -10,14 +10,16 @@ from array import array
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from sievelab.llm.common import text_groups
 
-CACHED_WORDS = 600_000  # words with their punctuation
-CACHED_CORES = 800_000  # letters of words; both together take about 300 MB
-GROUP_CHARS = 1 << 20
-ODD = b"odd"  # no ids: their bytes are even in number
+CACHED_WORDS = 800_000  # words with their punctuation
+CACHED_CORES = 600_000  # letters of words; both together take about 300 MB
+GROUP_CHARS = 1 << 22
+SPECIAL = "<|"  # how the vocabularies' own tokens begin
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -50,40 +52,55 @@ class WordEncoder:
     """Ids of texts, equal to the tokenizer's own.
 
     Both public vocabularies cut a text at white space, and between letters and signs, before they merge. So a word's ids do
-    not depend on its neighbours: each distinct word is encoded once, from its letters and the signs after them, and then
-    looked up. ``keeps_space``: the vocabulary joins a space to the word that follows (byte-level), otherwise white space is
-    dropped and case too. What is not of this form goes to the tokenizer whole, as do texts where a cut could depend on more
-    than the word (adjacent white space, control characters).
+    not depend on its neighbours. All words of a group of texts are numbered by Arrow; each distinct one is encoded once, from its
+    letters and the signs after them, and the texts' ids are gathered by number. ``keeps_space``: the vocabulary joins a space
+    to the word that follows (byte-level), otherwise white space is dropped and case too. What is not of this form goes to the
+    tokenizer whole, as do texts where a cut could depend on more than the word (adjacent white space, control characters) or
+    that may spell one of the vocabulary's own tokens.
     """
 
     def __init__(self, path: str, keeps_space: bool, words: int = CACHED_WORDS, cores: int = CACHED_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if not all(token.content.startswith(SPECIAL) for token in added):
+            raise ValueError(f"added tokens that do not begin with {SPECIAL}")
         self.keeps_space = keeps_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
         self.space = chr(self.letters[32])
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words, self.cores, self.signs = Memory(words), Memory(cores), Memory(words)
+        self.most_words, self.most_cores = words, cores
+        self.cores: dict[str, bytes] = {}
+        self.signs = Memory(words)
         self.newline = self._encode(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known; number 0 stands for words that cannot be told alone."""
+        self.numbers: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=self.dtype)  # the ids of all known words, one after the other
+        self.start, self.size = array("q", [0]), array("q", [0])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _core(self, text: str) -> bytes:
-        """Ids of letters, for byte-level vocabularies with the space before them."""
-        ids = self.cores.get(text)
-        if ids is None:
+    def _learn_cores(self, cores: set[str]) -> None:
+        """Ids of runs of letters, in byte-level vocabularies with the space or line break before them."""
+        new = [c for c in cores if c not in self.cores]
+        if len(self.cores) + len(new) > self.most_cores:
+            self.cores.clear()
+            new = list(cores)
+        known, tokenize, code = self.cores, self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for core in new:
+            line = self.keeps_space and core[0] == "\n"
+            text = core[1:] if line else core
             if text.isascii():  # of these only a space before the letters has a letter of its own
                 form = text.replace(" ", self.space, 1)
             else:
                 form = text.encode().decode("latin-1").translate(self.letters)
-            tokens = self.model.tokenize(form)
-            ids = self.cores.new[text] = array(self.code, [t.id for t in tokens]).tobytes()
-        return ids
+            ids = array(code, [t.id for t in tokenize(form)]).tobytes()
+            known[core] = self.newline + ids if line else ids
 
     def _sign(self, text: str) -> bytes:
         ids = self.signs.get(text)
@@ -92,66 +109,111 @@ class WordEncoder:
             self.signs.new[text] = ids
         return ids
 
-    def _new_words(self, words: list[str]) -> None:
-        memory, others = self.words.new, []
+    def _learn(self, words: list[str]) -> None:
+        """Number words that are not known yet."""
+        cut, others = [], []
         for word in words:
             # a word of a byte-level vocabulary starts with the line break before it, else a space is before it
-            line = self.keeps_space and word[:1] == "\n"
-            body = word[1:] if line else word
+            form = word.lower() if not self.keeps_space else word if word[:1] == "\n" else f" {word}"
+            body = form if not self.keeps_space else form[1:]
             core = body if body.isalpha() else body.rstrip(SIGNS)
             # characters below U+0250 are their own normal form, and all but one have a single lower case
-            if not core.isalpha() or (not self.keeps_space and not core.isascii() and (max(core) >= "ɐ" or "İ" in core)):
+            if not core.isalpha() or (not self.keeps_space and not core.isascii() and (max(core) >= "ɐ" or "İ" in word)):
                 others.append(word)
-                continue
-            ids = self._core(core.lower() if not self.keeps_space else core if line else f" {core}")
-            if core is not body:
-                ids += self._sign(body[len(core) :])
-            memory[word] = self.newline + ids if line else ids
+            else:
+                signs = len(body) - len(core)
+                cut.append((word, form[: len(form) - signs], body[len(core) :]))
+        self._learn_cores({core for _, core, _ in cut})
+        known = self.cores
+        found = {word: known[core] + self._sign(signs) if signs else known[core] for word, core, signs in cut}
+        odd = []
         if self.keeps_space:  # other white space in a word may touch the next cut
             odd = [w for w in others if any(map(str.isspace, w[1:] if w[:1] == "\n" else w))]
-            memory.update(dict.fromkeys(odd, ODD))
-            others = [w for w in others if w not in memory]
+            skipped = set(odd)
+            others = [w for w in others if w not in skipped]
         if others:
             whole = [w if not self.keeps_space or w[:1] == "\n" else f" {w}" for w in others]
-            memory.update(zip(others, self._encode(whole), strict=True))
-
-    def _lookup(self, texts: list[list[str]]) -> list[bytes | None]:
-        """The ids of each list of words; none if they cannot be told word by word."""
-        new, old = self.words.new, self.words.old
-        found = [list(map(new.get, words)) for words in texts]
-        gaps = [[j for j, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        missing = {words[j] for words, places in zip(texts, gaps, strict=True) for j in places}
-        again = missing & old.keys()
-        new.update((w, old[w]) for w in again)
-        self._new_words(list(missing - again))
-        for words, ids, places in zip(texts, found, gaps, strict=True):
-            for j in places:
-                ids[j] = new[words[j]]
-        for memory in (self.words, self.cores, self.signs):
-            memory.trim()
-        return [None if ODD in ids else b"".join(ids) for ids in found]
-
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text, or nothing if cuts could depend on more than the word."""
+            found.update(zip(others, self._encode(whole), strict=True))
+        self.signs.trim()
+        self._add(found, odd)
+
+    def _add(self, found: dict[str, bytes], odd: list[str]) -> None:
+        ids = np.frombuffer(b"".join(found.values()), dtype=self.dtype)
+        size = np.fromiter(map(len, found.values()), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        held = self.start[-1] + self.size[-1]
+        if held + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:held], np.zeros(held + 2 * len(ids), dtype=self.dtype)])
+        self.flat[held : held + len(ids)] = ids
+        self.numbers.update(zip(found, range(len(self.start), len(self.start) + len(found)), strict=True))
+        self.numbers.update(dict.fromkeys(odd, 0))
+        self.start.frombytes((held + np.cumsum(size) - size).tobytes())
+        self.size.frombytes(size.tobytes())
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each of these distinct words."""
+        found = list(map(self.numbers.get, words))
+        missing = [w for w, n in zip(words, found, strict=True) if n is None] if None in found else []
+        if missing and len(self.numbers) + len(missing) > self.most_words:
+            self._forget()
+            missing = words
+        if missing:
+            self._learn(missing)
+            found = map(self.numbers.get, words)
+        return np.fromiter(found, dtype=np.int64, count=len(words))
+
+    def _words(self, texts: list[str]) -> pa.ListArray:
         if not self.keeps_space:
-            return None if CONTROL_SPACE.search(text) else text.split()
+            return pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         # a line break put before the text marks its first word, and is taken off again
-        words = f"\n{text}".replace("\n", " \n").split(" ")
-        if words.count("") > 1 or ("\n" in words and words.index("\n") < len(words) - 1):
-            return None  # spaces or line breaks beside each other
-        return words[1:]
+        lines = [f"\n{t}".replace("\n", " \n")[1:] for t in texts]
+        return pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+
+    def _odd(self, words: list[str], numbers: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words, by place, that show that their text cannot be cut."""
+        if not self.keeps_space:
+            return np.zeros(len(codes), dtype=bool)
+        # an empty word is a space beside white space, a lone line break is one too, but for the text's end
+        bad = numbers == 0
+        line = -1
+        for i, word in enumerate(words):
+            if word in ("", "\n"):
+                bad[i] = True
+                line = i if word else line
+        found = bad[codes]
+        last = ends[ends > 0] - 1
+        found[last[codes[last] == line]] = False
+        return found
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts word by word; none where words cannot be told alone."""
+        listed = self._words(texts)
+        coded = listed.values.dictionary_encode()
+        codes, ends = coded.indices.to_numpy(), listed.offsets.to_numpy()[1:]
+        words = coded.dictionary.to_pylist()
+        numbers = self._numbers(words)
+        odd = np.r_[0, np.cumsum(self._odd(words, numbers, codes, ends))]
+        length = np.frombuffer(self.size, dtype=np.int64)[numbers][codes]
+        start = np.frombuffer(self.start, dtype=np.int64)[numbers][codes]
+        upto = np.r_[0, np.cumsum(length)]
+        place = np.repeat(start - upto[:-1], length)
+        place += np.arange(upto[-1])
+        every = self.flat[place]
+        skip = len(self.newline) // self.dtype.itemsize if self.keeps_space else 0
+        spans = zip(upto[np.r_[0, ends[:-1]]].tolist(), upto[ends].tolist(), np.diff(odd[np.r_[0, ends]]).tolist(), strict=True)
+        return [None if bad else every[a + skip : b] for a, b, bad in spans]
+
+    def _whole(self, text: str) -> bool:
+        return SPECIAL in text or (not self.keeps_space and CONTROL_SPACE.search(text) is not None)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``dtype``."""
         out: list[np.ndarray] = []
-        skip = len(self.newline) if self.keeps_space else 0
         for group in text_groups(texts, GROUP_CHARS):
             part = [texts[i] for i in group]
-            words = [self._split(t) for t in part]
-            found = self._lookup([w or [] for w in words])
-            for text, w, ids in zip(part, words, found, strict=True):
-                raw = self._encode([text])[0] if w is None or ids is None else ids[skip:]
-                out.append(np.frombuffer(raw, dtype=self.dtype))
+            whole = [self._whole(t) for t in part]
+            found = self._cut(["" if w else t for w, t in zip(whole, part, strict=True)])
+            for text, w, ids in zip(part, whole, found, strict=True):
+                out.append(np.frombuffer(self._encode([text])[0], dtype=self.dtype) if w or ids is None else ids)
         return out
 
 

@@ -1,9 +1,11 @@
 """Operators with Python inside tasks, held against the tokenizer, brute force and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -18,15 +20,13 @@ from sievelab.llm import decontaminate, language, near_dedup, packing, quality,
 from sievelab.llm.components import connected_components
 from sievelab.llm.word_ids import WordEncoder
 
-PARTS = [*"abXYéÉßñİıſσΣ中文 \n\t.,;'\"-#$0129\x1c\x85  ́😀°", "'s", "<|endoftext|>", "the", " the"]
+PARTS = [*"abXYéÉßñİıſσΣ中文 \n\t.,;'\"-#$0129\x1c\x85  ́😀°", "'s", "<|endoftext|>", "<|startoftext|>", "<|", "the", " the", "\nthe"]
 TEXT = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 SF = "/root/testdata/sf0.01"
 
 
 def tokenizer(name):
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.fixture(scope="module", params=[("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)], ids=["byte", "word"])
@@ -270,6 +270,33 @@ def test_members_missed_by_the_centre_are_linked(make_docs):
     assert {r["component_id"] for r in got} == {0}
 
 
+def shared_passage(n):
+    """Texts that have a passage of 60 words in common and are otherwise unlike."""
+    rng = random.Random(n)
+    passage = [f"p{i}" for i in range(60)]
+    return [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(120)] + passage)) for i in range(n)]
+
+
+def test_a_shared_passage_makes_no_visits(make_docs, monkeypatch):
+    """Pairs that are compared on whole sets do not grow with the square of the texts."""
+    seen = []
+    confirmed = near_dedup.NearDuplicates.confirmed_visits
+    monkeypatch.setattr(near_dedup.NearDuplicates, "confirmed_visits", lambda self, v, l: seen.append(v.count()) or confirmed(self, v, l))
+    for n in (500, 2_000):
+        rows = near_dedup.near_duplicates(make_docs(shared_passage(n)), near_dedup.Spec(words=5)).collect()
+        assert all(r["kept"] for r in rows) and len(rows) == n
+    assert seen[0] <= 50 and seen[1] <= 200
+
+
+def test_fewest_equal_minima():
+    found = near_dedup.fewest_equal(near_dedup.Spec())
+    tail = lambda k: sum(math.comb(96, i) * Fraction(4, 5) ** i * Fraction(1, 5) ** (96 - i) for i in range(k))
+    assert tail(found[96]) <= Fraction(1, 10**9) < tail(found[96] + 1)
+    assert found[0] == 0 and (np.diff(found) >= 0).all()
+    rng = np.random.default_rng(4)
+    assert (rng.binomial(96, 0.8, 10**6) >= found[96]).all()
+
+
 def test_one_row_of_each_group_stays(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = near_dedup.drop_near_duplicates(docs)
