@@ -435,7 +435,7 @@ terms AS (
 SELECT variable, round(score, 6) + 0.0 AS score, round(abs(score), 6) + 0.0 AS abs_score FROM terms""",
     "lasso_path_exact": f"""WITH {LASSO}
 SELECT round(log10(alpha), 6) + 0.0 AS log_alpha, round(train_score, 6) + 0.0 AS train_score,
-       round(test_score, 6) + 0.0 AS test_score, n_nonzero
+       round(test_score, 6) + 0.0 AS test_score, n_nonzero, true AS converged
 FROM scores JOIN grid USING (step)
 JOIN (SELECT step, CAST(sum(CASE WHEN w <> 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_nonzero FROM fitted GROUP BY step)
 USING (step)""",

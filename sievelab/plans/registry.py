@@ -235,7 +235,8 @@ def positive_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def avg_rank_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.average_rank(fx.orders_filled(spark, sf), "value", ["variable"], descending=True).drop("value")
+    filled = save_table(fx.orders_filled(spark, sf), "filled")  # several passes read it
+    return ordering.average_rank(filled, "value", ["variable"], descending=True).drop("value")
 
 
 def avg_rank_asc(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,9 +339,7 @@ def _embedding_moments(spark: SparkSession, sf: str, folds: bool = False) -> Dat
 
 
 def forward_step1(spark: SparkSession, sf: str) -> DataFrame:
-    m = moments.collect_moments(_embedding_moments(spark, sf))[0]
-    scores = stepwise.candidate_scores(m, fx.EMBEDDING_FEATURES, [])
-    candidates = spark.createDataFrame(scores, "variable string, adj_r2 double")
+    candidates = stepwise.first_scores(save_table(_embedding_moments(spark, sf), "moments"), fx.EMBEDDING_FEATURES)
     best = ranking.argmax(candidates, "adj_r2", ["variable"]).select("variable").scalar()
     return _r(candidates.withColumn("is_best", F.col("variable") == best), "adj_r2")
 
@@ -368,10 +367,9 @@ def best_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_quality(spark: SparkSession, sf: str) -> DataFrame:
-    m = moments.collect_moments(_embedding_moments(spark, sf))[0]
     weights = [fx.PLANTED.get(name, 0.0) for name in fx.EMBEDDING_FEATURES]
-    r2, adj = stepwise.model_quality(m, moments.np.array(weights))
-    return _r(spark.createDataFrame([(r2, adj)], "r2 double, adj_r2 double"), "r2", "adj_r2")
+    found = stepwise.model_qualities(_embedding_moments(spark, sf), {"planted": moments.np.array(weights)})
+    return _r(found.drop("model"), "r2", "adj_r2")
 
 
 def _lasso_moments(spark: SparkSession, sf: str):
@@ -392,7 +390,7 @@ def _best_lasso(spark: SparkSession, sf: str, tol: float) -> DataFrame:
 def _lasso_scores(spark: SparkSession, sf: str, tol: float) -> DataFrame:
     path = lasso.lasso_path(spark, *_lasso_moments(spark, sf), sampling.alpha_values(), tol)
     path = path.withColumn("log_alpha", F.log10("alpha"))
-    return _r(path.select("log_alpha", "train_score", "test_score", "n_nonzero"),
+    return _r(path.select("log_alpha", "train_score", "test_score", "n_nonzero", "converged"),
               "log_alpha", "train_score", "test_score")
 
 

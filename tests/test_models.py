@@ -218,3 +218,74 @@ def test_model_quality_counts_non_zero_coefficients():
     r2, adj = stepwise.model_quality(moments_of(x, y), np.array([2.0, -1.0, 0.0]))
     want = 1 - ((y - 2 * x[:, 0] + x[:, 1]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert r2 == pytest.approx(want) and adj == pytest.approx(1 - (1 - want) * 49 / 47)
+
+
+def collinear(n, p, seed):
+    """Features that repeat, sum up or vanish."""
+    x, y = planted(n, p, seed=seed, noise=1.0)
+    x[:, 3] = x[:, 1]
+    x[:, 4] = x[:, 0] + x[:, 2]
+    x[:, 5] = 0.0
+    return x, y
+
+
+def test_swept_scores_equal_least_squares():
+    x, y = collinear(90, 9, 5)
+    m = moments_of(x, y)
+    names = [f"v.{i}" for i in range(9)]
+    for included in ([], ["v.0"], ["v.0", "v.2"], ["v.1", "v.3", "v.6"], names[:8]):
+        for penalty in ("single", "n_vars"):
+            base = [names.index(c) for c in included]
+            for c, got in stepwise.candidate_scores(m, names, included, penalty):
+                assert got == pytest.approx(stepwise.model_score(m, [*base, names.index(c)], penalty), abs=1e-9)
+
+
+def test_dependent_features_keep_minimum_norm_coefficients():
+    x, y = collinear(90, 9, 6)
+    names = [f"v.{i}" for i in range(9)]
+    trace = stepwise.forward_trace([moments_of(x[i::3], y[i::3]) for i in range(3)], names, tol=-1.0, patience=99)
+    assert len(trace) == 9
+    whole = moments_of(x, y)
+    for _, _, included, coefs, score, _ in trace:
+        at = [names.index(c) for c in included]
+        assert np.allclose(coefs, moments.ols(whole, at)[0], atol=1e-7)
+        assert score == pytest.approx(stepwise.model_score(whole, at), abs=1e-9)
+
+
+def test_screened_path_equals_cold_fits():
+    x, y = planted(150, 40, seed=7, noise=2.0)
+    x[:, 9] = x[:, 2] + 0.05 * x[:, 9]
+    m = moments_of(x, y)
+    gram, xy, yy = lasso._problem(m, True)
+    penalties = [float(v) for v in np.geomspace(np.abs(xy).max() * 1.1, 1e-3, 30)]
+    fits = lasso.path_fits(gram, xy, yy, penalties, tol=1e-12, sweeps=200_000)
+    assert all(f.converged for f in fits) and not fits[0].weights.any()
+    for penalty, fit in zip(penalties, fits, strict=True):
+        cold = lasso.coordinate_descent(gram, xy, yy, penalty, 1e-12, 200_000)
+        assert np.allclose(fit.weights, cold, atol=1e-5)
+        gradient = xy - gram @ fit.weights
+        assert (np.abs(gradient) <= penalty * (1 + 1e-3) + 1e-6).all()
+    with pytest.raises(ValueError):
+        lasso.path_fits(gram, xy, yy, [1.0, 2.0])
+
+
+def test_a_fit_that_ran_out_of_sweeps_says_so(spark):
+    x, y = planted(120, 12, seed=9, noise=1.0)
+    x[:, 1:] = x[:, :1] + 0.01 * x[:, 1:]
+    m = moments_of(x, y)
+    path = lasso.lasso_path(spark, m, m, [1e-9, 1e-3], tol=1e-13, sweeps=3).toPandas().set_index("alpha")
+    assert not path.loc[1e-9, "converged"] and path.loc[1e-9, "gap"] > 1e-13
+    assert lasso.lasso_path(spark, m, m, [1e9]).first()["converged"]
+
+
+def test_first_scores_and_qualities_by_job(spark):
+    x, y = planted(60, 3, seed=1)
+    rows = [("a" if i % 2 else "b", float(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    jobs = spark.createDataFrame(rows, "job string, y double, x array<double>")
+    cells = moments.moment_cells(jobs, keys=["job"])
+    first = {(r["job"], r["variable"]): r["adj_r2"] for r in stepwise.first_scores(cells, ["p", "q", "r"], ["job"]).collect()}
+    quality = {r["job"]: r["r2"] for r in stepwise.model_qualities(cells, {"m": np.array([1.0, 0.0, 2.0])}, ["job"]).collect()}
+    for job, part in (("a", slice(1, None, 2)), ("b", slice(0, None, 2))):
+        m = moments_of(x[part], y[part])
+        assert first[job, "q"] == pytest.approx(stepwise.model_score(m, [1]))
+        assert quality[job] == pytest.approx(m.r2(np.array([1.0, 0.0, 2.0])))
