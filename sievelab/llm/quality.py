@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import fold, frames_by_size, full_text, id_key, text_groups, with_null_ids
+from sievelab.llm.common import fold, frames_by_size, full_text, id_key, small_batches, text_groups, with_null_ids
+from sievelab.sources.scratch import save_table
 
 PASSAGE = 400  # characters
 CLASSES = 8
 HASHED = 64
 WIDTH = CLASSES * CLASSES + HASHED + 6
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 17
 SAMPLE = 3_000  # labelled documents of each class that a model is fitted on
 THRESHOLD = 0.7
 
@@ -192,7 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             raw = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, number, strict=True)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "bag": raw})
 
-    found = picked.mapInPandas(bags, "doc_id long, quality int, bag binary").collect()
+    with small_batches(docs.sparkSession):
+        found = picked.mapInPandas(bags, "doc_id long, quality int, bag binary").collect()
     found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["bag"])))
     label = np.array([r["quality"] for r in found], dtype=float)
     if len(set(label)) < 2:
@@ -221,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, as they were."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, as they were; written, in batches of few rows."""
 
     @F.pandas_udf("boolean")
     def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -230,7 +232,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             found = [scores(part[r.start : r.stop].tolist(), model, classes) for r in text_groups(part.tolist(), GROUP_CHARS)]
             yield pd.Series(np.concatenate([*found, np.zeros(0)]) >= threshold)
 
-    return docs.where(good(full_text()))
+    with small_batches(docs.sparkSession):
+        return save_table(docs.where(good(full_text())), "good")
 
 
 def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from sievelab.llm.common import text_groups
 
-CACHED_WORDS = 800_000  # words with their punctuation
-CACHED_CORES = 600_000  # letters of words; both together take about 300 MB
+CACHED_WORDS = 400_000  # words with their punctuation; most that are not cached occur once
+CACHED_CORES = 300_000  # letters of words; both together take about 150 MB
 GROUP_CHARS = 1 << 22
 SPECIAL = "<|"  # how the vocabularies' own tokens begin
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
