@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sievelab.llm.common import full_text, id_key, with_null_ids
 
 ERROR_RATE = 0.08  # edits allowed for each character of an item
-MIN_CHARS = 20  # normalised items below this are not searched
+MIN_CHARS = 20  # normalised items below this must be whole words of a document, without edits
+UNSPACED = "\u2e80"  # scripts from here on are mostly written without spaces
 BLOCK_CHARS = 1_000_000  # benchmark text searched in one pass over the documents
 
 WORD = re.compile(r"[^\W_]+")
@@ -27,6 +28,7 @@ class Item(NamedTuple):
     item_id: int | None
     text: str
     budget: int
+    whole: bool = False  # found between word boundaries only
 
 
 class Match(NamedTuple):
@@ -78,6 +80,11 @@ def least_distance(pattern: dict[str, int], length: int, text: str) -> tuple[int
     return best, end
 
 
+def inside_word(text: str, at: int) -> bool:
+    """Whether a word of a spaced script goes on across this place."""
+    return 0 < at < len(text) and all(c != " " and c < UNSPACED for c in text[at - 1 : at + 1])
+
+
 class Searcher:
     """Searches a block of items in normalised texts."""
 
@@ -111,10 +118,14 @@ class Searcher:
         return found
 
     def _verified(self, i: int, diagonals: list[int], text: str) -> Match | None:
-        pattern, budget = self.items[i].text, self.items[i].budget
+        _, pattern, budget, whole = self.items[i]
         for d in diagonals:
+            if whole and (inside_word(text, d) or inside_word(text, d + len(pattern))):
+                continue
             if d >= 0 and text.startswith(pattern, d):
                 return Match(0, d, d + len(pattern))
+        if whole:
+            return None
         best: Match | None = None
         first = 0
         for k, d in enumerate(diagonals):
@@ -154,7 +165,11 @@ def benchmark_blocks(
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
         texts = sorted({(r["item_id"] is not None, r["item_id"] or 0, normalise(r["text"])) for r in rows})
-        yield [Item(i if known else None, t, int(len(t) * error_rate)) for known, i, t in texts if len(t) >= min_chars]
+        yield [
+            Item(i if known else None, t, 0 if len(t) < min_chars else int(len(t) * error_rate), len(t) < min_chars)
+            for known, i, t in texts
+            if t
+        ]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -163,8 +178,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Both texts are compared in lower case with one space between words. An item of m characters has a budget of
     ``error_rate`` x m edits; it is cut into budget + 1 pieces, an exact hit of any piece gives a window, and the window's
     distance is computed bit by bit. So no occurrence within the budget is missed. ``start`` and ``end`` are code points of the
-    original text, from the first to the last word touched. Null or empty texts and items match nothing, nor do items
-    below ``min_chars``. A repeated document gives its rows again, an item id with several texts its closest one.
+    original text, from the first to the last word touched. Items below ``min_chars`` have no budget and must begin and end
+    with words of the document; where a script has no spaces between words, they may lie anywhere. Texts and items that are
+    null or have no letter or digit match nothing. A repeated document gives its rows again, an item id with several
+    texts its closest one.
     """
 
     def search(items: list[Item]) -> DataFrame:

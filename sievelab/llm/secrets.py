@@ -30,7 +30,6 @@ BEGIN = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
 CONTEXT = re.compile(rf"""(?:(?ai:{KEY}(?::=|=>|[:=]))|{BEGIN}(?ai:{KEY}\bis\b))[\x20\t]*["']?([^\s"'<>,;]+)""")
 CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "credential", "auth", "bearer", "key")
 GUESSES = 8.0  # powers of ten from which a value counts as a secret
-MIN_VALUE = 6
 
 # fixed: words that guessing starts with, most common first
 COMMON_WORDS = (
@@ -42,8 +41,6 @@ COMMON_WORDS = (
     "redacted hidden removed foo bar baz qux abc asdf qwerty january february march april may june july august "
     "september october november december monday tuesday friday sunday is of and to in that for with on as by at from"
 ).split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON_WORDS)))}
-LONGEST = max(map(len, COMMON_WORDS))
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?[01]?\d[-/.]?[0-3]?\d|[0-3]?\d[-/.][01]?\d[-/.](?:19|20)?\d\d|(?:19|20)\d\d)")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -62,6 +59,21 @@ def keyboard() -> dict[str, str]:
 NEAR = keyboard()
 
 
+@cache
+def ranks() -> dict[str, int]:
+    """Guessing order of words: the fixed ones, then the about 20,000 lower-case words that are one token of a public
+    vocabulary, in the order of its ids, which is about that of their frequency."""
+    vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).get_vocab()
+    words = sorted((i, w[1:]) for w, i in vocabulary.items() if w[0] == "Ġ")
+    plain = [w for _, w in words if w.isascii() and w.isalpha() and w.islower()]
+    return {w: i for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *plain]), 1)}
+
+
+@cache
+def longest_word() -> int:
+    return max(map(len, ranks()))
+
+
 def alphabet(c: str) -> int:
     if c.isdigit():
         return 10
@@ -78,6 +90,7 @@ def guesses(value: str) -> tuple[float, list[tuple[str, str]]]:
     their end, so time is linear in the value's length.
     """
     n = len(value)
+    rank_of, longest = ranks(), longest_word()
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(LEET)
     best = [0.0] + [math.inf] * n
@@ -104,9 +117,9 @@ def guesses(value: str) -> tuple[float, list[tuple[str, str]]]:
             if total < best[i + 1]:
                 best[i + 1], back[i + 1] = total, (back[i][0], "brute")
         offer(i, i + 1, math.log10(alphabet(value[i])), "brute")
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(lower[i:j])
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = rank_of.get(lower[i:j])
+            if rank is None and (rank := rank_of.get(plain[i:j])) is not None:
                 rank *= 4
             if rank is not None:
                 offer(i, j, math.log10(rank * (1 if value[i:j] == lower[i:j] else 2)), "word")
@@ -130,13 +143,6 @@ def guesses(value: str) -> tuple[float, list[tuple[str, str]]]:
     return best[n], parts[::-1]
 
 
-@cache
-def prose_words() -> frozenset[str]:
-    """Lower-case words that are a single token of a public vocabulary, about 20,000."""
-    vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).get_vocab()
-    return frozenset(w[1:] for w in vocabulary if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha() and w[1:].islower())
-
-
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the fixed patterns, leftmost and non-overlapping within a kind."""
     found = []
@@ -150,21 +156,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def password_spans(text: str, base: list[tuple[int, int, str]], least: float = GUESSES) -> Iterator[tuple[int, int, int, float]]:
     """Values in credential contexts outside the base spans that take ``least`` powers of ten guesses or more."""
-    if not any(c in text for c in ":=") and " is " not in text:
-        return
     lower = text.lower()
-    if not any(w in lower for w in CONTEXT_WORDS):
+    if not any(c in lower for c in (":", "=", "is")) or not any(w in lower for w in CONTEXT_WORDS):
         return
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in ".:!?)":
             end -= 1
-        if end - start < MIN_VALUE or any(a < end and start < b for a, _, b in base):
+        if any(a < end and start < b for a, _, b in base):
             continue
-        value = text[start:end]
-        if value in prose_words():
-            continue  # a plain word after "is" or a colon, which is below 10^5 guesses
-        cost, _ = guesses(value)
+        cost, _ = guesses(text[start:end])
         if cost >= least:
             yield start, 3, end, cost
 

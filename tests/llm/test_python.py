@@ -380,6 +380,23 @@ def test_leaks_equal_brute_force(make_docs, spark):
     assert decontaminate.drop_leaked(make_docs(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_are_found_as_whole_words(make_docs, spark):
+    bench = spark.createDataFrame([(1, "What is 17 x 23?"), (2, "两个数的和"), (3, "?!"), (4, "ox")], "item_id long, text string")
+    rows = [
+        (1, "Q: what is 17 x 23? 391"),
+        (2, "what is 17 x 234"),
+        (3, "somewhat is 17 x 23"),
+        (4, "求两个数的和是多少"),
+        (5, "a box of oxen, an OX"),
+        (6, "boxes and foxes ?!"),
+        (7, "box " * 200_000 + "ox"),
+    ]
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in decontaminate.find_leaks(make_docs(rows), bench).collect()}
+    assert got == {(1, 1, 0, 3, 18), (4, 2, 0, 0, 9), (5, 4, 0, 18, 20), (7, 4, 0, 800_000, 800_002)}
+    kept = decontaminate.drop_leaked(make_docs(rows), bench)
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3, 6}
+
+
 # secrets
 
 RULES = [
@@ -427,8 +444,8 @@ def brute_guess(value):
         for i in range(j):
             joint = secrets.NEXT_SEGMENT if i else 0.0
             best[j] = min(best[j], best[i] + joint + sum(math.log10(secrets.alphabet(c)) for c in value[i:j]))
-            if j - i >= 3 and value[i:j] in secrets.RANK:
-                best[j] = min(best[j], best[i] + joint + math.log10(secrets.RANK[value[i:j]]))
+            if j - i >= 3 and value[i:j] in secrets.ranks():
+                best[j] = min(best[j], best[i] + joint + math.log10(secrets.ranks()[value[i:j]]))
     return best[-1]
 
 
@@ -452,6 +469,10 @@ def test_lower_case_values_and_joined_keys(make_docs):
         "the password is kqzvxjwbtm": "password:16:26",
         "dbPassword=Tr0ub4dor&3": "password:11:22",
         "userpwd=Tr0ub4dor&3": "password:8:19",
+        "password\tis\tTr0ub4dor&3xq": "password:12:25",
+        "pin: éüßøñ": "password:5:10",
+        "pwd=": "",
+        "password: hello-world": "",
         "the password is information": "",
         "secret: information": "",
         "compass is kqzvxjwbtm": "",
