@@ -6,13 +6,12 @@ the row when features are ranked; no join on the row key is needed.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelab.functions.columns import blend_scores, correlation
 from sievelab.operators.joins import attach_small
-from sievelab.operators.moments import collect_moments, moment_cells
+from sievelab.operators.moments import cross_moments
 from sievelab.operators.ordering import average_rank, slot_rows
 from sievelab.operators.ranking import above_median, argmax
 from sievelab.sources.scratch import save_table
@@ -59,17 +58,6 @@ def rank_rows(packed: DataFrame, width: int, rows: int | None = None, **options)
     )
 
 
-def rank_correlations(packed: DataFrame, names: list[str], rows: int | None = None, **options) -> tuple:
-    """(matrix of Spearman correlations, correlation with the response); NaN where a side is constant."""
-    m = collect_moments(moment_cells(rank_rows(packed, len(names), rows, **options)))[0]
-    centred = m.xx - np.outer(m.sx, m.sx) / m.n
-    with_y = m.xy - m.sx * m.sy / m.n
-    spread = np.sqrt(np.clip(np.diag(centred), 0, None))
-    y_spread = np.sqrt(max(m.syy - m.sy**2 / m.n, 0.0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return centred / np.outer(spread, spread), with_y / (spread * y_spread)
-
-
 def feature_pairs(suggestions: DataFrame, finals: list[str]) -> DataFrame:
     """Every (final, suggestion), self pairs included; ``finals`` is the short list the model kept."""
     return suggestions.select(
@@ -80,21 +68,31 @@ def feature_pairs(suggestions: DataFrame, finals: list[str]) -> DataFrame:
 def spearman_pairs(
     packed: DataFrame, names: list[str], finals: list[str], rows: int | None = None, **options
 ) -> DataFrame:
-    """(final, suggestion, abs_spearman_fs, abs_spearman_ts, n) of every final with every feature in ``names``."""
-    rows = packed.count() if rows is None else rows
-    between, target = rank_correlations(packed, names, rows, **options)
-
-    def number(value: float) -> float | None:
-        return None if np.isnan(value) else float(min(abs(value), 1.0))
+    """(final, suggestion, abs_spearman_fs, abs_spearman_ts, n) of every final with every feature in ``names``.
 
+    Ranks are centred, so a correlation is the sum of products over the root of both sums of squares. Only the finals'
+    rows of the product matrix are summed. A feature without spread has null correlations.
+    """
+    rows = packed.count() if rows is None else rows
     at = {name: i for i, name in enumerate(names)}
-    table = [
-        (final, name, number(between[at[final], i]), number(target[i]), rows)
-        for final in finals
-        for i, name in enumerate(names)
-    ]
-    return packed.sparkSession.createDataFrame(
-        table, "final string, suggestion string, abs_spearman_fs double, abs_spearman_ts double, n long"
+    left = list(dict.fromkeys(finals))
+    ranked = rank_rows(packed, len(names), rows, **options)
+    cells = save_table(cross_moments(ranked, [at[f] for f in left], len(names)), "cross-moments")
+    squares = cells.where("i = 0").select("j", F.col("value").alias("square"))
+    sides = [(1, 0, None), *((k, at[f] + 1, f) for k, f in enumerate(left, 2))]  # row, its own column, its name
+    side = packed.sparkSession.createDataFrame(sides, "i int, own int, final string")
+    own = side.join(F.broadcast(squares.withColumnsRenamed({"j": "own", "square": "own_square"})), "own")
+    spread = F.sqrt(F.greatest(F.col("square"), F.lit(0.0)) * F.greatest(F.col("own_square"), F.lit(0.0)))
+    ratio = F.abs(F.try_divide(F.col("value"), spread))
+    rho = F.when(ratio > 1, 1.0).otherwise(ratio)
+    label = name_table(packed, names).select((F.col("pos") + 1).alias("j"), F.col("variable").alias("suggestion"))
+    # all of these hold one row per feature, or per final and feature
+    found = cells.where("i > 0 AND j > 0").join(F.broadcast(own), "i").join(F.broadcast(squares), "j")
+    found = found.join(F.broadcast(label), "j").select("final", "suggestion", rho.alias("rho"))
+    target = found.where("final IS NULL").select("suggestion", F.col("rho").alias("abs_spearman_ts"))
+    pairs = found.where("final IS NOT NULL").join(F.broadcast(target), "suggestion")
+    return pairs.select(
+        "final", "suggestion", F.col("rho").alias("abs_spearman_fs"), "abs_spearman_ts", F.lit(rows).cast("long").alias("n")
     )
 
 

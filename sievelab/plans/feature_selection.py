@@ -140,7 +140,7 @@ def feature_selection(
     at = {name: i for i, name in enumerate(names)}
     screened = matrix.select("row_id", "y", _take([at[c] for c in chosen]).alias("x"))
     if chosen:
-        cells, moments = _grouped_moments(screened, rows, settings)
+        cells, moments = _grouped_moments(screened, rows, len(chosen), settings)
         norms = total(moments.values()).norms
         scaled = {grp: m.rescaled(norms) for grp, m in moments.items()}
         path, alpha = _best_alpha(spark, scaled, settings)
@@ -285,13 +285,13 @@ def _take(positions: list[int]):
     return F.array(*[F.get("x", F.lit(p)) for p in positions])
 
 
-def _grouped_moments(packed: DataFrame, rows: int, settings: Settings) -> tuple[DataFrame, dict[int, Moments]]:
+def _grouped_moments(packed: DataFrame, rows: int, width: int, settings: Settings) -> tuple[DataFrame, dict[int, Moments]]:
     """Moments per (test split, fold): group code is split x folds + fold."""
     ids = packed.select("row_id")
     cut = sampling.exact_cuts(ids, settings.test_share, settings.split_seed, rows=rows)[0]
     ends = sampling.fold_ends(ids, settings.folds, rows=rows)
     group = cut.contains().cast("int") * settings.folds + sampling.fold_of(ends)
-    cells = save_table(moment_cells(packed, group), "moments")
+    cells = save_table(moment_cells(packed, group, width=width), "moments")
     return cells, collect_moments(cells)
 
 

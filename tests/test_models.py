@@ -1,7 +1,9 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,47 @@ def test_moments_by_job(spark):
         assert np.allclose(got.kfold_adj_r2, [t[5] for t in want])
 
 
+def test_tiles_of_wide_matrices_by_parts_and_flushes(spark):
+    x, y = planted(40, 600, seed=3)
+    df = packed(spark, x, y).repartition(3)
+    want = moments_of(x, y)
+    for width in (None, 600):
+        got = moments.collect_moments(moments.moment_cells(df, width=width))[0]
+        assert np.allclose(got.xx, want.xx, atol=1e-9) and np.allclose(got.xy, want.xy) and np.allclose(got.sx, want.sx)
+    rows = pa.RecordBatch.from_pydict({"grp": pa.array([0] * 40, pa.int32()), "y": y, "x": x.tolist()})
+    made = [list(moments.tile_sums([rows] * 2, [], part, 2, held_bytes=1 << 20)) for part in range(2)]
+    parts = sorted((t for part in made for b in part for t in b.to_pylist()), key=lambda t: (t["top"], t["left"]))
+    assert len(parts) > 6 and sum(map(len, made)) > 2  # three strips, some tiles twice
+    batch = pa.RecordBatch.from_pylist(parts, schema=made[0][0].schema)
+    cells = pa.Table.from_batches(moments.tile_cells([batch.slice(0, 5), batch.slice(5)], [])).sort_by("pos")
+    assert cells["pos"].to_pylist() == list(range(602 * 603 // 2))
+    assert np.allclose(moments.Moments.from_triangle(cells["value"].to_numpy()).xx, 2 * want.xx)
+
+
+@pytest.mark.parametrize("jobs, width, rows", [(5_000, 30, 2), (1, 5_000, 500)])
+def test_moment_tasks_hold_a_bounded_part(jobs, width, rows):
+    def batches():
+        for start in range(0, jobs, 250):
+            names = [f"j{i}" for i in range(start, min(jobs, start + 250)) for _ in range(rows)]
+            x = np.random.default_rng(start).normal(size=(len(names), width))
+            values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, width, dtype=np.int32), x.ravel())
+            codes = pa.array([0] * len(names), pa.int32())
+            yield pa.RecordBatch.from_pydict({"job": names, "grp": codes, "y": x[:, 0], "x": values})
+
+    tracemalloc.start()
+    seen, tiles = set(), 0
+    corners = len(moments.tile_corners(width + 2))
+    parts = max(1, -(-corners * 8 * moments.TILE**2 // moments.HELD_BYTES))
+    for part in range(parts):
+        for batch in moments.tile_sums(batches(), ["job"], part, parts):
+            tiles += batch.num_rows
+            seen |= set(batch.column("job").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) == jobs and tiles == jobs * corners
+    assert peak < 4 * moments.HELD_BYTES
+
+
 def test_ols_matches_lstsq_with_duplicated_column():
     x, y = planted(50, 4)
     x = np.column_stack([x, x[:, 0]])
