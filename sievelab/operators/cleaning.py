@@ -171,8 +171,19 @@ def l2_normalize(long: DataFrame, n_features: int | None = None) -> DataFrame:
     return _like(long, joined, F.col("value") / F.col("__norm"))
 
 
+def long_with_target(df: DataFrame, features: list[str], y: str, time: str, row_id: str = "row_id") -> DataFrame:
+    """(row_id, y, end_micros, variable, value): the response and time stay with their row, so nothing is joined; map-only."""
+    timed = df.select(
+        column(row_id).alias(row_id),
+        number(column(y)).alias("y"),
+        F.unix_micros(column(time)).alias("end_micros"),
+        *[column(f) for f in features if f not in (row_id, "y", "end_micros")],
+    )
+    return to_long(timed, features, [row_id, "y", "end_micros"])
+
+
 def attach_target(long: DataFrame, target: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Adds the response and time of each row, matched on the row key."""
+    """Adds the response and time of each row from a table of its own, matched on the row key."""
     return long.join(target, row_id)
 
 

@@ -179,10 +179,7 @@ def event_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attach_target(spark: SparkSession, sf: str) -> DataFrame:
-    wide = fx.orders_wide(spark, sf)
-    target = wide.select("row_id", "y", F.unix_micros("END_TIME").alias("end_micros"))
-    long = cleaning.to_long(wide, ["line.qty", "cust.acctbal"], ["row_id"])
-    return cleaning.attach_target(long, target)
+    return cleaning.long_with_target(fx.orders_wide(spark, sf), ["line.qty", "cust.acctbal"], "y", "END_TIME")
 
 
 def split_name(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Shapes of the physical plans the scaling claims rest on."""
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
@@ -102,3 +103,13 @@ def test_few_values_are_ranked_without_moving_a_row(spark):
     # only the table of values, by its group; rows would go by task
     assert shuffles(ranked) and all(x.startswith("hashpartitioning(k#") for x in shuffles(ranked))
     assert ranked.groupBy(F.spark_partition_id()).count().count() == rows.rdd.getNumPartitions()
+
+
+def test_the_target_travels_with_its_row(spark):
+    rows = [(1, 2.0, dt.datetime(2024, 1, 1), 3.0, None), (2, None, dt.datetime(2024, 1, 2), 5.0, 6.0)]
+    wide = spark.createDataFrame(rows, "row_id long, `r.y` double, END_TIME timestamp, `a.b` double, `c.d` double")
+    long = cleaning.long_with_target(wide, ["a.b", "c.d"], "r.y", "END_TIME")
+    assert not shuffles(long) and "Join" not in plan(long)
+    target = wide.select("row_id", F.col("`r.y`").alias("y"), F.unix_micros("END_TIME").alias("end_micros"))
+    joined = cleaning.attach_target(cleaning.to_long(wide, ["a.b", "c.d"], ["row_id"]), target)
+    assert sorted(map(str, joined.select(long.columns).collect())) == sorted(map(str, long.collect()))
