@@ -275,3 +275,29 @@ def test_mic_is_not_capped(spark):
     y = x % 20
     whole = mic.mic(packed(spark, x[:, None], y), ["v"]).first()
     assert whole["b"] == int(600**0.6) and whole["mic"] > mic.mic(packed(spark, x[:, None], y), ["v"], max_b=20).first()["mic"]
+
+
+@pytest.mark.parametrize("bound, most", [(4, 10**6), (90, 10**6), (317, 500), (2930, 1 << 23)])
+def test_grid_sets_hold_each_grid_once(bound, most):
+    sets = mic.grids(bound, most)
+    shapes = [(s.parts, v)[:: 1 if s.side == 0 else -1] for s in sets for v in range(s.low, s.high)]
+    assert sorted(shapes) == [(i, j) for i in range(2, bound // 2 + 1) for j in range(2, bound // i + 1)]
+    assert all(s.cells <= most or s.high == s.low + 1 for s in sets)
+    if most > 10**5:  # the points are counted once for each set, not for each grid
+        assert len(sets) <= 2 * bound**0.5
+
+
+@pytest.mark.parametrize("n, bound", [(7, 12), (300, 60), (2000, 90)])
+def test_grid_counts_equal_those_of_each_grid(monkeypatch, n, bound):
+    rng = np.random.default_rng(n)
+    x, y, c = rng.integers(0, n, 500), rng.integers(0, n, 500), rng.integers(1, 4, 500)
+    for s in mic.grids(bound, 400):
+        counts, fixed, other = mic.GridCounts(s, n), *((x, y)[:: 1 if s.side == 0 else -1])
+        for part in np.array_split(np.argsort(other, kind="stable"), 3):
+            counts.feed(fixed[part], other[part], c[part].astype(float))
+        want = 0.0
+        for v in range(s.low, s.high):
+            joint = np.zeros((s.parts, v))
+            np.add.at(joint, (fixed * s.parts // n, other * v // n), c)
+            want = max(want, mic.information(joint) / np.log(min(s.parts, v)))
+        assert counts.best() == pytest.approx(want, abs=1e-12)
