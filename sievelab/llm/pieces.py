@@ -203,14 +203,23 @@ class PieceModel:
     def last_tokens(self, text: str) -> list[int]:
         """The last token of each prefix of ``text``, from the first character on."""
         last: list[int] = []
+        done, known = 0, self.pairs.get
         for end, (token, length) in self.automaton.iter(text):
-            if end < len(last):
+            if end < done:
                 continue  # found already, there is only one
-            while len(last) < end:
-                last.append(self._lone(text[len(last)]))
+            while done < end:
+                last.append(self._lone(text[done]))
+                done += 1
             before = end - length
-            if self.goes_with(last[before], token) if before >= 0 else self.run(token) is not None:
+            if before < 0:
+                fits = self.run(token) is not None
+            else:
+                fits = known((last[before], token))
+                if fits is None:
+                    fits = self.goes_with(last[before], token)
+            if fits:
                 last.append(token)
+                done += 1
         while len(last) < len(text):
             last.append(self._lone(text[len(last)]))
         return last
@@ -232,7 +241,7 @@ class PieceModel:
             return np.zeros(0, dtype=self.dtype)
         escaped = (SPACE if self.space_before else "") + text.replace(" ", SPACE)
         words = self.cut.findall(escaped) if self.cut else [escaped]
-        found = list(map(self.words.get, words))
+        found = list(map(self.words.new.get, words))  # older entries are looked up below
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:

@@ -34,6 +34,18 @@ def test_pieces_equal_the_library(models, text):
     assert model.decode(ids) == library.decode(ids)
 
 
+def test_known_words_are_not_looked_up_one_by_one(models, monkeypatch):
+    library, _ = models
+    model = pieces.PieceModel(MODEL, words=200)
+    text = "the ships sail over the seas, the seas are wide " * 20
+    assert model.encode(text).tolist() == library.encode(text)
+    calls, get = [], pieces.Memory.get
+    monkeypatch.setattr(pieces.Memory, "get", lambda self, key: calls.append(key) or get(self, key))
+    assert model.encode(text).tolist() == library.encode(text) and not calls
+    model.words.old, model.words.new = model.words.new, {}  # older entries are found and kept
+    assert model.encode(text).tolist() == library.encode(text) and calls and not model.words.new.keys() - model.words.old.keys()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2), st.integers(3, 258), st.integers(0, 31_999)), max_size=12))
 def test_any_ids_decode_as_the_library(models, ids):
