@@ -87,9 +87,17 @@ class Index:
             return np.zeros(self.size)
         length = self.df[lists]
         ends = np.cumsum(length)
-        at = np.arange(ends[-1]) + np.repeat(self.first[lists] - ends + length, length)
+        at = np.repeat(self.first[lists] - ends + length, length)
+        at += np.arange(ends[-1])
         return np.bincount(self.docs[at], self.weight[at], self.size)
 
+    def drop(self, gone: np.ndarray) -> None:
+        """Postings of texts whose scores are not wanted any more; those of the others stay as they are."""
+        keep = ~gone[self.docs]
+        upto = np.r_[0, np.cumsum(keep)]
+        self.first, self.df = upto[self.first], upto[self.first + self.df] - upto[self.first]
+        self.docs, self.weight = self.docs[keep], self.weight[keep]
+
 
 def fill_windows(
     texts: list[np.ndarray],
@@ -110,6 +118,7 @@ def fill_windows(
     index = Index(terms or texts, stats=stats)
     start = np.zeros(len(texts), dtype=np.int64)
     left = np.array([len(t) for t in texts], dtype=np.int64)
+    posted = len(texts)  # how many texts the index still holds
     for seed in np.argsort(-left, kind="stable"):
         while left[seed]:
             room = window
@@ -118,6 +127,9 @@ def fill_windows(
             left[seed] -= placed[0][2]
             room -= placed[0][2]
             if room:
+                if (unused := np.count_nonzero(left)) < 0.75 * posted:
+                    index.drop(left == 0)
+                    posted = unused
                 score = index.scores(seed)
             while room and left.any():
                 open_ = np.flatnonzero(left)

@@ -8,6 +8,7 @@ import sys
 import types
 from array import array
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,15 @@ from tokenizers import Tokenizer
 
 from sievelab.llm.common import text_groups
 
-CACHED_WORDS = 800_000  # words with their punctuation
-CACHED_CORES = 600_000  # letters of words; both together take about 300 MB
+CACHED_WORDS = 800_000  # words with their punctuation, where white space is dropped
+CACHED_CORES = 600_000  # letters of those words; both together take about 300 MB
+CACHED_PIECES = 800_000  # words without the signs after them, where spaces are kept; about 160 MB
 GROUP_CHARS = 1 << 22
+PIECE_CHARS = 1 << 23  # the same where spaces are kept
 SPECIAL = "<|"  # how the vocabularies' own tokens begin
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WHITE, SIGN, LETTER = 1, 2, 3  # bytes: space and line break, SIGNS, ASCII letters and digits
 
 
 def byte_letters() -> dict[int, int]:
@@ -31,6 +35,39 @@ def byte_letters() -> dict[int, int]:
     return dict(zip(printed, printed, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def byte_kinds() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    for kind, chars in ((WHITE, b" \n"), (SIGN, SIGNS.encode()), (LETTER, bytes(b for b in range(128) if chr(b).isalnum()))):
+        kinds[list(chars)] = kind
+    return kinds
+
+
+def pieces(texts: Sequence[str], kinds: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Words of all texts, each with the space or line break before it, and how many end in each text or before it.
+
+    The signs that end a word are a piece of their own if an ASCII letter or digit or a letter from U+00C0 to U+023F is before
+    them. The pieces of a text, joined, are the text.
+    """
+    joined = pa.array(texts, pa.large_string())
+    _, offsets, data = joined.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(texts) + 1]
+    code = np.frombuffer(data, np.uint8)[: offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)
+    kind = kinds[code]
+    first = np.zeros(len(code) + 1, dtype=bool)
+    first[:-1] = kind == WHITE
+    first[offsets] = True
+    sign = np.append(kind == SIGN, False)
+    last = np.flatnonzero(sign[:-1] & (~sign[1:] | first[1:]))  # of each run of signs
+    at = np.flatnonzero(sign[1:] & ~sign[:-1] & ~first[1:]) + 1
+    at = at[first[last[np.searchsorted(last, at)] + 1]]
+    before, lead = code[at - 1], code[at - 2]
+    latin = (before & 0xC0 == 0x80) & (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    first[at[(kind[at - 1] == LETTER) | latin]] = True
+    starts = np.flatnonzero(first[:-1])
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(code))), data or pa.py_buffer(b""))
+    return found, np.searchsorted(starts, offsets[1:])
+
+
 class Memory:
     """A map of bounded size: the entries of the last half are kept, and older ones as they are used."""
 
@@ -52,14 +89,14 @@ class WordEncoder:
     """Ids of texts, equal to the tokenizer's own.
 
     Both public vocabularies cut a text at white space, and between letters and signs, before they merge. So a word's ids do
-    not depend on its neighbours. All words of a group of texts are numbered by Arrow; each distinct one is encoded once, from its
-    letters and the signs after them, and the texts' ids are gathered by number. ``keeps_space``: the vocabulary joins a space
+    not depend on its neighbours. All words of a group of texts are numbered by Arrow; each distinct one is encoded once, its
+    letters and the signs after them apart, and the texts' ids are gathered by number. ``keeps_space``: the vocabulary joins a space
     to the word that follows (byte-level), otherwise white space is dropped and case too. What is not of this form goes to the
     tokenizer whole, as do texts where a cut could depend on more than the word (adjacent white space, control characters) or
     that may spell one of the vocabulary's own tokens.
     """
 
-    def __init__(self, path: str, keeps_space: bool, words: int = CACHED_WORDS, cores: int = CACHED_CORES):
+    def __init__(self, path: str, keeps_space: bool, words: int | None = None, cores: int = CACHED_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -67,8 +104,10 @@ class WordEncoder:
             raise ValueError(f"added tokens that do not begin with {SPECIAL}")
         self.keeps_space = keeps_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.letters = byte_letters()
-        self.space = chr(self.letters[32])
+        letters = byte_letters()
+        self.letters = np.array([0, *(letters[b] for b in range(1, 256))], dtype="<u4")  # byte 0 parts words
+        self.kinds = byte_kinds()
+        words = words or (CACHED_PIECES if keeps_space else CACHED_WORDS)
         self.most_words, self.most_cores = words, cores
         self.cores: dict[str, bytes] = {}
         self.signs = Memory(words)
@@ -85,22 +124,21 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _tokenized(self, words: list[str]) -> list[list[int]]:
+        """Ids of runs of letters, which the tokenizer does not cut further."""
+        raw = np.frombuffer("\0".join(words).encode(), np.uint8)
+        forms = self.letters[raw].tobytes().decode("utf-32-le").split("\0") if words else []
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(form)] for form in forms]
+
     def _learn_cores(self, cores: set[str]) -> None:
-        """Ids of runs of letters, in byte-level vocabularies with the space or line break before them."""
+        """Ids of runs of letters."""
         new = [c for c in cores if c not in self.cores]
         if len(self.cores) + len(new) > self.most_cores:
             self.cores.clear()
             new = list(cores)
-        known, tokenize, code = self.cores, self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for core in new:
-            line = self.keeps_space and core[0] == "\n"
-            text = core[1:] if line else core
-            if text.isascii():  # of these only a space before the letters has a letter of its own
-                form = text.replace(" ", self.space, 1)
-            else:
-                form = text.encode().decode("latin-1").translate(self.letters)
-            ids = array(code, [t.id for t in tokenize(form)]).tobytes()
-            known[core] = self.newline + ids if line else ids
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cores.update((core, array(code, ids).tobytes()) for core, ids in zip(new, self._tokenized(new), strict=True))
 
     def _sign(self, text: str) -> bytes:
         ids = self.signs.get(text)
@@ -109,98 +147,110 @@ class WordEncoder:
             self.signs.new[text] = ids
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Number words that are not known yet."""
+    def _learn_words(self, words: list[str]) -> None:
+        """Number words that are not known yet, where white space is dropped."""
         cut, others = [], []
         for word in words:
-            # a word of a byte-level vocabulary starts with the line break before it, else a space is before it
-            form = word.lower() if not self.keeps_space else word if word[:1] == "\n" else f" {word}"
-            body = form if not self.keeps_space else form[1:]
-            core = body if body.isalpha() else body.rstrip(SIGNS)
+            form = word.lower()
+            core = form if form.isalpha() else form.rstrip(SIGNS)
             # characters below U+0250 are their own normal form, and all but one have a single lower case
-            if not core.isalpha() or (not self.keeps_space and not core.isascii() and (max(core) >= "ɐ" or "İ" in word)):
+            if not core.isalpha() or (not core.isascii() and (max(core) >= "ɐ" or "İ" in word)):
                 others.append(word)
             else:
-                signs = len(body) - len(core)
-                cut.append((word, form[: len(form) - signs], body[len(core) :]))
+                cut.append((word, core, form[len(core) :]))
         self._learn_cores({core for _, core, _ in cut})
         known = self.cores
         found = {word: known[core] + self._sign(signs) if signs else known[core] for word, core, signs in cut}
-        odd = []
-        if self.keeps_space:  # other white space in a word may touch the next cut
-            odd = [w for w in others if any(map(str.isspace, w[1:] if w[:1] == "\n" else w))]
-            skipped = set(odd)
-            others = [w for w in others if w not in skipped]
         if others:
-            whole = [w if not self.keeps_space or w[:1] == "\n" else f" {w}" for w in others]
-            found.update(zip(others, self._encode(whole), strict=True))
+            found.update(zip(others, self._encode(others), strict=True))
         self.signs.trim()
-        self._add(found, odd)
-
-    def _add(self, found: dict[str, bytes], odd: list[str]) -> None:
-        ids = np.frombuffer(b"".join(found.values()), dtype=self.dtype)
         size = np.fromiter(map(len, found.values()), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        self._add(list(found), np.frombuffer(b"".join(found.values()), dtype=self.dtype), size)
+
+    def _learn_pieces(self, words: list[str]) -> None:
+        """Number pieces that are not known yet, where spaces are kept."""
+        plain, lines, others, odd = [], [], [], []
+        for word in words:
+            if word.isalpha() or (word[0] == " " and word[1:].isalpha()):
+                plain.append(word)
+            elif word[0] == "\n" and word[1:].isalpha():
+                lines.append(word)
+            elif any(map(str.isspace, word[1:])):  # other white space in a word may touch the next cut
+                odd.append(word)
+            else:
+                others.append(word)
+        if plain or lines:
+            found = self._tokenized([*plain, *(word[1:] for word in lines)])
+            line = np.frombuffer(self.newline, self.dtype).tolist()
+            found[len(plain) :] = [line + ids for ids in found[len(plain) :]]
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self._add(plain + lines, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(size.sum())), size)
+        if others:
+            found = self._encode(others)
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+            self._add(others, np.frombuffer(b"".join(found), dtype=self.dtype), size)
+        self.numbers.update(dict.fromkeys(odd, 0))
+
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         held = self.start[-1] + self.size[-1]
         if held + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:held], np.zeros(held + 2 * len(ids), dtype=self.dtype)])
+            self.flat = np.concatenate([self.flat[:held], np.zeros(held // 2 + 2 * len(ids), dtype=self.dtype)])
         self.flat[held : held + len(ids)] = ids
-        self.numbers.update(zip(found, range(len(self.start), len(self.start) + len(found)), strict=True))
-        self.numbers.update(dict.fromkeys(odd, 0))
+        self.numbers.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
         self.start.frombytes((held + np.cumsum(size) - size).tobytes())
         self.size.frombytes(size.tobytes())
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Number of each of these distinct words."""
-        found = list(map(self.numbers.get, words))
-        missing = [w for w, n in zip(words, found, strict=True) if n is None] if None in found else []
-        if missing and len(self.numbers) + len(missing) > self.most_words:
+        get = self.numbers.get
+        found = np.array([get(word, -1) for word in words], dtype=np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(self.numbers) + len(new) > self.most_words:
             self._forget()
-            missing = words
-        if missing:
-            self._learn(missing)
-            found = map(self.numbers.get, words)
-        return np.fromiter(found, dtype=np.int64, count=len(words))
+            new = np.arange(len(words))
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            (self._learn_pieces if self.keeps_space else self._learn_words)(missing)
+            found[new] = list(map(self.numbers.get, missing))
+        return found
 
-    def _words(self, texts: list[str]) -> pa.ListArray:
-        if not self.keeps_space:
-            return pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
-        # a line break put before the text marks its first word, and is taken off again
-        lines = [f"\n{t}".replace("\n", " \n")[1:] for t in texts]
-        return pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+    def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts, and how many end in each text or before it."""
+        if self.keeps_space:
+            return pieces(texts, self.kinds)
+        listed = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        return listed.values, listed.offsets.to_numpy()[1:]
 
     def _odd(self, words: list[str], numbers: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Words, by place, that show that their text cannot be cut."""
         if not self.keeps_space:
             return np.zeros(len(codes), dtype=bool)
-        # an empty word is a space beside white space, a lone line break is one too, but for the text's end
-        bad = numbers == 0
-        line = -1
-        for i, word in enumerate(words):
-            if word in ("", "\n"):
-                bad[i] = True
-                line = i if word else line
-        found = bad[codes]
-        last = ends[ends > 0] - 1
-        found[last[codes[last] == line]] = False
-        return found
+        # a lone space or line break is beside white space, but for the text's end
+        lone = np.array([word in (" ", "\n") for word in words], dtype=bool)
+        found = lone[codes]
+        found[ends[ends > 0] - 1] = False
+        return found | (numbers == 0)[codes]
 
     def _cut(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of texts word by word; none where words cannot be told alone."""
-        listed = self._words(texts)
-        coded = listed.values.dictionary_encode()
-        codes, ends = coded.indices.to_numpy(), listed.offsets.to_numpy()[1:]
+        every, ends = self._words(texts)
+        coded = every.dictionary_encode()
+        codes = coded.indices.to_numpy()
         words = coded.dictionary.to_pylist()
         numbers = self._numbers(words)
         odd = np.r_[0, np.cumsum(self._odd(words, numbers, codes, ends))]
-        length = np.frombuffer(self.size, dtype=np.int64)[numbers][codes]
-        start = np.frombuffer(self.start, dtype=np.int64)[numbers][codes]
+        length = np.frombuffer(self.size, dtype=np.int64)[numbers]
+        start = np.frombuffer(self.start, dtype=np.int64)[numbers]
         upto = np.r_[0, np.cumsum(length)]
         place = np.repeat(start - upto[:-1], length)
         place += np.arange(upto[-1])
-        every = self.flat[place]
-        skip = len(self.newline) // self.dtype.itemsize if self.keeps_space else 0
+        ids, offsets = pa.py_buffer(self.flat[place]), pa.py_buffer(upto * self.dtype.itemsize)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, offsets, ids]).take(coded.indices)
+        _, offsets, ids = found.buffers()
+        upto = np.frombuffer(offsets, np.int64)[: len(codes) + 1] // self.dtype.itemsize
+        every = np.frombuffer(ids or b"", dtype=self.dtype)
         spans = zip(upto[np.r_[0, ends[:-1]]].tolist(), upto[ends].tolist(), np.diff(odd[np.r_[0, ends]]).tolist(), strict=True)
-        return [None if bad else every[a + skip : b] for a, b, bad in spans]
+        return [None if bad else every[a:b] for a, b, bad in spans]
 
     def _whole(self, text: str) -> bool:
         return SPECIAL in text or (not self.keeps_space and CONTROL_SPACE.search(text) is not None)
@@ -208,7 +258,7 @@ class WordEncoder:
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``dtype``."""
         out: list[np.ndarray] = []
-        for group in text_groups(texts, GROUP_CHARS):
+        for group in text_groups(texts, PIECE_CHARS if self.keeps_space else GROUP_CHARS):
             part = [texts[i] for i in group]
             whole = [self._whole(t) for t in part]
             found = self._cut(["" if w else t for w, t in zip(whole, part, strict=True)])

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from sievelab.llm import decontaminate, language, near_dedup, packing, quality, secrets, token_files
 from sievelab.llm.components import connected_components
-from sievelab.llm.word_ids import WordEncoder
+from sievelab.llm.word_ids import WordEncoder, byte_kinds, pieces
 
 PARTS = [*"abXYéÉßñİıſσΣ中文 \n\t.,;'\"-#$0129\x1c\x85  ́😀°", "'s", "<|endoftext|>", "<|startoftext|>", "<|", "the", " the", "\nthe"]
 TEXT = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
@@ -43,6 +43,26 @@ def test_ids_equal_the_tokenizer(encoders, texts):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_signs_after_a_word_make_no_other_word():
+    words, signs = ["an", "élan", "naïve", "x1", "mañana"], ["", ",", ".", "!?", "...", '")', "***"]
+    text = " ".join(word + sign for word in words for sign in signs) + "\n" + "\n".join(words)
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    (ids,) = encoder.encode([text])
+    assert ids.tolist() == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    assert len(encoder.numbers) <= 2 * len(words) + len(signs)  # words of a space, of a line, the first one and the signs
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(TEXT, max_size=4))
+def test_pieces_make_the_text(texts):
+    found, ends = pieces(texts, byte_kinds())
+    words, start = found.to_pylist(), 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert "".join(words[start:end]) == text and all(words[start:end])
+        start = end
+    assert start == len(words)
+
+
 # token files
 
 
@@ -199,6 +219,18 @@ def test_windows_are_full(lengths):
     assert all(sum(p[2] for p in w) == 1_024 for w in windows[:-1])
 
 
+def test_used_texts_leave_the_index():
+    """Scores of the others stay to the last bit, and what is looked through shrinks."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 400, n) for n in rng.integers(1, 300, 200)]
+    every, left = packing.Index(texts), packing.Index(texts)
+    gone = rng.random(200) < 0.7
+    left.drop(gone)
+    assert len(left.docs) == (~gone[every.docs]).sum() < len(every.docs) / 2
+    for i in range(0, 200, 7):
+        assert (left.scores(i)[~gone] == every.scores(i)[~gone]).all()
+
+
 # near duplicates
 
 
