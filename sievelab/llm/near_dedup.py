@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievelab.llm.common import full_text, small_batches
 from sievelab.llm.components import connected_components
-from sievelab.operators.joins import fix_small
+from sievelab.operators.joins import broadcast_small
 from sievelab.sources.scratch import save_table
 
 SHINGLES_AT_ONCE = 1 << 17
@@ -351,8 +351,7 @@ class NearDuplicates:
     def sets_of(self, members: DataFrame) -> DataFrame:
         """nid and whole shingle set of every class that shares a table key, made from one of its documents and written."""
         named = members.select("nid").distinct().join(self.nodes.select("nid", "one_id", "one_hash"), "nid")
-        named, known = fix_small(save_table(named, "shared"), self.spec.broadcast_rows)
-        named = F.broadcast(named) if known is not None else named
+        named = broadcast_small(save_table(named, "shared"), self.spec.broadcast_rows)
         texts = self.docs.select(F.col("doc_id").alias("one_id"), F.col("text_hash").alias("one_hash"), "text")
         same = [named["one_hash"] == texts["one_hash"], named["one_id"].eqNullSafe(texts["one_id"])]
         found = with_set(texts.join(named, same).select(named["nid"], texts["text"]), self.spec.words)
@@ -470,8 +469,7 @@ def drop_near_duplicates(docs: DataFrame, spec: Spec | None = None) -> DataFrame
     spec = spec or Spec()
     found = save_table(near_duplicates(docs, spec), "near-duplicates")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone, known = fix_small(gone, spec.broadcast_rows)
-    gone = F.broadcast(gone) if known is not None else gone
+    gone = broadcast_small(save_table(gone, "dropped"), spec.broadcast_rows)
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     again = save_table(again, "repeated-ids")

@@ -232,6 +232,7 @@ def pack_documents(
                 terms = terms_of(ids.astype(dtype))
                 out.append((doc, len(ids), crc, terms.ids.tobytes(), terms.tf.astype("<u4").tobytes(), ids[whole:].astype(dtype).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "crcs", "terms", "tf", "rest"])
+        words.trim()  # what the worker keeps for its next task is held through other stages too
 
     encoded = save_table(rows.mapInPandas(tokens, "doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary"), "encoded")
     stats = corpus_stats(encoded, size, dtype)

@@ -22,6 +22,7 @@ CACHED_CORES = 600_000  # letters of those words; both together take about 300 M
 CACHED_PIECES = 800_000  # words without the signs after them, where spaces are kept; about 160 MB
 GROUP_CHARS = 1 << 22
 PIECE_CHARS = 1 << 23  # the same where spaces are kept
+LEARNED = 1 << 15  # pieces tokenized at once
 SPECIAL = "<|"  # how the vocabularies' own tokens begin
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -118,7 +119,20 @@ class WordEncoder:
         """No word is known; number 0 stands for words that cannot be told alone."""
         self.numbers: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=self.dtype)  # the ids of all known words, one after the other
-        self.start, self.size = array("q", [0]), array("q", [0])
+        self.start, self.size, self.uses = array("q", [0]), array("q", [0]), array("q", [0])
+
+    def trim(self) -> None:
+        """Forget words met only once; the uses of the others count half from now on, so that words no longer met go too."""
+        uses = np.frombuffer(self.uses, np.int64)
+        kept = (uses >= 2).tolist()
+        words = [word for word, n in self.numbers.items() if n and kept[n]]
+        number = np.array([self.numbers[word] for word in words], dtype=np.int64)
+        words = pa.array(words, pa.large_string()).to_pylist()  # copies, so that the memory among the old ones is given back
+        ids, upto = self._gather(number)
+        halved = uses[number] // 2
+        self._forget()
+        self._add(words, ids, np.diff(upto))
+        self.uses[1:] = array("q", halved.tobytes())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -169,6 +183,10 @@ class WordEncoder:
 
     def _learn_pieces(self, words: list[str]) -> None:
         """Number pieces that are not known yet, where spaces are kept."""
+        for i in range(0, len(words), LEARNED):
+            self._learn_some(words[i : i + LEARNED])
+
+    def _learn_some(self, words: list[str]) -> None:
         plain, lines, others, odd = [], [], [], []
         for word in words:
             if word.isalpha() or (word[0] == " " and word[1:].isalpha()):
@@ -199,19 +217,33 @@ class WordEncoder:
         self.numbers.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
         self.start.frombytes((held + np.cumsum(size) - size).tobytes())
         self.size.frombytes(size.tobytes())
+        self.uses.frombytes(bytes(size.nbytes))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after the other, and where each begins and the last one ends."""
+        length = np.frombuffer(self.size, dtype=np.int64)[numbers]
+        start = np.frombuffer(self.start, dtype=np.int64)[numbers]
+        upto = np.r_[0, np.cumsum(length)]
+        place = np.repeat(start - upto[:-1], length)
+        place += np.arange(upto[-1])
+        return self.flat[place], upto
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Number of each of these distinct words."""
-        get = self.numbers.get
-        found = np.array([get(word, -1) for word in words], dtype=np.int64)
-        new = np.flatnonzero(found < 0)
-        if len(new) and len(self.numbers) + len(new) > self.most_words:
+        find = lambda: np.array([self.numbers.get(word, -1) for word in words], dtype=np.int64)
+        found = find()
+        crowded = lambda: len(self.numbers) + np.count_nonzero(found < 0) > self.most_words
+        if self.keeps_space and (found < 0).any() and crowded():
+            self.trim()
+            found = find()
+        if (found < 0).any() and crowded():
             self._forget()
-            new = np.arange(len(words))
+            found = find()
+        new = np.flatnonzero(found < 0)
         if len(new):
             missing = [words[i] for i in new.tolist()]
             (self._learn_pieces if self.keeps_space else self._learn_words)(missing)
-            found[new] = list(map(self.numbers.get, missing))
+            found[new] = [self.numbers[word] for word in missing]
         return found
 
     def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -239,12 +271,9 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         numbers = self._numbers(words)
         odd = np.r_[0, np.cumsum(self._odd(words, numbers, codes, ends))]
-        length = np.frombuffer(self.size, dtype=np.int64)[numbers]
-        start = np.frombuffer(self.start, dtype=np.int64)[numbers]
-        upto = np.r_[0, np.cumsum(length)]
-        place = np.repeat(start - upto[:-1], length)
-        place += np.arange(upto[-1])
-        ids, offsets = pa.py_buffer(self.flat[place]), pa.py_buffer(upto * self.dtype.itemsize)
+        np.frombuffer(self.uses, np.int64)[numbers] += np.bincount(codes, minlength=len(words))
+        ids, upto = self._gather(numbers)
+        ids, offsets = pa.py_buffer(ids), pa.py_buffer(upto * self.dtype.itemsize)
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, offsets, ids]).take(coded.indices)
         _, offsets, ids = found.buffers()
         upto = np.frombuffer(offsets, np.int64)[: len(codes) + 1] // self.dtype.itemsize

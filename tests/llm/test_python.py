@@ -52,6 +52,21 @@ def test_signs_after_a_word_make_no_other_word():
     assert len(encoder.numbers) <= 2 * len(words) + len(signs)  # words of a space, of a line, the first one and the signs
 
 
+def test_words_met_once_are_forgotten_between_tasks():
+    plain, encoder = tokenizer("byte_bpe_50k.json"), WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    letters = "abcdefghij"
+    for task in range(4):
+        once = [f"q{a}{b}{letters[task]}" for a in letters for b in letters]
+        texts = [" ".join([*once, "an", "an"]), "so an end\nso an end"]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        encoder.trim()
+        assert set(encoder.numbers) == {" an", " end"} and len(encoder.start) == len(encoder.size) == len(encoder.uses) == 3
+    for _ in range(3):
+        encoder.trim()
+    assert not encoder.numbers
+
+
 @settings(max_examples=200, deadline=None)
 @given(texts=st.lists(TEXT, max_size=4))
 def test_pieces_make_the_text(texts):
@@ -342,6 +357,15 @@ def test_one_row_of_each_group_stays(make_docs, odd_rows):
     assert near_dedup.drop_near_duplicates(make_docs([])).count() == 0
 
 
+def test_small_tables_are_read_by_executors(make_docs, odd_rows, spark, monkeypatch):
+    """No rows pass through the driver's Python, which would start more Python workers in each executor."""
+    docs = make_docs(odd_rows)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows made by the driver"))
+    broadcast, shuffled = (near_dedup.drop_near_duplicates(docs, near_dedup.Spec(broadcast_rows=n)) for n in (1_000, 1))
+    key = lambda df: sorted(map(repr, df.select("doc_id", "text").collect()))
+    assert key(broadcast) == key(shuffled) and 0 < broadcast.count() < docs.count()
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + rng.randrange(1, 300)) for _ in range(400)] + [(5_000, 5_000), (None, 3)]
