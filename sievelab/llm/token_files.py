@@ -25,8 +25,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, with_null_ids
-from sievelab.llm.word_ids import encoder
+from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, small_batches, with_null_ids
+from sievelab.llm.word_ids import encoder, forget_encoders
 from sievelab.sources.scratch import scratch_path
 
 BLOCK = 128
@@ -207,7 +207,8 @@ def write_token_files(
 
     schema = "bucket int, segment int, n_ids long, n_documents long, data binary"
     ordered = dealt.sortWithinPartitions("bucket", "doc_id", "text")
-    ordered.mapInPandas(segments, schema).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInPandas(segments, schema).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(df: DataFrame) -> DataFrame:
@@ -220,6 +221,7 @@ def read_token_files(df: DataFrame) -> DataFrame:
     places = df.sparkSession.createDataFrame(offsets, "bucket int, ids_before long")
 
     def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         for frame in frames:
             for bucket, raw in zip(frame["bucket"], frame["data"], strict=True):
                 names, counts, before, ids = read_segment(raw)

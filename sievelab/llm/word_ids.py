@@ -3,30 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from array import array
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from sievelab.llm.common import text_groups
 
-CACHED_WORDS = 800_000  # words with their punctuation, where white space is dropped
-CACHED_CORES = 600_000  # letters of those words; both together take about 300 MB
-CACHED_PIECES = 800_000  # words without the signs after them, where spaces are kept; about 160 MB
+CACHED_CORES = 600_000  # words without the signs after them, where white space is dropped; about 120 MB
+CACHED_PIECES = 400_000  # the same where spaces are kept; about 80 MB
 GROUP_CHARS = 1 << 22
-PIECE_CHARS = 1 << 23  # the same where spaces are kept
 LEARNED = 1 << 15  # pieces tokenized at once
 SPECIAL = "<|"  # how the vocabularies' own tokens begin
-CONTROL_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-WHITE, SIGN, LETTER = 1, 2, 3  # bytes: space and line break, SIGNS, ASCII letters and digits
+WHITE, SIGN, LETTER = 1, 2, 3  # bytes: white space, SIGNS, ASCII letters and digits
+KEPT, DROPPED = b" \n", b" \t\n\v\f\r"  # white space that begins a word, and that only parts words
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)  # A-Z
 
 
 def byte_letters() -> dict[int, int]:
@@ -36,18 +33,18 @@ def byte_letters() -> dict[int, int]:
     return dict(zip(printed, printed, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
 
 
-def byte_kinds() -> np.ndarray:
+def byte_kinds(white: bytes = KEPT) -> np.ndarray:
     kinds = np.zeros(256, dtype=np.uint8)
-    for kind, chars in ((WHITE, b" \n"), (SIGN, SIGNS.encode()), (LETTER, bytes(b for b in range(128) if chr(b).isalnum()))):
+    for kind, chars in ((WHITE, white), (SIGN, SIGNS.encode()), (LETTER, bytes(b for b in range(128) if chr(b).isalnum()))):
         kinds[list(chars)] = kind
     return kinds
 
 
-def pieces(texts: Sequence[str], kinds: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Words of all texts, each with the space or line break before it, and how many end in each text or before it.
+def pieces(texts: Sequence[str], kinds: np.ndarray, keeps_space: bool = True) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Words of all texts, each with the white space before it, and how many end in each text or before it.
 
-    The signs that end a word are a piece of their own if an ASCII letter or digit or a letter from U+00C0 to U+023F is before
-    them. The pieces of a text, joined, are the text.
+    The signs that end a word are a piece of their own if an ASCII letter or digit or a letter from U+00C0 to U+023F but U+0130
+    is before them. The pieces of a text, joined, are the text; unless ``keeps_space``, without white space and with A-Z lower-cased.
     """
     joined = pa.array(texts, pa.large_string())
     _, offsets, data = joined.buffers()
@@ -63,8 +60,15 @@ def pieces(texts: Sequence[str], kinds: np.ndarray) -> tuple[pa.LargeStringArray
     at = at[first[last[np.searchsorted(last, at)] + 1]]
     before, lead = code[at - 1], code[at - 2]
     latin = (before & 0xC0 == 0x80) & (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    latin &= ~((lead == 0xC4) & (before == 0xB0))  # the lower case of U+0130 ends in a mark
     first[at[(kind[at - 1] == LETTER) | latin]] = True
     starts = np.flatnonzero(first[:-1])
+    if not keeps_space:
+        kept = kind != WHITE
+        upto = np.r_[0, np.cumsum(kept)]
+        starts, offsets, code = upto[starts], upto[offsets], LOWER[code[kept]]
+        starts = starts[np.diff(starts, append=len(code)) > 0]
+        data = pa.py_buffer(code)
     found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(code))), data or pa.py_buffer(b""))
     return found, np.searchsorted(starts, offsets[1:])
 
@@ -93,11 +97,12 @@ class WordEncoder:
     not depend on its neighbours. All words of a group of texts are numbered by Arrow; each distinct one is encoded once, its
     letters and the signs after them apart, and the texts' ids are gathered by number. ``keeps_space``: the vocabulary joins a space
     to the word that follows (byte-level), otherwise white space is dropped and case too. What is not of this form goes to the
-    tokenizer whole, as do texts where a cut could depend on more than the word (adjacent white space, control characters) or
-    that may spell one of the vocabulary's own tokens.
+    tokenizer whole, as do texts where a cut could depend on more than the word (adjacent white space that is kept) or
+    that may spell one of the vocabulary's own tokens. At most ``words`` are known at a time, or ``cores`` where white space is
+    dropped; beyond, those met once are forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, words: int | None = None, cores: int = CACHED_CORES):
+    def __init__(self, path: str, keeps_space: bool, words: int = CACHED_PIECES, cores: int = CACHED_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -107,11 +112,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         letters = byte_letters()
         self.letters = np.array([0, *(letters[b] for b in range(1, 256))], dtype="<u4")  # byte 0 parts words
-        self.kinds = byte_kinds()
-        words = words or (CACHED_PIECES if keeps_space else CACHED_WORDS)
-        self.most_words, self.most_cores = words, cores
-        self.cores: dict[str, bytes] = {}
-        self.signs = Memory(words)
+        self.kinds = byte_kinds(KEPT if keeps_space else DROPPED)
+        self.most_words = words if keeps_space else cores
         self.newline = self._encode(["\n"])[0]
         self._forget()
 
@@ -127,7 +129,7 @@ class WordEncoder:
         kept = (uses >= 2).tolist()
         words = [word for word, n in self.numbers.items() if n and kept[n]]
         number = np.array([self.numbers[word] for word in words], dtype=np.int64)
-        words = pa.array(words, pa.large_string()).to_pylist()  # copies, so that the memory among the old ones is given back
+        words = pa.array(words, pa.large_string()).to_numpy(zero_copy_only=False).tolist()  # copies, so that the memory among the old ones is given back
         ids, upto = self._gather(number)
         halved = uses[number] // 2
         self._forget()
@@ -145,48 +147,22 @@ class WordEncoder:
         tokenize = self.tokenizer.model.tokenize
         return [[t.id for t in tokenize(form)] for form in forms]
 
-    def _learn_cores(self, cores: set[str]) -> None:
-        """Ids of runs of letters."""
-        new = [c for c in cores if c not in self.cores]
-        if len(self.cores) + len(new) > self.most_cores:
-            self.cores.clear()
-            new = list(cores)
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cores.update((core, array(code, ids).tobytes()) for core, ids in zip(new, self._tokenized(new), strict=True))
-
-    def _sign(self, text: str) -> bytes:
-        ids = self.signs.get(text)
-        if ids is None:
-            (ids,) = self._encode([text])
-            self.signs.new[text] = ids
-        return ids
-
     def _learn_words(self, words: list[str]) -> None:
         """Number words that are not known yet, where white space is dropped."""
-        cut, others = [], []
+        plain, forms, others = [], [], []
         for word in words:
             form = word.lower()
-            core = form if form.isalpha() else form.rstrip(SIGNS)
             # characters below U+0250 are their own normal form, and all but one have a single lower case
-            if not core.isalpha() or (not core.isascii() and (max(core) >= "ɐ" or "İ" in word)):
-                others.append(word)
+            if form.isalpha() and (form.isascii() or (max(form) < "ɐ" and "İ" not in word)):
+                plain.append(word)
+                forms.append(form)
             else:
-                cut.append((word, core, form[len(core) :]))
-        self._learn_cores({core for _, core, _ in cut})
-        known = self.cores
-        found = {word: known[core] + self._sign(signs) if signs else known[core] for word, core, signs in cut}
-        if others:
-            found.update(zip(others, self._encode(others), strict=True))
-        self.signs.trim()
-        size = np.fromiter(map(len, found.values()), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-        self._add(list(found), np.frombuffer(b"".join(found.values()), dtype=self.dtype), size)
+                others.append(word)
+        self._add_lists(plain, self._tokenized(forms))
+        self._add_encoded(others)
 
     def _learn_pieces(self, words: list[str]) -> None:
-        """Number pieces that are not known yet, where spaces are kept."""
-        for i in range(0, len(words), LEARNED):
-            self._learn_some(words[i : i + LEARNED])
-
-    def _learn_some(self, words: list[str]) -> None:
+        """The same where spaces are kept."""
         plain, lines, others, odd = [], [], [], []
         for word in words:
             if word.isalpha() or (word[0] == " " and word[1:].isalpha()):
@@ -197,18 +173,22 @@ class WordEncoder:
                 odd.append(word)
             else:
                 others.append(word)
-        if plain or lines:
-            found = self._tokenized([*plain, *(word[1:] for word in lines)])
-            line = np.frombuffer(self.newline, self.dtype).tolist()
-            found[len(plain) :] = [line + ids for ids in found[len(plain) :]]
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._add(plain + lines, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(size.sum())), size)
-        if others:
-            found = self._encode(others)
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-            self._add(others, np.frombuffer(b"".join(found), dtype=self.dtype), size)
+        found = self._tokenized([*plain, *(word[1:] for word in lines)])
+        line = np.frombuffer(self.newline, self.dtype).tolist()
+        found[len(plain) :] = [line + ids for ids in found[len(plain) :]]
+        self._add_lists(plain + lines, found)
+        self._add_encoded(others)
         self.numbers.update(dict.fromkeys(odd, 0))
 
+    def _add_lists(self, words: list[str], found: list[list[int]]) -> None:
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self._add(words, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(size.sum())), size)
+
+    def _add_encoded(self, words: list[str]) -> None:
+        found = self._encode(words)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        self._add(words, np.frombuffer(b"".join(found), dtype=self.dtype), size)
+
     def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         held = self.start[-1] + self.size[-1]
         if held + len(ids) > len(self.flat):
@@ -230,29 +210,22 @@ class WordEncoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Number of each of these distinct words."""
-        find = lambda: np.array([self.numbers.get(word, -1) for word in words], dtype=np.int64)
+        find = lambda: np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
         found = find()
         crowded = lambda: len(self.numbers) + np.count_nonzero(found < 0) > self.most_words
-        if self.keeps_space and (found < 0).any() and crowded():
+        if (found < 0).any() and crowded():
             self.trim()
             found = find()
         if (found < 0).any() and crowded():
             self._forget()
             found = find()
         new = np.flatnonzero(found < 0)
-        if len(new):
-            missing = [words[i] for i in new.tolist()]
-            (self._learn_pieces if self.keeps_space else self._learn_words)(missing)
-            found[new] = [self.numbers[word] for word in missing]
+        missing = [words[i] for i in new.tolist()]
+        for i in range(0, len(missing), LEARNED):
+            (self._learn_pieces if self.keeps_space else self._learn_words)(missing[i : i + LEARNED])
+        found[new] = np.fromiter(map(self.numbers.get, missing), np.int64, len(missing))
         return found
 
-    def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """Words of all texts, and how many end in each text or before it."""
-        if self.keeps_space:
-            return pieces(texts, self.kinds)
-        listed = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
-        return listed.values, listed.offsets.to_numpy()[1:]
-
     def _odd(self, words: list[str], numbers: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Words, by place, that show that their text cannot be cut."""
         if not self.keeps_space:
@@ -265,10 +238,10 @@ class WordEncoder:
 
     def _cut(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of texts word by word; none where words cannot be told alone."""
-        every, ends = self._words(texts)
+        every, ends = pieces(texts, self.kinds, self.keeps_space)
         coded = every.dictionary_encode()
         codes = coded.indices.to_numpy()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = self._numbers(words)
         odd = np.r_[0, np.cumsum(self._odd(words, numbers, codes, ends))]
         np.frombuffer(self.uses, np.int64)[numbers] += np.bincount(codes, minlength=len(words))
@@ -281,27 +254,36 @@ class WordEncoder:
         spans = zip(upto[np.r_[0, ends[:-1]]].tolist(), upto[ends].tolist(), np.diff(odd[np.r_[0, ends]]).tolist(), strict=True)
         return [None if bad else every[a:b] for a, b, bad in spans]
 
-    def _whole(self, text: str) -> bool:
-        return SPECIAL in text or (not self.keeps_space and CONTROL_SPACE.search(text) is not None)
-
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``dtype``."""
         out: list[np.ndarray] = []
-        for group in text_groups(texts, PIECE_CHARS if self.keeps_space else GROUP_CHARS):
+        for group in text_groups(texts, GROUP_CHARS):
             part = [texts[i] for i in group]
-            whole = [self._whole(t) for t in part]
+            whole = [SPECIAL in t for t in part]
             found = self._cut(["" if w else t for w, t in zip(whole, part, strict=True)])
             for text, w, ids in zip(part, whole, found, strict=True):
                 out.append(np.frombuffer(self._encode([text])[0], dtype=self.dtype) if w or ids is None else ids)
         return out
 
 
+def _kept() -> dict[tuple[str, bool], WordEncoder]:
+    return sys.modules.setdefault("sievelab_kept_encoders", types.ModuleType("sievelab_kept_encoders")).__dict__
+
+
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
     """This process's encoder for a vocabulary; a worker keeps it from task to task.
 
     Spark may ship this function by value, so what is kept lives in a module of its own, not among this one's globals.
     """
-    kept = sys.modules.setdefault("sievelab_kept_encoders", types.ModuleType("sievelab_kept_encoders")).__dict__
+    kept = _kept()
     if (path, keeps_space) not in kept:
         kept[path, keeps_space] = WordEncoder(path, keeps_space)
     return kept[path, keeps_space]
+
+
+def forget_encoders() -> None:
+    """Give back what this process's encoders hold; for tasks that follow the last encoding, as workers live on through other stages."""
+    kept = _kept()
+    for key in [key for key in kept if isinstance(key, tuple)]:
+        del kept[key]
+    pa.default_memory_pool().release_unused()

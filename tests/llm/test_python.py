@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from sievelab.llm import decontaminate, language, near_dedup, packing, quality, secrets, token_files
 from sievelab.llm.components import connected_components
-from sievelab.llm.word_ids import WordEncoder, byte_kinds, pieces
+from sievelab.llm.word_ids import DROPPED, WordEncoder, byte_kinds, encoder, forget_encoders, pieces
 
 PARTS = [*"abXYéÉßñİıſσΣ中文 \n\t.,;'\"-#$0129\x1c\x85  ́😀°", "'s", "<|endoftext|>", "<|startoftext|>", "<|", "the", " the", "\nthe"]
 TEXT = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
@@ -78,6 +78,34 @@ def test_pieces_make_the_text(texts):
     assert start == len(words)
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(TEXT, max_size=4))
+def test_dropped_space_and_case(texts):
+    found, ends = pieces(texts, byte_kinds(DROPPED), False)
+    words, start = found.to_pylist(), 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        plain = re.sub("[ \t\n\v\f\r]", "", text)
+        assert "".join(words[start:end]) == re.sub("[A-Z]", lambda m: m[0].lower(), plain) and all(words[start:end])
+        start = end
+    assert start == len(words)
+
+
+def test_case_and_signs_make_no_other_word():
+    text = " ".join(word + sign for word in ["an", "An", "AN", "élan", "x1"] for sign in ["", ",", "...", '")'])
+    words = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    (ids,) = words.encode([text + "\n" + text])
+    assert ids.tolist() == tokenizer("word_bpe_49k.json").encode(f"{text} {text}", add_special_tokens=False).ids
+    assert len(words.numbers) == 3 + 3  # three words and the signs
+
+
+def test_encoders_are_forgotten():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = encoder(path, True)
+    assert encoder(path, True) is kept
+    forget_encoders()
+    assert encoder(path, True) is not kept
+
+
 # token files
 
 
