@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import full_text, id_key, with_null_ids
+from sievelab.llm.common import full_text, id_key, small_batches, with_null_ids
+from sievelab.sources.scratch import save_table
 
 ERROR_RATE = 0.08  # edits allowed for each character of an item
 MIN_CHARS = 20  # normalised items below this must be whole words of a document, without edits
@@ -226,7 +227,8 @@ def is_clean(items: list[Item]):
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark item, as they were; rows with a null text stay."""
+    """The documents without any benchmark item, as they were; rows with a null text stay. Written, in batches of few rows."""
     for items in benchmark_blocks(benchmark, **options):
         docs = docs.where(is_clean(items))
-    return docs
+    with small_batches(docs.sparkSession):
+        return save_table(docs, "clean")

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, with_null_ids
-from sievelab.llm.word_ids import encoder
+from sievelab.llm.common import bucket_of, cut_points, full_text, id_key, small_batches, with_null_ids
+from sievelab.llm.word_ids import encoder, forget_encoders
 from sievelab.sources.scratch import save_table
 
 WINDOW = 1_024
@@ -159,6 +159,7 @@ def corpus_stats(encoded: DataFrame, size: int, dtype: np.dtype) -> Stats:
     """Counted in tasks over all rows of ``encoded``; the driver holds a number for each of the vocabulary's ids."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         df = np.zeros(size, dtype=np.int64)
         for frame in frames:
             df += np.bincount(np.frombuffer(b"".join(frame["terms"]), dtype), minlength=size)
@@ -232,9 +233,10 @@ def pack_documents(
                 terms = terms_of(ids.astype(dtype))
                 out.append((doc, len(ids), crc, terms.ids.tobytes(), terms.tf.astype("<u4").tobytes(), ids[whole:].astype(dtype).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "crcs", "terms", "tf", "rest"])
-        words.trim()  # what the worker keeps for its next task is held through other stages too
 
-    encoded = save_table(rows.mapInPandas(tokens, "doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary"), "encoded")
+    made = rows.mapInPandas(tokens, "doc_id long, doc_tokens long, crcs array<long>, terms binary, tf binary, rest binary")
+    with small_batches(docs.sparkSession):
+        encoded = save_table(made, "encoded")
     stats = corpus_stats(encoded, size, dtype)
     content = ContentKey(stats)
 
@@ -249,6 +251,7 @@ def pack_documents(
     keyed = keyed.withColumn("shard", bucket_of(F.col("key"), cuts).cast("long"))
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         names = [x.split()[0] for x in PIECES.split(", ")]
         shard, number, held = None, 0, []
 

@@ -106,6 +106,24 @@ def test_encoders_are_forgotten():
     assert encoder(path, True) is not kept
 
 
+def test_decontamination_and_encoding_use_small_batches(make_docs, spark, monkeypatch):
+    """A batch is held whole by Python and once more outside the heap of the executor's JVM."""
+    seen = []
+    for module in (decontaminate, packing):
+        save = module.save_table
+        monkeypatch.setattr(
+            module,
+            "save_table",
+            lambda df, label, save=save: seen.append((label, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))) or save(df, label),
+        )
+    docs = make_docs([(i, f"text number {i} of a few that are distinct enough") for i in range(20)])
+    benchmark = spark.createDataFrame([(1, "text number 7 of a few that are distinct enough")], "item_id long, text string")
+    left = decontaminate.drop_leaked(docs, benchmark)
+    assert 7 not in {r["doc_id"] for r in left.collect()} and left.columns == docs.columns
+    packing.pack_documents(left)
+    assert {label: n <= 1_000 for label, n in seen} == {"clean": True, "encoded": True}
+
+
 # token files
 
 
