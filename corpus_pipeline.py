@@ -52,6 +52,9 @@ STAGES = [
     ("packing", packed),
 ]
 
+# These return what they have written themselves.
+WRITTEN = {"quality", "decontamination"}
+
 # No SQL has the classifier, the minhash tables or the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
@@ -59,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = save_table(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = save_table(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)

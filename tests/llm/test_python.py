@@ -700,3 +700,21 @@ def test_pipeline_stages(spark):
     assert (safe["text"].str.len() == safe["n_chars"]).all()
     assert set(kept["packing"]["doc_id"]) == set(safe["doc_id"])
     assert corpus_pipeline.run(spark, SF).count() == len(kept["packing"])
+
+
+def test_pipeline_writes_no_rows_twice(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(30)) + f" a{i}@mail.org" for i in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, "", texts[3]])] + [(50, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    for module in (corpus_pipeline, quality, decontaminate):
+        save = module.save_table
+        monkeypatch.setattr(module, "save_table", lambda df, label, save=save: seen.append(label) or save(df, label))
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert seen == ["good", "near_dedup", "clean", "personal_data"]
+    assert kept == {*range(41), 50} - {5}

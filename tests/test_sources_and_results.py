@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+from pathlib import Path
 from types import SimpleNamespace
+from urllib.parse import unquote, urlparse
 
 import pytest
 
@@ -71,6 +74,17 @@ def test_saved_table_is_read_back(spark):
     assert "Range" not in saved._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_saved_texts_take_less_than_by_default(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(5_000)}" for _ in range(300)) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "plain"))
+    saved = scratch.save_table(rows, "texts")
+    assert sorted(r["text"] for r in saved.collect()) == sorted(texts)
+    files = [Path(unquote(urlparse(f).path)) for f in saved.inputFiles()]
+    assert sum(f.stat().st_size for f in files) < 0.8 * sum(f.stat().st_size for f in (tmp_path / "plain").glob("*.parquet"))
+
+
 def test_sinks_append_by_day(spark, tmp_path):
     path = str(tmp_path / "importance")
     stats = spark.createDataFrame([("s.p", 0.25), ("s.q.r", 0.75), ("plain", 0.0)], "variable string, mean double")
