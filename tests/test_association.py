@@ -268,6 +268,30 @@ def test_columns_add_up_alike_in_both_orders():
     assert np.allclose(mic._least_dense(upto, 60), mic._least_by_column(upto, 60))
 
 
+@pytest.mark.parametrize("kind", ["noise", "steps", "pure"])
+def test_long_last_groups_are_left_out_without_loss(monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    own, k, most = rng.integers(0, 1500, 20_000), 1500, 100
+    part = {"noise": rng.integers(0, 3, 20_000), "steps": own // 50 % 3, "pure": own // 500}[kind]
+    table = np.zeros((k, 3))
+    np.add.at(table, (own, part), 1)
+    upto = np.vstack([np.zeros(3), table.cumsum(0)])
+    tried, best_last = [0], mic._best_last
+
+    def counted(*args):
+        best, sums = best_last(*args)
+        tried[0] += sums
+        return best, sums
+
+    monkeypatch.setattr(mic, "_best_last", counted)
+    assert mic._least_by_column(upto, most) == pytest.approx(mic._least_dense(upto, most), abs=1e-9)
+    assert kind == "pure" or tried[0] < most * k * k / 2 / 3  # pure columns are one clump before they come here
+    want = [mic._xlogx(upto[40].sum() - upto[i].sum()) - mic._xlogx(upto[40] - upto[i]).sum() for i in range(40)]
+    for rows in (mic.TABLE, 1):  # x log x looked up, and computed
+        monkeypatch.setattr(mic, "TABLE", rows)
+        assert mic.Spans(upto).cost(slice(40, 41), slice(0, 40))[0] == pytest.approx(np.array(want), abs=1e-9)
+
+
 def test_mic_is_not_capped(spark):
     """The bound grows with the rows, and a grid that only fits it raises the score."""
     rng = np.random.default_rng(0)
