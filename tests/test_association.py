@@ -311,6 +311,39 @@ def test_grid_sets_hold_each_grid_once(bound, most):
         assert len(sets) <= 2 * bound**0.5
 
 
+def test_copies_of_points_do_not_grow_with_the_bound(spark, monkeypatch):
+    streams = []
+
+    def kept(stream, *args):
+        streams.append(stream)
+        return spark.createDataFrame([], "pos int, score double")
+
+    monkeypatch.setattr(mic, "_in_tasks", kept)
+    counts = spark.createDataFrame([(0, i, i, 1) for i in range(10)], "pos int, cx long, cy long, c long")
+    mic._grid_scores(counts, 11_665, 6_000_000, 6_000_000, 3)
+    assert streams[0].count() <= 16 * 10
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+@pytest.mark.parametrize("values", [5, 40, 2000])
+def test_grids_of_few_values_and_in_small_steps(monkeypatch, at_once, values):
+    """Fewer values than columns, columns that end in no point, and counts that are reduced to the cuts."""
+    monkeypatch.setattr(mic, "CELLS_AT_ONCE", at_once)
+    rng, n, bound = np.random.default_rng(values), 2000, 120
+    x, y, c = (np.sort(rng.choice(n, values, replace=False))[rng.integers(0, values, 600)] for _ in range(3))
+    c = c % 3 + 1
+    for s in mic.grids(bound, 1 << 20):
+        counts, fixed, other = mic.GridCounts(s, n), *((x, y)[:: 1 if s.side == 0 else -1])
+        for part in np.array_split(np.argsort(other, kind="stable"), 4):
+            counts.feed(fixed[part], other[part], c[part].astype(float))
+        want = 0.0
+        for v in range(s.low, s.high):
+            joint = np.zeros((s.parts, v))
+            np.add.at(joint, (fixed * s.parts // n, other * v // n), c)
+            want = max(want, mic.information(joint) / np.log(min(s.parts, v)))
+        assert counts.best() == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("n, bound", [(7, 12), (300, 60), (2000, 90)])
 def test_grid_counts_equal_those_of_each_grid(monkeypatch, n, bound):
     rng = np.random.default_rng(n)
