@@ -324,6 +324,15 @@ def test_copies_of_points_do_not_grow_with_the_bound(spark, monkeypatch):
     assert streams[0].count() <= 16 * 10
 
 
+def test_units_are_dealt_evenly_to_tasks(spark):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for units in (1, 6, tasks, 3 * tasks - 1):
+        keys = mic._task_keys(spark, units)
+        dealt = spark.createDataFrame([(k,) for k in keys], "unit long").repartition(tasks, "unit").groupBy(F.spark_partition_id()).count()
+        sizes = [r["count"] for r in dealt.collect()]
+        assert len(set(keys)) == units == sum(sizes) and max(sizes) <= -(-units // tasks) and len(sizes) == min(units, tasks)
+
+
 @pytest.mark.parametrize("at_once", [1 << 20, 40])
 @pytest.mark.parametrize("values", [5, 40, 2000])
 def test_grids_of_few_values_and_in_small_steps(monkeypatch, at_once, values):
